@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut
+
 SEPARATOR = "/"
 
 
@@ -24,6 +26,9 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
     siblings.  ``preorder`` sorts nodes depth-first: it is the list of sibling
     keys on the path, and arrays compare element by element.  A child that is
     already on its own path is not followed again.
+
+    The hierarchy is small and referred to many times by what is built on it, so
+    it is written to the checkpoint folder instead of being walked at each use.
     """
     if "position" not in edges.columns:
         edges = edges.withColumn("position", F.lit(0))
@@ -31,6 +36,7 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
         "parent", "child",
         F.concat(F.lpad(F.col("position").cast("string"), 10, "0"), F.lit(":"),
                  F.col("child")).alias("sibling")).distinct()
+    steps = cut(steps)
     paths = edges.sparkSession.sql("""
         WITH RECURSIVE walk(name, path, preorder) AS (
             SELECT :root, array(:root), array('')
@@ -40,11 +46,12 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
             WHERE NOT array_contains(w.path, e.child))
         SELECT * FROM walk""", args={"root": root}, steps=steps)
     steps_of = F.transform("path", _step)
-    return paths.select(
+    nodes = paths.select(
         F.array_join(steps_of, SEPARATOR).alias("node_id"), "name",
         F.when(F.size("path") > 1, F.array_join(
             F.slice(steps_of, 1, F.size("path") - 1), SEPARATOR)).alias("parent_id"),
         F.size("path").alias("level"), "path", "preorder")
+    return cut(nodes)
 
 
 def closure(nodes: DataFrame) -> DataFrame:

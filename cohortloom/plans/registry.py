@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-SUBJECTS = ("quality", "probes", "lookups", "hierarchy")
+SUBJECTS = ("quality", "probes", "lookups", "hierarchy", "samples", "scoring")
 
 
 class Query(NamedTuple):

@@ -348,3 +348,43 @@ CLASS_SCORES = f"""
           + CASE WHEN class = o_orderpriority THEN 300 ELSE 0 END) / 1297.0::DOUBLE AS score
   FROM orders, (SELECT unnest({_NAMES}) AS class,
                        unnest([0, 1, 2, 3, 4]) AS i)"""
+
+
+def spread(key: str = "sample_id"):
+    """An arithmetic shuffling number in [0, 1) that SQL can repeat."""
+    return F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)) / float(1 << 32)
+
+
+SPREAD = "((sample_id * 2654435761) % 4294967296)"
+
+# Labels of the class tree, node by node.
+CLASS_DESIGN = """
+  SELECT 'R' AS node_id, vec_id AS sample_id, 'G' || CAST(label % 3 AS VARCHAR) AS cancer_type
+  FROM embeddings
+  UNION ALL
+  SELECT 'R/G' || CAST(label % 3 AS VARCHAR), vec_id, 'C' || CAST(label AS VARCHAR)
+  FROM embeddings"""
+
+
+def certainties(spark, sf_dir) -> DataFrame:
+    """(actual, predicted, probability) of orders."""
+    p = ((F.col("sample_id") * 7919) % 1000 + 1) / 1000.0
+    return calls(spark, sf_dir).withColumn("probability", p)
+
+
+def scored_labels(spark, sf_dir) -> DataFrame:
+    """(split, label, probability): document quality against an arithmetic score."""
+    docs = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    p = ((F.col("doc_id") * 37 + F.col("n_chars")) % 101 / 202.0
+         + F.col("quality") * 0.25 + 0.125)
+    return lab.join(docs.select("doc_id", "n_chars"), "doc_id").select(
+        F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"),
+        F.col("quality").alias("label"), p.alias("probability"))
+
+
+SCORED_LABELS = """
+  SELECT CASE WHEN l.doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, quality AS label,
+         ((l.doc_id * 37 + n_chars) % 101) / 202.0::DOUBLE + quality * 0.25::DOUBLE + 0.125::DOUBLE
+           AS probability
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
