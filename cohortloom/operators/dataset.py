@@ -85,24 +85,34 @@ def split_stratified(nodes: DataFrame, samples: DataFrame, share: float = TEST_S
         F.col("rank") <= F.col("quota")).select("node_id", "label", "sample_id")
 
 
-def split_random(samples: DataFrame, share: float = TEST_SHARE,
-                 unit: Column | None = None) -> DataFrame:
-    """One unstratified split: ``ceil(share * n)`` samples are held out."""
-    ranked = hash_rank(samples, [], shuffle_unit() if unit is None else unit, "sample_id")
+def split_random(samples: DataFrame, share: float = TEST_SHARE, unit: Column | None = None,
+                 keys: tuple[str, ...] = ()) -> DataFrame:
+    """One unstratified split (per ``keys``): ``ceil(share * n)`` samples are held out."""
+    ranked = hash_rank(samples, list(keys), shuffle_unit() if unit is None else unit, "sample_id")
     return ranked.withColumn("held_out", F.col("rank") <= F.ceil(F.col("group_size") * share)) \
         .drop("rank", "group_size")
 
 
-def assign_folds(samples: DataFrame, label: str, k: int = FOLDS,
-                 unit: Column | None = None) -> DataFrame:
-    """Stratified folds 0..k-1: samples sorted by label, then shuffled, dealt in turn."""
-    ranked = hash_rank(samples, [label], shuffle_unit() if unit is None else unit, "sample_id")
-    sizes = samples.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_label").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_label", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
-    return ranked.join(starts, F.col(label) == F.col("_label")).withColumn(
+def assign_folds(samples: DataFrame, label: str, k: int = FOLDS, unit: Column | None = None,
+                 keys: tuple[str, ...] = ()) -> DataFrame:
+    """Stratified folds 0..k-1 (per ``keys``).
+
+    Samples sorted by label, then shuffled, are dealt to the folds in turn.
+    """
+    ranked = hash_rank(samples, [*keys, label], shuffle_unit() if unit is None else unit,
+                       "sample_id")
+    sizes = samples.groupBy(*keys, F.col(label).alias("_label")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_label").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in keys], "_label",
+                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    same = F.col(label) == F.col("_label")
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return ranked.join(starts, same).withColumn(
         "fold", F.pmod(F.col("_at") + F.col("rank") - 1, F.lit(k)).cast("int")).drop(
-        "rank", "group_size", "_label", "_at")
+        "rank", "group_size", "_label", "_at", *[f"_{c}" for c in keys])
 
 
 def child_labels(nodes: DataFrame, samples: DataFrame, min_class: int = MIN_CLASS) -> DataFrame:

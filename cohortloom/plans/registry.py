@@ -8,7 +8,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-SUBJECTS = ("quality", "probes", "lookups", "hierarchy", "samples", "scoring")
+SUBJECTS = ("quality", "probes", "lookups", "hierarchy", "samples", "scoring",
+            "models")
 
 
 class Query(NamedTuple):
