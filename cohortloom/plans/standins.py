@@ -388,3 +388,52 @@ SCORED_LABELS = """
          ((l.doc_id * 37 + n_chars) % 101) / 202.0::DOUBLE + quality * 0.25::DOUBLE + 0.125::DOUBLE
            AS probability
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
+
+
+# -- handbook: every page is a book of one section and two leaf chapters ------
+
+_TITLE, _HEAD = r"<title>([^\n]*?)</title>", r"<h1>([^\n]*?)</h1>"
+_PARA, _FOOT = r"<p>([^\n]*?)</p>", r"<footer>([^\n]*?)</footer>"
+
+
+def books(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    html = F.col("html")
+    title = F.regexp_extract(html, _TITLE, 1)
+    first = F.regexp_extract(html, _PARA, 1)
+    text = lambda *parts: F.array(*[F.struct(x.alias("headingText")) for x in parts])
+
+    def chapter(number, name, level, content):
+        return F.struct(
+            (F.col("page_id") * 10 + number).alias("chapterId"), name.alias("chapterTitle"),
+            F.lit(level).alias("chapterLevel"),
+            F.array(*[F.struct(F.lit(h).alias("headingTitle"), c.alias("contributions"))
+                      for h, c in content]).alias("content"),
+            F.array(F.struct(F.lit("Figure").alias("type"), title.alias("legend"),
+                             F.col("url").alias("imageUrl"), F.lit("").alias("title"),
+                             F.lit("").alias("tablehtml")),
+                    F.struct(F.lit("Table").alias("type"), F.lit("").alias("legend"),
+                             F.lit("").alias("imageUrl"),
+                             F.concat(F.lit("<b>"), title, F.lit("</b>")).alias("title"),
+                             first.alias("tablehtml"))).alias("attachment"))
+
+    main = chapter(1, F.regexp_extract(html, _HEAD, 1), 4, [
+        ("Definition", text(first)), ("Histopathology", text(html)),
+        ("Subtype(s)", text(title, F.lit("; "), F.regexp_extract(html, _FOOT, 1)))])
+    foot = chapter(2, F.regexp_extract(html, _FOOT, 1), 4, [("Staging", text(html))])
+    part = chapter(3, title, 3, [("Definition", text(title))])
+    section = F.struct(title.alias("chapterTitle"), F.lit(1).alias("chapterLevel"),
+                       F.array(main, foot, part).alias("chapters"))
+    return p.select(F.col("page_id").alias("bookid"), title.alias("bookTitle"),
+                    F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("series"),
+                    F.col("url").alias("revision"), F.array(section).alias("sections"))
+
+
+LEAVES = f"""
+  SELECT page_id AS "bookId", regexp_extract(html, '{_TITLE}', 1) AS "bookTitle",
+         page_id * 10 + 1 AS "chapterId", regexp_extract(html, '{_HEAD}', 1) AS "chapterTitle"
+  FROM pages
+  UNION ALL
+  SELECT page_id, regexp_extract(html, '{_TITLE}', 1), page_id * 10 + 2,
+         regexp_extract(html, '{_FOOT}', 1)
+  FROM pages"""
