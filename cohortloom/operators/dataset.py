@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
 from . import qc, tree
 from .ranking import hash_rank
 
@@ -65,8 +66,8 @@ def split_stratified(nodes: DataFrame, samples: DataFrame, share: float = TEST_S
     named = listed.groupBy("node_id", "label").agg(F.count(F.lit(1)).alias("n_listed"))
     labels = listed.groupBy("node_id", "sample_id").agg(
         F.max_by("label", "preorder").alias("label"))
-    valid = labels.join(named.filter(F.col("n_listed") >= min_per_class),
-                        ["node_id", "label"], "left_semi")
+    valid = cut(labels.join(named.filter(F.col("n_listed") >= min_per_class),
+                            ["node_id", "label"], "left_semi"))
     sizes = valid.groupBy("node_id", "label").agg(F.count(F.lit(1)).alias("n"))
     node = Window.partitionBy("node_id")
     exact = F.col("n") * F.col("n_test") / F.col("n_all")
@@ -145,9 +146,11 @@ def node_design(m: DataFrame, nodes: DataFrame, samples: DataFrame,
                 min_class: int = MIN_CLASS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Labels of every trainable node; unlabelled samples are left out.
 
-    Pair it with :func:`qc.drop_incomplete_probes` over all samples.
+    Pair it with :func:`qc.drop_incomplete_probes` over all samples.  A design is
+    small next to the matrix and used many times, so it is written out.
     """
-    design = child_labels(nodes, samples, min_class).join(_present(m), "sample_id", "left_semi")
+    design = cut(child_labels(nodes, samples, min_class).join(
+        _present(m), "sample_id", "left_semi"))
     return design.join(_enough(design, min_samples), "node_id", "left_semi")
 
 
@@ -156,9 +159,9 @@ def cohort_design(m: DataFrame, nodes: DataFrame, samples: DataFrame,
     """Like :func:`node_design`, keeping the cohort's other samples under one name."""
     cohort = tree.samples_below(nodes, samples).distinct().join(
         _present(m), "sample_id", "left_semi")
-    design = cohort.join(child_labels(nodes, samples, min_class),
-                         ["node_id", "sample_id"], "left").withColumn(
-        "cancer_type", F.coalesce("cancer_type", F.lit(OTHER)))
+    design = cut(cohort.join(child_labels(nodes, samples, min_class),
+                             ["node_id", "sample_id"], "left").withColumn(
+        "cancer_type", F.coalesce("cancer_type", F.lit(OTHER))))
     return design.join(_enough(design, min_samples), "node_id", "left_semi")
 
 

@@ -183,10 +183,7 @@ def _fold_probes(long: DataFrame, k: int, prior: str, number: int) -> DataFrame:
     merged = dm.merge_moments(
         parts.select("*", F.explode(sets).alias("train_of")),
         ["node_id", "cancer_type", "probe_id", "train_of"])
-    fits = dm.pooled_t(merged, ("train_of",))
-    if prior == "eb":
-        fits = dm.moderate(fits, ("train_of",))
-    return dm.top_probes(fits, number, ("train_of",)).select(
+    return dm.top_probes(dm.probe_tests(merged, prior, ("train_of",)), number, ("train_of",)).select(
         "node_id", "train_of", "probe_id").distinct()
 
 

@@ -83,7 +83,8 @@ def prune(nodes: DataFrame, tree_samples: DataFrame) -> DataFrame:
 
 
 def build_tree(edges: DataFrame, tree_samples: DataFrame, root: str) -> DataFrame:
-    return prune(build_nodes(edges, root), tree_samples)
+    """The pruned tree, written out so that later uses do not scan the samples again."""
+    return cut(prune(build_nodes(edges, root), tree_samples))
 
 
 def find_by_name(nodes: DataFrame, name: str | None = None) -> DataFrame:

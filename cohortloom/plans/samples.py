@@ -74,30 +74,32 @@ def node_design_rows(spark, d):
     return _summary(ds.node_matrix(m, ds.drop_gappy_samples(m, design)))
 
 
-def long_design(spark, d):
+def moments(spark, d):
     m = st.vector_matrix(spark, d, gaps=False)
-    return ds.node_matrix(m, ds.node_design(m, *class_tree(spark, d)))
+    return dm.design_moments(m, ds.node_design(m, *class_tree(spark, d)))
 
 
 def diff_pooled_t(spark, d):
-    fits = dm.pooled_t(dm.class_moments(long_design(spark, d)))
+    fits = dm.probe_tests(moments(spark, d), "none")
     return fits.select("node_id", "cancer_type", "probe_id", "n", "n_rest",
                        F.round("diff", 8).alias("diff"), F.round("s2", 8).alias("s2"),
                        F.round("t", 6).alias("t"))
 
 
 def diff_top_probes(spark, d):
-    return dm.select_probes(long_design(spark, d), "none", TOP)
+    return dm.select_probes(moments(spark, d), "none", TOP)
 
 
 def diff_moderated(spark, d):
-    fits = dm.moderate(dm.pooled_t(dm.class_moments(long_design(spark, d))))
+    fits = dm.probe_tests(moments(spark, d), "eb")
     return dm.top_probes(fits).select("node_id", "cancer_type", "probe_id", "rank",
                                       F.round("t", 6).alias("t"))
 
 
 def diff_selected_matrix(spark, d):
-    root = long_design(spark, d).filter(F.col("node_id") == st.CLASS_ROOT)
+    m = st.vector_matrix(spark, d, gaps=False)
+    design = ds.node_design(m, *class_tree(spark, d))
+    root = ds.node_matrix(m, design.filter(F.col("node_id") == st.CLASS_ROOT))
     model = dm.DifferentialSelector(number=TOP).fit(root)
     return model.transform(root).select("sample_id", "probe_id", "m_value")
 
