@@ -65,18 +65,20 @@ def _nearest(k: int):
             with np.errstate(divide="ignore", invalid="ignore"):
                 dist = np.sqrt(np.maximum(gap, 0.0) * a.shape[1] / shared)
             dist = np.round(np.where(shared > 0, dist, np.inf), 9)
-            ids, donor_ids = targets["sample_id"].to_numpy(), donors["donor_id"].to_numpy()
+            names, donor_ids = targets["sample_id"].to_numpy(), donors["donor_id"].to_numpy()
             for i in range(len(a)):
                 order = np.argsort(dist[i], kind="stable")
                 order = order[np.isfinite(dist[i][order])]
                 for j in np.flatnonzero(~has_a[i]):
                     near = order[has_b[order, j]][:k]
-                    out["sample_id"] += [ids[i]] * len(near)
+                    out["sample_id"] += [names[i]] * len(near)
                     out["j"] += [int(j)] * len(near)
                     out["donor_id"] += list(donor_ids[near])
                     out["dist"] += list(dist[i][near])
                     out["value"] += list(b[near, j])
-        return pd.DataFrame(out)
+        ids = targets["sample_id"].dtype
+        return pd.DataFrame(out).astype({"sample_id": ids, "j": "int32", "donor_id": ids,
+                                         "dist": "float64", "value": "float64"})
 
     return lambda key, left, right: block(left, right)
 

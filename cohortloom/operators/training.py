@@ -42,6 +42,7 @@ AUC_FOREST_GRID = {
 }
 MODEL_GRIDS = {"svm": SVM_GRID, "random_forest": FOREST_GRID}
 DEEPEST = 30
+MAX_BINS = 256
 
 
 def model_grid(model_type: str) -> dict:
@@ -136,7 +137,9 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
             maxDepth=int(params.get("max_depth") or DEEPEST),
             impurity=params.get("criterion", "gini"),
             featureSubsetStrategy=params.get("max_features") or "all",
-            minInstancesPerNode=int(params.get("min_samples_leaf", 1)))
+            minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+            # As many candidate splits as values, up to a bound on memory.
+            maxBins=max(32, min(n, MAX_BINS)))
         if params.get("class_weight") == "balanced":
             forest = forest.setWeightCol("weight")
         return PipelineModel([forest.fit(train)])
