@@ -121,7 +121,7 @@ def stream_ingest(spark, d):
     chosen = probemap.probe_map(st.part_manifest(spark, d))
     stream.ingest_arrays(raw, chosen, target, scratch_path(spark, "progress")).awaitTermination()
     return probemap.collapsed_measure(spark.read.parquet(target), "MValue").withColumn(
-        "MValue", F.round("MValue", 4))
+        "MValue", F.round("MValue", 6))
 
 
 def stream_new_samples(spark, d):
@@ -202,7 +202,7 @@ QUERIES = {
         latest_freeze,
         """SELECT event_id, value, strftime(ts, '%Y-%m-%d') AS freeze FROM events
            WHERE strftime(ts, '%Y-%m-%d') = (SELECT max(strftime(ts, '%Y-%m-%d')) FROM events)"""),
-    "stream_ingest": Query(stream_ingest, collapse_sql("MValue", 4)),
+    "stream_ingest": Query(stream_ingest, collapse_sql("MValue", 6)),
     "stream_new_samples": Query(
         stream_new_samples,
         """SELECT o_custkey AS meth_sample_id, o_orderkey FROM orders

@@ -36,7 +36,7 @@ def collapsed(spark, d):
 
 def collapse_m(spark, d):
     return pm.collapsed_measure(collapsed(spark, d), "MValue").withColumn(
-        "MValue", F.round("MValue", 4))
+        "MValue", F.round("MValue", 6))
 
 
 def collapse_beta(spark, d):
@@ -89,7 +89,7 @@ QUERIES = {
                 SELECT "EPICv1locmatch" FROM man GROUP BY 1
                 HAVING count("EPICv1locmatch") IN (2, 3, 4, 5, 6, 10))
               AND "EPICv1locmatch" NOT IN (SELECT "EPICv1locmatch" FROM ({st.PROBE_MAP}))"""),
-    "collapse_probes": Query(collapse_m, collapse_sql("MValue", 4)),
+    "collapse_probes": Query(collapse_m, collapse_sql("MValue", 6)),
     "collapse_probes_beta": Query(collapse_beta, collapse_sql("Beta", 6)),
     "collapse_first": Query(
         collapse_first,
