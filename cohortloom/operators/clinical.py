@@ -99,11 +99,16 @@ def methylation_siblings(xref: DataFrame, biosample: DataFrame, ids: DataFrame)
 
 def sample_ids(sample: DataFrame, xref: DataFrame, biosample: DataFrame,
                patients: DataFrame | None = None) -> DataFrame:
-    """Ids of some patients' samples, or all methylation ids of all samples."""
+    """Ids of some patients' samples, or all methylation ids of all genome samples.
+
+    The second form adds ``n_requested``, how many genomes led to the id.
+    """
     if patients is not None:
         return patient_samples(sample, patients)
-    return convert_ids(xref, biosample, GENOME, METHYLATION, sample.select("sample_id")).select(
-        F.col(f"{METHYLATION}_id").alias("sample_id"))
+    genomes = project(biosample.filter(F.col("sample_type") == GENOME), ["biosample_id"],
+                      sample.select("sample_id"), key="biosample_id")
+    return methylation_siblings(xref, biosample, genomes).select(
+        F.col("biosample_id").alias("sample_id"), "n_requested")
 
 
 def prefixed(table: DataFrame, name: str) -> DataFrame:

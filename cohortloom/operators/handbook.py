@@ -119,7 +119,9 @@ def get_chapter(books: DataFrame, book_id=None, chapter_id=None, book_title=None
         rows = chapters(books.filter(F.col("bookid") == wanted)).filter(
             F.col("chapterTitle") == chapter_title)
     rows = rows.filter(F.col("sectionLevel") == 1)
-    return documents(rows.orderBy("section_no", "chapter_no").limit(1), clean)
+    first = F.min_by(F.struct(*rows.columns), F.struct("section_no", "chapter_no"))
+    return documents(rows.groupBy().agg(first.alias("r")).filter("r is not null").select("r.*"),
+                     clean)
 
 
 def book_list(books: DataFrame) -> DataFrame:

@@ -31,12 +31,23 @@ def feature_list(m: DataFrame) -> list[str]:
     return sorted(r[0] for r in m.select("probe_id").distinct().collect())
 
 
+def unique_cells(m: DataFrame, features: list[str]) -> DataFrame:
+    """Known values of the named probes, one row per (sample, probe).
+
+    A repeated measurement takes its mean.  Repeats are combined before anything
+    is gathered per sample, so however often a sample was measured, what is
+    gathered is never longer than the list of features.
+    """
+    return m.filter(F.col("probe_id").isin(features) & F.col("m_value").isNotNull()).groupBy(
+        "sample_id", "probe_id").agg(F.avg("m_value").alias("m_value"))
+
+
 def sample_vectors(m: DataFrame, features: list[str]) -> DataFrame:
     """(sample_id, x): values in feature order, null where missing.
 
     Rows are cut to the features first, so a group never exceeds their number.
     """
-    cells = m.filter(F.col("probe_id").isin(features) & F.col("m_value").isNotNull())
+    cells = unique_cells(m, features)
     known = cells.groupBy("sample_id").agg(F.map_from_entries(
         F.collect_list(F.struct("probe_id", "m_value"))).alias("v"))
     everyone = m.select("sample_id").distinct()

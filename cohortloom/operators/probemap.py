@@ -69,20 +69,30 @@ def collapse(raw: DataFrame, chosen: DataFrame, measures=("MValue", "Beta")) ->
     chosen probes.  Any other locus keeps its value when all its rows agree and
     is dropped for that measure when they do not (a null disagrees with a number).
 
-    ``raw`` holds (sample_id, Name, EPICv1_Loci, <measures>).  Both aggregates
-    end up partitioned by (sample, locus), so joining them moves nothing.
+    ``raw`` holds (sample_id, Name, EPICv1_Loci, <measures>).  A row counts for
+    its own locus and, if its probe was chosen, towards the mean of the locus the
+    map names for it, which is nearly always the same one.  So the rows are read
+    and shuffled once, already combined per task.
     Returned columns: sample_id, probe_id, <measure>, <measure>_kept.
     """
     rows = raw.filter(F.col("EPICv1_Loci").isNotNull())
-    base = rows.groupBy("sample_id", F.col("EPICv1_Loci").alias("probe_id")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{c}_{tag}") for c in measures
-          for f, tag in ((F.count, "n"), (F.min, "lo"), (F.max, "hi"))])
-    means = rows.join(chosen, rows["Name"] == chosen["IlmnID"]).groupBy(
-        "sample_id", F.col("EPICv1locmatch").alias("probe_id")).agg(
-        F.lit(True).alias("mapped"), *[F.avg(c).alias(f"{c}_mean") for c in measures])
-    both = base.join(means, ["sample_id", "probe_id"], "left")
-    mapped = F.col("mapped").isNotNull()
+    own, target = F.col("EPICv1_Loci"), F.col("EPICv1locmatch")
+    counts = lambda locus, base, picked: F.struct(
+        locus.alias("probe_id"), F.lit(base).alias("base"), picked.alias("picked"))
+    shares = F.when(target.isNull() | (target == own), F.array(
+        counts(own, True, target.isNotNull()))).otherwise(F.array(
+            counts(own, True, F.lit(False)), counts(target, False, F.lit(True))))
+    spread = rows.join(chosen, rows["Name"] == chosen["IlmnID"], "left").select(
+        "sample_id", *measures, F.inline(shares))
+    base = F.col("base")
+    both = spread.groupBy("sample_id", "probe_id").agg(
+        F.count_if(base).alias("n"), F.max("picked").alias("mapped"),
+        *[x for c in measures for x in (
+            F.count(F.when(base, F.col(c))).alias(f"{c}_n"),
+            F.min(F.when(base, F.col(c))).alias(f"{c}_lo"),
+            F.max(F.when(base, F.col(c))).alias(f"{c}_hi"),
+            F.avg(F.when(F.col("picked"), F.col(c))).alias(f"{c}_mean"))]).filter("n > 0")
+    mapped = F.col("mapped")
     out = [F.col("sample_id"), F.col("probe_id")]
     for c in measures:
         agrees = (F.col(f"{c}_n") == 0) | (

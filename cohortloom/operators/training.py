@@ -107,8 +107,7 @@ def vector_of(values: str, features: list[str]):
 
 def value_maps(m: DataFrame, features: list[str]) -> DataFrame:
     """(sample_id, v): probe -> value maps of the named probes only."""
-    return m.filter(F.col("probe_id").isin(features) & F.col("m_value").isNotNull()).groupBy(
-        "sample_id").agg(F.map_from_entries(
+    return impute.unique_cells(m, features).groupBy("sample_id").agg(F.map_from_entries(
             F.collect_list(F.struct("probe_id", "m_value"))).alias("v"))
 
 
@@ -204,12 +203,27 @@ class Search:
     n_test: int
 
 
+@dataclass
+class SearchPlan:
+    """What the searches on all nodes start from.
+
+    ``samples``: (node_id, sample_id, cancer_type, held_out, fold), the fold null
+    where held out.  ``probes``: (node_id, train_of, probe_id), the probes chosen
+    without each fold, -1 for without none.  ``matrix``: (node_id, sample_id,
+    probe_id, m_value), each node's own part of the measurements.
+    """
+
+    samples: DataFrame
+    probes: DataFrame
+    matrix: DataFrame
+
+
 def plan_search(m: DataFrame, design: DataFrame, k: int = ds.FOLDS, prior: str = "eb",
-                number: int = dm.TOP_PROBES, seed: int = ds.SEED) -> tuple[DataFrame, DataFrame]:
-    """Split, folds and chosen probes of every node of ``design``, for :func:`search`.
+                number: int = dm.TOP_PROBES, seed: int = ds.SEED) -> SearchPlan:
+    """Split, folds, chosen probes and reduced matrix of every node of ``design``.
 
-    Returns (samples, probes): (node_id, sample_id, cancer_type, held_out, fold)
-    and (node_id, train_of, probe_id).  The fold is null for held-out samples.
+    However many nodes there are, the measurements are read twice: to choose the
+    probes and to keep what was chosen, in one folder per node.
     """
     unit = ds.shuffle_unit(seed=seed)
     split = ds.split_random(design.select("node_id", "sample_id", "cancer_type"),
@@ -220,23 +234,27 @@ def plan_search(m: DataFrame, design: DataFrame, k: int = ds.FOLDS, prior: str =
     train = samples.filter(~F.col("held_out")).select(
         "node_id", "sample_id", "cancer_type", "fold")
     long = m.select("sample_id", "probe_id", "m_value").join(train, "sample_id")
-    return samples, cut(_fold_probes(long, k, prior, number))
+    probes = cut(_fold_probes(long, k, prior, number))
+    matrix = m.select("sample_id", "probe_id", "m_value").join(
+        samples.select("node_id", "sample_id"), "sample_id").join(
+        probes.select("node_id", "probe_id").distinct(), ["node_id", "probe_id"], "left_semi")
+    return SearchPlan(samples, probes, cut(matrix, partition_by="node_id"))
 
 
-def search(m: DataFrame, samples: DataFrame, probes: DataFrame, node_id: str,
-           model_type: str = "svm", grid: dict | None = None, scoring: str = "accuracy",
+def search(plan: SearchPlan, node_id: str, model_type: str = "svm", grid: dict | None = None, scoring: str = "accuracy",
            k: int = ds.FOLDS, seed: int = ds.SEED, name: str | None = None) -> Search:
     """Cross-validated grid search on one node; the best point is refitted."""
     grid = model_grid(model_type) if grid is None else grid
     if model_type not in MODEL_GRIDS:
         model_grid(model_type)
     chosen: dict[int, list[str]] = {}
-    for row in probes.filter(F.col("node_id") == node_id).orderBy("probe_id").collect():
+    for row in plan.probes.filter(F.col("node_id") == node_id).orderBy("probe_id").collect():
         chosen.setdefault(row["train_of"], []).append(row["probe_id"])
     wanted = sorted({p for some in chosen.values() for p in some})
-    mine = samples.filter(F.col("node_id") == node_id).select(
+    mine = plan.samples.filter(F.col("node_id") == node_id).select(
         "sample_id", "cancer_type", "held_out", "fold")
-    rows = cut(mine.join(value_maps(m, wanted), "sample_id"))
+    own = plan.matrix.filter(F.col("node_id") == node_id)
+    rows = cut(mine.join(value_maps(own, wanted), "sample_id"))
     labels = sorted(r[0] for r in mine.select("cancer_type").distinct().collect())
     train = rows.filter(~F.col("held_out"))
     test = rows.filter("held_out")
@@ -282,8 +300,8 @@ def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: s
     spark = m.sparkSession
     if design is None:
         design = ds.node_design(m, nodes, samples)
-    planned, probes = plan_search(m, design, prior=prior, number=number, seed=seed)
-    ready = {r[0] for r in planned.select("node_id").distinct().collect()}
+    plan = plan_search(m, design, prior=prior, number=number, seed=seed)
+    ready = {r[0] for r in plan.samples.select("node_id").distinct().collect()}
     models, stats = {}, []
     # The hierarchy is small: one row per node, in depth-first order.
     for node in nodes.select("node_id", "name", "preorder").orderBy("preorder").collect():
@@ -292,7 +310,7 @@ def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: s
             stats.append((node_id, name, "skipped") + (None,) * 7)
             continue
         try:
-            found = search(m, planned, probes, node_id, model_type, grid, seed=seed, name=name)
+            found = search(plan, node_id, model_type, grid, seed=seed, name=name)
             models[name] = found.model
             if path:
                 found.model.save(spark, f"{path}/{name}")
@@ -319,15 +337,15 @@ def refit(m: DataFrame, nodes: DataFrame, samples: DataFrame, records: DataFrame
     """
     models, status = {}, []
     spark = m.sparkSession
-    available = m.select("probe_id").distinct()
+    # All records' features are taken out of the measurements in one pass.
+    listed = records.select(F.explode("feature_names").alias("probe_id")).distinct()
+    m = cut(m.select("sample_id", "probe_id", "m_value").join(listed, "probe_id", "left_semi"))
+    have = {r[0] for r in m.select("probe_id").distinct().collect()}
     by_name = tree.find_by_name(nodes)
     below = tree.samples_below(nodes, samples)
     for record in records.collect():
         name = record["model_name"]
         try:
-            listed = spark.createDataFrame([(p,) for p in record["feature_names"]],
-                                           "probe_id string")
-            have = {r[0] for r in available.join(listed, "probe_id", "left_semi").collect()}
             features = [p for p in record["feature_names"] if p in have]
             node = by_name.filter(F.col("name") == name).select("node_id")
             child = nodes.join(node.withColumnRenamed("node_id", "parent_id"), "parent_id",

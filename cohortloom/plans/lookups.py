@@ -144,7 +144,7 @@ QUERIES = {
         """SELECT o_orderkey AS sample_id FROM orders
            WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)"""),
     "all_methylation_ids": Query(
-        all_methylation_ids, f"{_C} SELECT b.biosample_id AS sample_id {_PAIRS}"),
+        all_methylation_ids, f"{_C} SELECT b.biosample_id AS sample_id, count(*) AS n_requested {_PAIRS} GROUP BY 1"),
     "classifier_join": Query(
         classifier_join,
         """SELECT c_custkey AS "Sample_sample_id", c_custkey AS "Sample_meth_sample_id",

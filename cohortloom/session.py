@@ -40,15 +40,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     The result has no lineage to recompute when executors are lost, and unlike
     an RDD checkpoint it is computed once, is pruned by column and has a known
-    size for the join planner.
+    size for the join planner.  With ``partition_by`` a later filter on that
+    column reads only its own folder.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -17,12 +17,9 @@ ID_COLUMNS = ("sample_id", "meth_sample_id", "sampleId")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system it names."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether a path exists on whatever file system it names; nothing is listed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def safely(read, default=None):
@@ -47,8 +44,8 @@ def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame | None:
     cells = F.transform(F.split("value", ",", -1), lambda c: F.trim(c, F.lit(' "\r')))
     rows = lines.select(cells.alias("cells"))
     first = F.get("cells", F.lit(0))
-    names = rows.filter(first.isin(*ID_COLUMNS)).limit(1).select(
-        F.posexplode("cells").alias("pos", "probe_id"))
+    names = rows.filter(first.isin(*ID_COLUMNS)).select(
+        F.posexplode("cells").alias("pos", "probe_id")).distinct()
     names = cut(names.withColumn("probe_id", F.when(
         F.col("probe_id") == "sampleId", "sample_id").otherwise(F.col("probe_id"))))
     ids = {r["probe_id"]: r["pos"] for r in names.filter(

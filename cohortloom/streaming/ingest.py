@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import probemap
 from ..sources.files import exists
 
 
-def _earlier(spark: SparkSession, target: str, batch_id: int, schema) -> DataFrame | None:
-    """What other batches have written; None before the first write."""
-    if not exists(spark, target):
-        return None
-    return spark.read.schema(schema).parquet(target).filter(F.col("batch_id") != batch_id)
-
-
 def append_once(batch: DataFrame, batch_id: int, target: str, key: str = "sample_id") -> None:
     """Append a batch's samples that no other batch has written.
 
     A replayed batch overwrites its own folder, so running it again changes
-    nothing; the anti-join keeps no state in the stream.
+    nothing.  The ids of each batch are kept beside the target, one row per
+    sample, so that the test reads those and not the measurements; no state is
+    held in the stream.
     """
-    schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
-    before = _earlier(batch.sparkSession, target, batch_id, schema)
-    fresh = batch if before is None else batch.join(before.select(key), key, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+    spark, ids = batch.sparkSession, f"{target.rstrip('/')}_ids"
+    fresh = batch
+    if exists(spark, ids):
+        schema = T.StructType([batch.schema[key], T.StructField("batch_id", T.LongType())])
+        before = spark.read.schema(schema).parquet(ids).filter(F.col("batch_id") != batch_id)
+        fresh = batch.join(before, key, "left_anti")
+    folder = f"{target}/batch_id={batch_id}"
+    fresh.write.mode("overwrite").parquet(folder)
+    spark.read.schema(batch.schema).parquet(folder).select(key).distinct().write.mode(
+        "overwrite").parquet(f"{ids}/batch_id={batch_id}")
 
 
 def ingest_arrays(raw: DataFrame, chosen: DataFrame, target: str, checkpoint: str,

@@ -31,8 +31,7 @@ def level(spark):
 @pytest.fixture(scope="module")
 def planned(level):
     m, nodes, held = level
-    samples, probes = tr.plan_search(m, ds.node_design(m, nodes, held), k=2, number=5)
-    return m, samples, probes
+    return m, tr.plan_search(m, ds.node_design(m, nodes, held), k=2, number=5)
 
 
 def test_unknown_model_type(level):
@@ -49,7 +48,7 @@ def test_grids():
 
 
 def test_plan_holds_out_a_fifth(planned):
-    _, samples, probes = planned
+    samples, probes = planned[1].samples, planned[1].probes
     rows = samples.collect()
     assert sum(r.held_out for r in rows) == 20 and len(rows) == 100
     assert {r.cancer_type for r in rows if r.held_out} == {"typeA", "typeB"}
@@ -60,8 +59,8 @@ def test_plan_holds_out_a_fifth(planned):
 
 
 def test_forest_search(planned):
-    m, samples, probes = planned
-    found = tr.search(m, samples, probes, "top", "random_forest", SMALL, k=2)
+    m, plan = planned
+    found = tr.search(plan, "top", "random_forest", SMALL, k=2)
     assert found.best == {"n_estimators": 5, "max_depth": 3}
     assert (found.n_train, found.n_test) == (80, 20)
     assert found.test_accuracy > 0.8 and 0.0 <= found.scores[0]["score"] <= 1.0
@@ -72,8 +71,8 @@ def test_forest_search(planned):
 
 
 def test_svm_search(planned):
-    m, samples, probes = planned
-    found = tr.search(m, samples, probes, "top", "svm", {"C": [0.1, 1.0], "max_iter": [20]}, k=2)
+    m, plan = planned
+    found = tr.search(plan, "top", "svm", {"C": [0.1, 1.0], "max_iter": [20]}, k=2)
     assert len(found.scores) == 2 and found.test_accuracy > 0.8
 
 
@@ -131,9 +130,9 @@ def test_refit_records_errors(level, spark):
 
 @pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
 def test_calibration_sums_to_one(planned, method):
-    m, samples, probes = planned
-    found = tr.search(m, samples, probes, "top", "random_forest", SMALL, k=2)
-    labels = samples.filter("not held_out").select("sample_id", "cancer_type")
+    m, plan = planned
+    found = tr.search(plan, "top", "random_forest", SMALL, k=2)
+    labels = plan.samples.filter("not held_out").select("sample_id", "cancer_type")
     scored = inf.validation_calls(m, found.model, labels).withColumnRenamed("actual", "cancer_type")
     out = tr.calibrate(scored, found.model.labels, method).collect()
     assert len(out) == 80
