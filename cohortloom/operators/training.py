@@ -11,7 +11,9 @@ import itertools
 import json
 import math
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -43,6 +45,8 @@ AUC_FOREST_GRID = {
 MODEL_GRIDS = {"svm": SVM_GRID, "random_forest": FOREST_GRID}
 DEEPEST = 30
 MAX_BINS = 256
+PARTITION_BYTES = 32 << 20
+WORKERS = 10
 
 
 def model_grid(model_type: str) -> dict:
@@ -126,7 +130,8 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
     if model_type == "svm":
         svc = LinearSVC(featuresCol="scaled", regParam=1.0 / (params.get("C", 1.0) * n),
                         standardization=False, maxIter=params.get("max_iter", 50))
-        model = svc if n_labels == 2 else OneVsRest(classifier=svc, featuresCol="scaled")
+        model = svc if n_labels == 2 else OneVsRest(
+            classifier=svc, featuresCol="scaled", parallelism=n_labels)
         scaling = population_scaler(train, n)
         scaled = PipelineModel(scaling).transform(train)
         return PipelineModel([*scaling, model.fit(scaled)])
@@ -145,16 +150,27 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
     raise ValueError(f"Unsupported model type: {model_type}")
 
 
-def _labelled(rows: DataFrame, labels: list[str], features: list[str]) -> DataFrame:
-    """Vectors with a label index and the balanced weight n / (classes * n_class)."""
+def _labelled(rows: DataFrame, labels: list[str], features: list[str], n: int,
+              weighted: bool = False) -> DataFrame:
+    """Vectors with a label index and, if asked for, the weight n / (classes * n_class).
+
+    The index carries the number of classes, so that no learner has to count
+    them.  About ``n`` rows are spread over as many partitions as their size
+    asks for: each step of a learner is a job over all of them.
+    """
     index = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("cancer_type")) - 1
-    ready = rows.select("sample_id", "cancer_type", index.cast("double").alias("label"),
+    about = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": len(labels)}}
+    ready = rows.select("sample_id", "cancer_type",
+                        index.cast("double").alias("label", metadata=about),
                         vector_of("v", features).alias("features")).filter(
         F.col("features").isNotNull())
+    parts = max(1, math.ceil(n * len(features) * 8 / PARTITION_BYTES))
+    if not weighted:
+        return ready.coalesce(parts)
     sizes = ready.groupBy("cancer_type").agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("n")).scalar()
     weights = sizes.select("cancer_type", (total / (len(labels) * F.col("_n"))).alias("weight"))
-    return ready.join(weights, "cancer_type")
+    return ready.join(weights, "cancer_type").coalesce(parts)
 
 
 def accuracy(calls: DataFrame) -> float:
@@ -242,7 +258,8 @@ def plan_search(m: DataFrame, design: DataFrame, k: int = ds.FOLDS, prior: str =
 
 
 def search(plan: SearchPlan, node_id: str, model_type: str = "svm", grid: dict | None = None, scoring: str = "accuracy",
-           k: int = ds.FOLDS, seed: int = ds.SEED, name: str | None = None) -> Search:
+           k: int = ds.FOLDS, seed: int = ds.SEED, name: str | None = None,
+           workers: int = WORKERS) -> Search:
     """Cross-validated grid search on one node; the best point is refitted."""
     grid = model_grid(model_type) if grid is None else grid
     if model_type not in MODEL_GRIDS:
@@ -262,18 +279,27 @@ def search(plan: SearchPlan, node_id: str, model_type: str = "svm", grid: dict |
     score_of = SCORERS[scoring]
 
     points = grid_points(grid)
+    weighted = any(p.get("class_weight") == "balanced" for p in points)
     totals = [0.0] * len(points)
     for fold in range(k):
-        fit_on = _labelled(train.filter(F.col("fold") != fold), labels, chosen[fold]).persist()
+        fit_on = _labelled(train.filter(F.col("fold") != fold), labels, chosen[fold], n_train,
+                           weighted).persist()
         n_fit = fit_on.count()
-        check = train.filter(F.col("fold") == fold)
-        for i, point in enumerate(points):
+        check = train.filter(F.col("fold") == fold).persist()
+
+        def trial(point: dict) -> float:
             stages = _fit(fit_on, model_type, point, len(labels), n_fit, seed)
-            trial = NodeModel(node_id, chosen[fold], labels, stages)
-            totals[i] += score_of(trial.transform(check), labels) / k
+            model = NodeModel(node_id, chosen[fold], labels, stages)
+            return score_of(model.transform(check), labels)
+
+        # Every trial is Spark jobs; the pool only keeps several of them going.
+        with ThreadPool(min(workers, len(points))) as pool:
+            scored = pool.map(inheritable_thread_target(plan.samples.sparkSession)(trial), points)
+        totals = [t + s / k for t, s in zip(totals, scored)]
         fit_on.unpersist()
+        check.unpersist()
     best_at = max(range(len(points)), key=lambda i: totals[i])
-    whole = _labelled(train, labels, chosen[-1]).persist()
+    whole = _labelled(train, labels, chosen[-1], n_train, weighted).persist()
     stages = _fit(whole, model_type, points[best_at], len(labels), n_train, seed)
     whole.unpersist()
     best = NodeModel(name or node_id, chosen[-1], labels, stages, points[best_at])
@@ -356,8 +382,9 @@ def refit(m: DataFrame, nodes: DataFrame, samples: DataFrame, records: DataFrame
             params = {k: _typed(v) for k, v in (record["parameters"] or {}).items()}
             if record["model_type"] not in ("RandomForestClassifier", "random_forest"):
                 raise ValueError(f"Unsupported model type: {record['model_type']}")
-            train = _labelled(rows, labels, features).persist()
-            n = train.count()
+            n = rows.count()
+            train = _labelled(rows, labels, features, n,
+                              params.get("class_weight") == "balanced").persist()
             models[name] = NodeModel(name, features, labels, _fit(
                 train, "random_forest", params, len(labels), n, seed), params)
             train.unpersist()
