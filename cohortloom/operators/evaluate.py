@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .ranking import running_sums
+from .ranking import running
 
 
 def confusion(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -87,7 +87,7 @@ def _sweep(scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     steps = scores.filter(F.col("score").isNotNull()).groupBy(*keys, "score").agg(
         F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     # Borders, totals and running sums all read the steps; the scores are read once.
-    return running_sums(cut(steps), list(keys), "score", ["pos", "neg"])
+    return running(cut(steps), list(keys), "score", ("pos", "neg"))
 
 
 def roc_points(scores: DataFrame, keys: tuple[str, ...] = ("class",)) -> DataFrame:

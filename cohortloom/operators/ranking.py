@@ -42,30 +42,34 @@ def hash_rank(df: DataFrame, keys: list[str], unit: Column, tie: str,
             .drop("_u", "_b", "_r", "_bb", "_off", *[f"_k{i}" for i in range(len(keys))]))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str, sums: list[str],
-                 buckets: int = 256) -> DataFrame:
-    """Running totals of ``sums`` within each key, by descending ``order``.
+def running(df: DataFrame, keys: list[str], order: str, sums: tuple[str, ...] = (),
+            maxes: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+    """Running sums and maxima within each key, by descending ``order``.
 
-    ``df`` must already be one row per (key, order).  Bucket borders are
-    approximate quantiles per key, written to the checkpoint folder so that both
-    uses see the same borders; the totals do not depend on where they fall.
-    Adds ``cum_<c>`` and ``total_<c>``.
+    Bucket borders are approximate quantiles per key, written to the checkpoint
+    folder so that both uses see the same borders; the results do not depend on
+    where they fall.  Rows that tie on (key, order) follow each other in any
+    order.  Adds ``cum_<c>`` and ``total_<c>`` for sums, ``top_<c>`` for maxima.
     """
     shares = [i / buckets for i in range(1, buckets)]
     borders = cut(df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(order, shares, 1000)).alias("_borders")))
     rows = df.join(borders, keys).withColumn(
         "_b", F.size(F.filter("_borders", lambda x: x > F.col(order)))).drop("_borders")
-    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t{c}") for c in sums])
+    totals = rows.groupBy(*keys, "_b").agg(
+        *[F.sum(c).alias(f"_t{c}") for c in sums], *[F.max(c).alias(f"_m{c}") for c in maxes])
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, "_b",
         *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in sums],
-        *[F.sum(f"_t{c}").over(by_key).alias(f"total_{c}") for c in sums])
+        *[F.sum(f"_t{c}").over(by_key).alias(f"total_{c}") for c in sums],
+        *[F.max(f"_m{c}").over(before).alias(f"_p{c}") for c in maxes])
     inner = Window.partitionBy(*keys, "_b").orderBy(F.desc(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    within = rows.select("*", *[F.sum(c).over(inner).alias(f"_w{c}") for c in sums])
-    return within.join(offsets, [*keys, "_b"]).withColumns(
-        {f"cum_{c}": F.col(f"_o{c}") + F.col(f"_w{c}") for c in sums}).drop(
-        "_b", *[f"_{t}{c}" for t in "ow" for c in sums])
+    within = rows.select("*", *[F.sum(c).over(inner).alias(f"_w{c}") for c in sums],
+                         *[F.max(c).over(inner).alias(f"_x{c}") for c in maxes])
+    added = {f"cum_{c}": F.col(f"_o{c}") + F.col(f"_w{c}") for c in sums}
+    added |= {f"top_{c}": F.greatest(f"_p{c}", f"_x{c}") for c in maxes}
+    return within.join(offsets, [*keys, "_b"]).withColumns(added).drop(
+        "_b", *[f"_{t}{c}" for t in "ow" for c in sums], *[f"_{t}{c}" for t in "px" for c in maxes])

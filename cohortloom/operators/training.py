@@ -46,7 +46,8 @@ MODEL_GRIDS = {"svm": SVM_GRID, "random_forest": FOREST_GRID}
 DEEPEST = 30
 MAX_BINS = 256
 PARTITION_BYTES = 32 << 20
-WORKERS = 10
+# Trials of one node, and nodes, that are kept going at once.
+WORKERS, NODE_WORKERS = 10, 4
 
 
 def model_grid(model_type: str) -> dict:
@@ -141,7 +142,9 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
             maxDepth=int(params.get("max_depth") or DEEPEST),
             impurity=params.get("criterion", "gini"),
             featureSubsetStrategy=params.get("max_features") or "all",
-            minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+            # The nearest to "split nodes of at least s samples": s // 2 on each side.
+            minInstancesPerNode=max(int(params.get("min_samples_leaf", 1)),
+                                    int(params.get("min_samples_split", 2)) // 2),
             # As many candidate splits as values, up to a bound on memory.
             maxBins=max(32, min(n, MAX_BINS)))
         if params.get("class_weight") == "balanced":
@@ -234,7 +237,7 @@ class SearchPlan:
     matrix: DataFrame
 
 
-def plan_search(m: DataFrame, design: DataFrame, k: int = ds.FOLDS, prior: str = "eb",
+def plan_search(m: DataFrame, design: DataFrame, k: int = ds.FOLDS, prior: str = "robust",
                 number: int = dm.TOP_PROBES, seed: int = ds.SEED) -> SearchPlan:
     """Split, folds, chosen probes and reduced matrix of every node of ``design``.
 
@@ -314,7 +317,7 @@ STATS = """node_id string, name string, status string, n_train long, n_test long
 
 
 def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: str = "svm",
-               grid: dict | None = None, path: str | None = None, prior: str = "eb",
+               grid: dict | None = None, path: str | None = None, prior: str = "robust",
                number: int = dm.TOP_PROBES, seed: int = ds.SEED,
                design: DataFrame | None = None) -> tuple[dict[str, NodeModel], DataFrame]:
     """A model for every node whose data set is large enough, and a table about all nodes.
@@ -328,24 +331,27 @@ def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: s
         design = ds.node_design(m, nodes, samples)
     plan = plan_search(m, design, prior=prior, number=number, seed=seed)
     ready = {r[0] for r in plan.samples.select("node_id").distinct().collect()}
-    models, stats = {}, []
-    # The hierarchy is small: one row per node, in depth-first order.
-    for node in nodes.select("node_id", "name", "preorder").orderBy("preorder").collect():
+
+    def train(node) -> tuple[NodeModel | None, tuple]:
         node_id, name = node["node_id"], node["name"]
         if node_id not in ready:
-            stats.append((node_id, name, "skipped") + (None,) * 7)
-            continue
+            return None, (node_id, name, "skipped") + (None,) * 7
         try:
             found = search(plan, node_id, model_type, grid, seed=seed, name=name)
-            models[name] = found.model
             if path:
                 found.model.save(spark, f"{path}/{name}")
-            stats.append((node_id, name, "trained", found.n_train, found.n_test,
-                          len(found.model.features), json.dumps(found.best),
-                          found.train_accuracy, found.test_accuracy, None))
+            return found.model, (
+                node_id, name, "trained", found.n_train, found.n_test, len(found.model.features),
+                json.dumps(found.best), found.train_accuracy, found.test_accuracy, None)
         except Exception as error:  # noqa: BLE001
-            stats.append((node_id, name, "failed") + (None,) * 6 + (str(error),))
-    return models, spark.createDataFrame(stats, STATS)
+            return None, (node_id, name, "failed") + (None,) * 6 + (str(error),)
+
+    # The hierarchy is small: one row per node, in depth-first order.
+    order = nodes.select("node_id", "name", "preorder").orderBy("preorder").collect()
+    with ThreadPool(NODE_WORKERS) as pool:
+        done = pool.map(inheritable_thread_target(spark)(train), order, chunksize=1)
+    models = {model.name: model for model, _ in done if model is not None}
+    return models, spark.createDataFrame([row for _, row in done], STATS)
 
 
 def training_summary(stats: DataFrame) -> DataFrame:

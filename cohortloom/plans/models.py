@@ -23,7 +23,7 @@ def _search(spark, d, model_type, grid):
     m = st.vector_matrix(spark, d, gaps=False)
     design = _design(spark, d, *class_tree(spark, d), m).filter(
         F.col("node_id") == st.CLASS_ROOT)
-    return tr.search(tr.plan_search(m, design, number=TOP), st.CLASS_ROOT, model_type, grid)
+    return tr.search(tr.plan_search(m, design, prior="eb", number=TOP), st.CLASS_ROOT, model_type, grid)
 
 
 def _scores(spark, found):
@@ -47,7 +47,7 @@ def forest_auc_search(spark, d):
     design = st.table(spark, d, "embeddings").select(
         F.lit("B").alias("node_id"), F.col("vec_id").alias("sample_id"),
         F.when(F.col("label") < 5, "low").otherwise("high").alias("cancer_type"))
-    plan = tr.plan_search(m, design, k=3, number=20)
+    plan = tr.plan_search(m, design, k=3, prior="eb", number=20)
     return _scores(spark, tr.search(
         plan, "B", "random_forest",
         {"n_estimators": [10], "max_depth": [5], "min_samples_leaf": [1, 4]}, "roc_auc", k=3))

@@ -96,6 +96,12 @@ def diff_moderated(spark, d):
                                       F.round("t", 6).alias("t"))
 
 
+def diff_robust(spark, d):
+    fits = dm.probe_tests(moments(spark, d), "robust")
+    return dm.top_probes(fits).select("node_id", "cancer_type", "probe_id", "rank",
+                                      F.round("d0", 4).alias("d0"), F.round("t", 6).alias("t"))
+
+
 def diff_selected_matrix(spark, d):
     m = st.vector_matrix(spark, d, gaps=False)
     design = ds.node_design(m, *class_tree(spark, d))
@@ -227,6 +233,7 @@ QUERIES = {
               SELECT *, row_number() OVER (PARTITION BY node_id, c
                 ORDER BY round(abs(t), 9) DESC, probe_id) AS rn FROM tests) WHERE rn <= {TOP}"""),
     "diff_moderated": Query(diff_moderated),
+    "diff_robust": Query(diff_robust),
     "diff_selected_matrix": Query(diff_selected_matrix),
     "scaled_features": Query(
         scaled_features,

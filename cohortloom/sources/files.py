@@ -146,11 +146,11 @@ def write_measurements(m: DataFrame, path: str, freeze: str, mode: str = "append
 def write_sample_files(m: DataFrame, path: str, column: str) -> None:
     """Per-sample CSV folders of (probeName, value).
 
-    Rows are moved to their sample's writer first.  One sample is one array, so
-    a folder is a few files however many samples there are.
+    Rows of a sample are brought together first, so that a folder is a few files;
+    a sample with very many rows is split over several writers.
     """
     m.select("meth_sample_id", F.col("probe_id").alias("probeName"), F.col(column)).filter(
-        F.col(column).isNotNull()).repartition("meth_sample_id").write.mode(
+        F.col(column).isNotNull()).hint("rebalance", "meth_sample_id").write.mode(
         "overwrite").partitionBy("meth_sample_id").option("header", True).csv(path)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import dataset as ds, qc, tree
-from cohortloom.operators.ranking import hash_rank, running_sums
+from cohortloom.operators.ranking import hash_rank, running
 
 M = "sample_id string, probe_id string, m_value double"
 
@@ -124,8 +124,9 @@ def test_running_sums_equal_the_window(spark):
         F.when(F.col("id") < 1500, "hot").otherwise("cold").alias("k"),
         (F.col("id") * F.col("id") % 7919 / 7919.0).alias("score"),
         (F.col("id") % 3).alias("n")).groupBy("k", "score").agg(F.sum("n").alias("n"))
-    got = {(r.k, r.score): (r.cum_n, r.total_n)
-           for r in running_sums(df, ["k"], "score", ["n"], buckets=16).collect()}
+    got = {(r.k, r.score): (r.cum_n, r.total_n, r.top_n)
+           for r in running(df, ["k"], "score", ("n",), ("n",), buckets=16).collect()}
     want = df.selectExpr("k", "score", "sum(n) over (partition by k order by score desc) as c",
-                         "sum(n) over (partition by k) as t")
-    assert got == {(r.k, r.score): (r.c, r.t) for r in want.collect()}
+                         "sum(n) over (partition by k) as t",
+                         "max(n) over (partition by k order by score desc) as x")
+    assert got == {(r.k, r.score): (r.c, r.t, r.x) for r in want.collect()}

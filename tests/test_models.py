@@ -221,3 +221,8 @@ def test_embedding_and_projection(three_levels, spark):
     assert set(centres) == {"a", "b", "guess"} and centres["guess"].y_range == 0.0
     gap = math.dist((centres["a"].x, centres["a"].y), (centres["b"].x, centres["b"].y))
     assert gap > 1.0
+
+
+def test_binary_call_includes_the_threshold(spark):
+    scored = spark.createDataFrame([(0.5,), (0.49,)], "probability double")
+    assert [r.call for r in inf.binary_call(scored).collect()] == [1, 0]
