@@ -367,7 +367,6 @@ def refit(m: DataFrame, nodes: DataFrame, samples: DataFrame, records: DataFrame
     feature_names).  Labels are the children of the node of that name; features
     the matrix does not have are left out.
     """
-    models, status = {}, []
     spark = m.sparkSession
     # All records' features are taken out of the measurements in one pass.
     listed = records.select(F.explode("feature_names").alias("probe_id")).distinct()
@@ -375,30 +374,37 @@ def refit(m: DataFrame, nodes: DataFrame, samples: DataFrame, records: DataFrame
     have = {r[0] for r in m.select("probe_id").distinct().collect()}
     by_name = tree.find_by_name(nodes)
     below = tree.samples_below(nodes, samples)
-    for record in records.collect():
+
+    def fit(record) -> tuple[NodeModel | None, tuple]:
         name = record["model_name"]
         try:
-            features = [p for p in record["feature_names"] if p in have]
-            node = by_name.filter(F.col("name") == name).select("node_id")
-            child = nodes.join(node.withColumnRenamed("node_id", "parent_id"), "parent_id",
-                               "left_semi").select("node_id", F.col("name").alias("cancer_type"))
-            design = child.join(below, "node_id").select("sample_id", "cancer_type")
-            rows = design.join(value_maps(m, features), "sample_id")
-            labels = sorted(r[0] for r in design.select("cancer_type").distinct().collect())
-            params = {k: _typed(v) for k, v in (record["parameters"] or {}).items()}
             if record["model_type"] not in ("RandomForestClassifier", "random_forest"):
                 raise ValueError(f"Unsupported model type: {record['model_type']}")
-            n = rows.count()
+            features = [p for p in record["feature_names"] if p in have]
+            params = {k: _typed(v) for k, v in (record["parameters"] or {}).items()}
+            node = by_name.filter(F.col("name") == name).select(F.col("node_id").alias("parent_id"))
+            child = nodes.join(node, "parent_id", "left_semi").select(
+                "node_id", F.col("name").alias("cancer_type"))
+            design = child.join(below, "node_id").select("sample_id", "cancer_type")
+            rows = design.join(value_maps(m, features), "sample_id").persist()
+            sizes = rows.groupBy("cancer_type").count().collect()
+            labels, n = sorted(r["cancer_type"] for r in sizes), sum(r["count"] for r in sizes)
             train = _labelled(rows, labels, features, n,
                               params.get("class_weight") == "balanced").persist()
-            models[name] = NodeModel(name, features, labels, _fit(
-                train, "random_forest", params, len(labels), n, seed), params)
+            stages = _fit(train, "random_forest", params, len(labels), n, seed)
             train.unpersist()
-            status.append((name, "fitted", n, len(features), None))
+            rows.unpersist()
+            return (NodeModel(name, features, labels, stages, params),
+                    (name, "fitted", n, len(features), None))
         except Exception as error:  # noqa: BLE001
-            status.append((name, "failed", None, None, str(error)))
+            return None, (name, "failed", None, None, str(error))
+
+    with ThreadPool(NODE_WORKERS) as pool:
+        done = pool.map(inheritable_thread_target(spark)(fit), records.collect(), chunksize=1)
+    models = {model.name: model for model, _ in done if model is not None}
     return models, spark.createDataFrame(
-        status, "model string, status string, n_samples long, n_features long, error string")
+        [row for _, row in done],
+        "model string, status string, n_samples long, n_features long, error string")
 
 
 def _typed(text):
