@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut
 
 HASH_BUCKETS = 1024
+CHUNK = 16
 
 
 def hash_rank(df: DataFrame, keys: list[str], unit: Column, tie: str,
@@ -52,10 +53,19 @@ def running(df: DataFrame, keys: list[str], order: str, sums: tuple[str, ...] =
     order.  Adds ``cum_<c>`` and ``total_<c>`` for sums, ``top_<c>`` for maxima.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    borders = cut(df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(order, shares, 1000)).alias("_borders")))
-    rows = df.join(borders, keys).withColumn(
-        "_b", F.size(F.filter("_borders", lambda x: x > F.col(order)))).drop("_borders")
+    every = F.array_distinct(F.percentile_approx(order, shares, 1000))
+    # Borders in chunks: a row looks at the chunks' ends, then into one chunk.
+    chunks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_every") - 1) / CHUNK).cast("int")),
+        lambda i: F.slice("_every", i * CHUNK + 1, F.lit(CHUNK)))
+    borders = cut(df.groupBy(*keys).agg(every.alias("_every")).withColumn(
+        "_chunks", chunks).select(*keys, "_chunks", F.transform(
+            "_chunks", lambda c: F.array_max(c)).alias("_ends")))
+    reached = lambda some: F.size(F.filter(some, lambda x: x <= F.col(order)))
+    none = F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>")
+    rows = df.join(borders, keys).withColumn("_c", reached("_ends")).withColumn(
+        "_b", -(F.col("_c") * CHUNK + reached(F.coalesce(F.get("_chunks", F.col("_c")), none)))
+    ).drop("_ends", "_chunks", "_c")
     totals = rows.groupBy(*keys, "_b").agg(
         *[F.sum(c).alias(f"_t{c}") for c in sums], *[F.max(c).alias(f"_m{c}") for c in maxes])
     by_key = Window.partitionBy(*keys)
