@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app_name: str = "cohortloom", **conf) -> SparkSession:
     """A session with the settings the jobs rely on; the caller's settings win.
@@ -24,7 +28,25 @@ def build_session(app_name: str = "cohortloom", **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Their Python workers import it for the few UDFs; the driver's own import path
+    does not reach them.  Spark serves the archive from the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="cohortloom-")) / "cohortloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
