@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import byte_bpe, token_counts, url_filter
+from . import byte_bpe, decontaminate, simhash, token_counts, url_filter
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
              ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_simhash(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
+
+
 def op3_byte_bpe(spark, d):
     path = public_tokenizers.path(BYTE_RANKS)
     rows = byte_bpe.encode(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
@@ -32,6 +36,10 @@ def op4_url_filter(spark, d):
     return url_filter.judge(table(spark, d, "pages"), rules)
 
 
+def op8_decontaminate(spark, d):
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op10_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"),
                                      public_tokenizers.path(COUNT_MODEL), TOKEN_LIMIT)
@@ -40,6 +48,7 @@ def op10_token_counts(spark, d):
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 QUERIES = {
+    "op1_simhash": Query(op1_simhash),
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_url_filter": Query(
         op4_url_filter,
@@ -57,5 +66,6 @@ QUERIES = {
                                  AND starts_with(path, p))
             SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
             FROM u LEFT JOIN f ON f.n = u.n AND k = 1"""),
+    "op8_decontaminate": Query(op8_decontaminate),
     "op10_token_counts": Query(op10_token_counts),
 }
