@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import byte_bpe, decontaminate, simhash, token_counts, url_filter
+from . import byte_bpe, decontaminate, pii, quality, simhash, token_counts, url_filter
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "byte_bpe_50k.json"
@@ -21,6 +21,26 @@ def op1_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
+def _listed(spans):
+    """Spans as kind:start:end, by start and then by the order of kinds."""
+    order = F.array(*(F.lit(k) for k in pii.KINDS))
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"),
+        s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.array_join(F.transform(ranked, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op2_pii(spark, d):
+    """Counts and digest are of the fixed patterns; ``spans`` has what the field adds too."""
+    found = pii.find(table(spark, d, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == kind)).cast("long").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+                        _listed(F.col("spans")).alias("spans"))
+
+
 def op3_byte_bpe(spark, d):
     path = public_tokenizers.path(BYTE_RANKS)
     rows = byte_bpe.encode(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
@@ -40,6 +60,10 @@ def op8_decontaminate(spark, d):
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op9_quality(spark, d):
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op10_token_counts(spark, d):
     return token_counts.count_tokens(table(spark, d, "documents"),
                                      public_tokenizers.path(COUNT_MODEL), TOKEN_LIMIT)
@@ -49,6 +73,7 @@ _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 QUERIES = {
     "op1_simhash": Query(op1_simhash),
+    "op2_pii": Query(op2_pii),
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_url_filter": Query(
         op4_url_filter,
@@ -67,5 +92,6 @@ QUERIES = {
             SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
             FROM u LEFT JOIN f ON f.n = u.n AND k = 1"""),
     "op8_decontaminate": Query(op8_decontaminate),
+    "op9_quality": Query(op9_quality),
     "op10_token_counts": Query(op10_token_counts),
 }
