@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import byte_bpe, decontaminate, pii, quality, simhash, token_counts, url_filter
+from . import byte_bpe, decontaminate, pii, quality, simhash, token_counts, topk, url_filter
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op4_url_filter(spark, d):
     return url_filter.judge(table(spark, d, "pages"), rules)
 
 
+def op5_topk(spark, d):
+    return topk.top_k(table(spark, d, "embeddings"))
+
+
 def op8_decontaminate(spark, d):
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -91,6 +95,19 @@ QUERIES = {
                                  AND starts_with(path, p))
             SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
             FROM u LEFT JOIN f ON f.n = u.n AND k = 1"""),
+    "op5_topk": Query(
+        op5_topk,
+        """WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)
+                  FOR x IN embedding] AS e FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+              s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                  CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT)
+                    AS score
+                FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+              r AS (SELECT *, row_number() OVER (
+                  PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+            SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10"""),
     "op8_decontaminate": Query(op8_decontaminate),
     "op9_quality": Query(op9_quality),
     "op10_token_counts": Query(op10_token_counts),
