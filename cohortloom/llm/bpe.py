@@ -16,7 +16,7 @@ from collections.abc import Callable, Hashable, Sequence
 #: Symbols up to which a piece is merged directly, without halving.
 LEAF = 48
 #: Entries of each of the two generations of a memo.
-MEMO = 250_000
+MEMO = 400_000
 
 _NONE = 1 << 60
 
@@ -35,17 +35,14 @@ class Merger:
         parts = list(parts)
         get, pair = self.rank.get, self.pair
         ranks = [get(pair(a, b), _NONE) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == _NONE:
-                break
+        while ranks and (low := min(ranks)) != _NONE:
             i = ranks.index(low)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            whole = parts[i] = parts[i] + parts.pop(i + 1)
+            ranks.pop(i)
             if i < len(ranks):
-                ranks[i] = get(pair(parts[i], parts[i + 1]), _NONE)
+                ranks[i] = get(pair(whole, parts[i + 1]), _NONE)
             if i:
-                ranks[i - 1] = get(pair(parts[i - 1], parts[i]), _NONE)
+                ranks[i - 1] = get(pair(parts[i - 1], whole), _NONE)
         return parts
 
     def encode(self, symbols: Sequence) -> list:

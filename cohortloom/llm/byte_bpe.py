@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
-from itertools import accumulate, chain
 from operator import add
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -32,20 +34,33 @@ class ByteBpe:
         symbols = [data[i:i + 1] for i in range(len(data))]
         return [self.ranks[t] for t in self.merger.encode(symbols)]
 
-    def _chunk(self, part: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(
-            self.piece(match.encode()) for match in self.pattern.findall(part)))
+    def _chunk(self, part: str) -> bytes:
+        ids = array("i")
+        for match in self.pattern.findall(part):
+            ids.extend(self.piece(match.encode()))
+        return ids.tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, chunks(text, self.pattern))))
+    def encode(self, text: str) -> bytes:
+        """The ids as 32-bit integers: those of the chunks, concatenated."""
+        return b"".join(map(self.memo.__getitem__, chunks(text, self.pattern)))
 
-    def decode(self, ids) -> bytes:
-        """Bytes of the ids: leaves are concatenated, then neighbours up the tree."""
-        level = [b"".join(map(self.tokens.__getitem__, ids[i:i + 4096]))
-                 for i in range(0, len(ids), 4096)]
-        while len(level) > 1:
-            level = [b"".join(level[i:i + 2]) for i in range(0, len(level), 2)]
-        return level[0] if level else b""
+    @property
+    def strings(self) -> tuple[np.ndarray, pa.Array]:
+        """The ids in order, and the bytes of each."""
+        ids = sorted(self.tokens)
+        return np.array(ids), pa.array([self.tokens[i] for i in ids], pa.large_binary())
+
+
+def concatenated(strings: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Neighbouring strings joined into one per interval of ``ends``.
+
+    Arrow holds the strings of an array end to end, so that the bytes of a
+    whole subtree are one interval and only the borders are chosen anew.
+    """
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset:strings.offset + len(strings) + 1]
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].tobytes()), data])
 
 
 @lru_cache(maxsize=2)
@@ -70,9 +85,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
         def step(batch):
             ids = [encode_one(t) for t in texts(batch, text_col)]
-            ends = pa.array([0, *accumulate(map(len, ids))], pa.int32())
-            flat = pa.array(list(chain.from_iterable(ids)), pa.int32())
-            return pa.record_batch([batch.column(id_col), pa.ListArray.from_arrays(ends, flat)],
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            return pa.record_batch([batch.column(id_col),
+                                    pa.ListArray.from_arrays(ends.astype(np.int32), flat)],
                                    names=[id_col, "ids"])
         return step
 
@@ -89,12 +105,18 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     names = kept.columns
 
     def task():
-        decode_one = coder(path, pattern).decode
+        known, strings = coder(path, pattern).strings
 
         def step(batch):
-            data = [None if x is None else decode_one(x) for x in batch.column(ids_col).to_pylist()]
-            return pa.record_batch([*batch.columns, pa.array(data, pa.binary())],
-                                   names=[*names, "decoded"])
+            lists = batch.column(ids_col)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(known, flat)
+            if len(flat) and (at.max() == len(known) or (known[at] != flat).any()):
+                raise ValueError("an id is not in the rank file")
+            ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+            data = concatenated(strings.take(pa.array(at)), ends)
+            data = pc.if_else(lists.is_valid(), data, None).cast(pa.binary())
+            return pa.record_batch([*batch.columns, data], names=[*names, "decoded"])
         return step
 
     return map_slices(kept, task, ", ".join([*(typed(kept, c) for c in names), "decoded binary"]))
