@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import byte_bpe, decontaminate, extract, pii, quality, simhash, token_counts, topk, url_filter
+from . import byte_bpe, decontaminate, extract, ngram_lm, pii, quality, simhash, token_counts, topk, url_filter
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "byte_bpe_50k.json"
@@ -60,6 +60,10 @@ def op5_topk(spark, d):
     return topk.top_k(table(spark, d, "embeddings"))
 
 
+def op6_ngram_lm(spark, d):
+    return ngram_lm.score_texts(table(spark, d, "documents"))
+
+
 def op7_main_text(spark, d):
     return extract.main_text(table(spark, d, "pages"))
 
@@ -112,6 +116,7 @@ QUERIES = {
               r AS (SELECT *, row_number() OVER (
                   PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
             SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10"""),
+    "op6_ngram_lm": Query(op6_ngram_lm),
     "op7_main_text": Query(op7_main_text),
     "op8_decontaminate": Query(op8_decontaminate),
     "op9_quality": Query(op9_quality),
