@@ -124,3 +124,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows[id_col], F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item",
         F.coalesce("best_share", F.lit(0.0)).alias("best_share"))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without a verified overlap, with their own columns."""
+    found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text) \
+        .select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id"))
+                     & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")

@@ -316,16 +316,23 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*parts, text[free:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with personal data replaced in the text; null stays null."""
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The documents with personal data replaced in the text; null stays null.
+
+    Where a text changes, its length in ``chars_col`` follows, if there is such a column.
+    """
     names, field = docs.columns, learn(docs, text_col)
     at = names.index(text_col)
+    sized = names.index(chars_col) if chars_col in names else None
 
     def step(batch):
-        out = [None if t is None else redacted(t, spans_of(field, t)[1])
-               for t in batch.column(at).to_pylist()]
+        old = batch.column(at).to_pylist()
+        new = [None if t is None else redacted(t, spans_of(field, t)[1]) for t in old]
         columns = list(batch.columns)
-        columns[at] = pa.array(out, pa.string())
+        columns[at] = pa.array(new, pa.string())
+        if sized is not None:
+            sizes = [n if a == b else len(b) for n, a, b in zip(batch.column(sized).to_pylist(), old, new)]
+            columns[sized] = pa.array(sizes, batch.column(sized).type)
         return pa.record_batch(columns, names=names)
 
     return map_slices(docs, lambda: step, ", ".join(typed(docs, c) for c in names))

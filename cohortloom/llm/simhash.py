@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import map_slices, slices, texts, typed
+from .common import free_name, map_slices, slices, texts, typed
 from .components import components
 
 SHINGLE = 4
@@ -42,16 +42,15 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(spans)).tobytes())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every whole text as a signed long."""
-    docs = docs.select(id_col, text_col)
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``fp``: the fingerprint of every whole text as a signed long."""
+    docs = docs.select(*keep, F.col(text_col).alias("_text"))
 
     def step(batch):
-        fps = np.array([fingerprint(t) for t in texts(batch, text_col)], np.uint64)
-        return pa.record_batch([batch.column(id_col), pa.array(fps.view(np.int64))],
-                               names=[id_col, "fp"])
+        fps = np.array([fingerprint(t) for t in texts(batch, "_text")], np.uint64)
+        return pa.record_batch([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    return map_slices(docs, lambda: step, f"{typed(docs, id_col)}, fp long")
+    return map_slices(docs, lambda: step, ", ".join([*(typed(docs, c) for c in keep), "fp long"]))
 
 
 class Golay:
@@ -166,6 +165,13 @@ def linked(fps: DataFrame) -> DataFrame:
         "node", F.coalesce("root", "old").alias("root")))
 
 
+def _rooted(marks: DataFrame) -> DataFrame:
+    """(fp, root) of every fingerprint; root is the same for all that links connect."""
+    fps = marks.select("fp").distinct()
+    roots = linked(fps).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id): groups of documents that links connect.
 
@@ -175,12 +181,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its ids are null.  Repeated rows stay; other columns are not read.
     Copies share a fingerprint and are grouped by it before anything is joined.
     """
-    marks = cut(fingerprints(docs, id_col, text_col))
+    marks = cut(fingerprints(docs, [id_col], text_col))
     firsts = marks.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    roots = linked(firsts.select("fp"))
-    placed = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = firsts.join(_rooted(marks), "fp")
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
     return marks.join(named, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every group, with its own columns: the one with the least id.
+
+    Of several rows with that id one with the least text hash stays, once; a
+    null id comes after all others.
+    """
+    names = docs.columns
+    none, key, text = (free_name(names, c) for c in ("id_none", "id_key", "text_hash"))
+    docs = docs.withColumns({none: F.col(id_col).isNull(), text: F.xxhash64(text_col),
+                             key: F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType))})
+    marks = cut(fingerprints(docs, [none, key, text], text_col))
+    # Least row of each fingerprint first, so that copies meet as one row.
+    least = marks.groupBy("fp").agg(F.min(F.struct(none, key, text)).alias("least"))
+    kept = least.join(_rooted(marks), "fp").groupBy("root").agg(F.min("least").alias("least")) \
+        .select("least.*")
+    return docs.join(kept, [none, key, text], "left_semi").dropDuplicates([none, key, text]).select(*names)
