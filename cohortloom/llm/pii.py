@@ -31,6 +31,9 @@ ROUNDS, DAMPING = 30, 0.3
 SURE = 0.5
 #: Added to every count.
 SMOOTH = 0.1
+#: Largest log potential of an edge.  Patterns never match certain neighbours, so
+#: what they show of pairs counts as a leaning, not as a rule.
+LEANING = 2.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -202,7 +205,7 @@ def estimate(cells: np.ndarray) -> Field:
         pairs = pairs + pairs.T + SMOOTH + np.eye(LABELS)
         share = pairs / pairs.sum()
         alone = share.sum(axis=0)
-        return np.log(share / np.outer(alone, alone))
+        return np.clip(np.log(share / np.outer(alone, alone)), -LEANING, LEANING)
 
     prior = np.full(LABELS, SMOOTH) + np.eye(LABELS)[0]  # an outline never seen is none
     seen = table[:CHAIN] + prior
