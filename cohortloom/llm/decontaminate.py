@@ -72,8 +72,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                    .select(F.size("item_tokens")).distinct().collect())
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
     listed = _seeds(items, masks, "item_tokens", ["item"]).select(
-        "seed", F.col("pos").alias("item_pos"), "item", F.size("item_tokens").alias("length"),
-        _before(masks, "pos", "item_tokens").alias("item_before"))
+        "mask", "seed", F.col("pos").alias("item_pos"), "item", F.size("item_tokens").alias("length"),
+        _before(masks, "pos", "item_tokens").alias("item_before")) \
+        .where(" OR ".join([f"mask < {len(MASKS)}", *(
+            f"mask = {n} AND length = {len(m)}" for n, m in enumerate(masks) if n >= len(MASKS))])) \
+        .drop("mask")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"),
                        tokens(F.col(text_col)).alias("doc_tokens"))
     text = ["_id", "text_hash"]
@@ -94,10 +97,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     # Of the text only the part beside the item goes on.
     beside = F.slice("doc_tokens", F.greatest("shift", F.lit(0)) + 1,
                      F.col("length") + F.least("shift", F.lit(0)))
-    hits = hits.select(*text, "item", F.least("shift", F.lit(0)).alias("start"), beside.alias("beside"))
+    hits = hits.select(*text, "item", "length", F.least("shift", F.lit(0)).alias("start"), beside.alias("beside"))
     share = _best(F.col("beside"), F.col("item_tokens"), F.col("start"))
-    return hits.join(items, "item").groupBy(*text, F.col("item.item").alias("item"), "item.hash") \
-        .agg(F.max(share).alias("share")).where(F.col("share") >= SHARE) \
+    return hits.join(items, "item").groupBy(*text, "length", F.col("item.item").alias("item"), "item.hash") \
+        .agg(F.max(share).alias("share")) \
+        .where(F.col("share") >= F.when(F.col("length") < OVERLAP, 1.0).otherwise(SHARE)) \
         .select(F.col("_id").alias(id_col), "text_hash", "item", "share")
 
 

@@ -179,13 +179,25 @@ def _matrix(found: list[Block]) -> np.ndarray:
     return np.array([features(b, i / last) for i, b in enumerate(found)])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn towards ``UNTAUGHT``."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn towards ``UNTAUGHT``.
+
+    A step is halved until it lowers the loss; no step that does ends the fit.
+    """
+    def loss(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).sum() + ((w - UNTAUGHT) ** 2).sum() / 2
+
     w = UNTAUGHT.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + (w - UNTAUGHT)
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w = w - step
     return w
 
 

@@ -29,6 +29,11 @@ def whole_numbers(m: np.ndarray) -> np.ndarray:
     return np.array([[int(v) for v in row] for row in m], object).reshape(m.shape)
 
 
+def within_long(scores: np.ndarray) -> np.ndarray:
+    """Python integers cut to the ends of a long; doubles are exact and far from them."""
+    return np.clip(scores, *LONG) if scores.dtype == object else scores
+
+
 def padded(m: np.ndarray, dims: int) -> np.ndarray:
     """Rows with zeros up to ``dims`` components."""
     return m if m.shape[1] == dims else np.pad(m, ((0, 0), (0, dims - m.shape[1])))
@@ -38,12 +43,13 @@ def best_of(query: np.ndarray, own: int, floor: int, k: int, ids: np.ndarray, ve
             bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the query's k best in a range, from scores of ``floor`` on."""
     top_ids, top = np.zeros(0, np.int64), np.zeros(0, vectors.dtype)
+    bounds = within_long(bounds)
     for b in np.argsort(-bounds, kind="stable"):
         kth = max(floor, top[-1]) if len(top) == k else floor
         if bounds[b] < kth:
             break
         part = slice(b * BLOCK, (b + 1) * BLOCK)
-        scores = vectors[part] @ query
+        scores = within_long(vectors[part] @ query)
         fit = (scores >= kth) & (ids[part] != own)
         top_ids, top = np.append(top_ids, ids[part][fit]), np.append(top, scores[fit])
         order = np.lexsort((top_ids, -top))[:k]
@@ -92,7 +98,7 @@ def pack(k: int, query_every: int):
         asked = np.flatnonzero(ids % query_every == 0)
         low, high = blocks(vectors)
         found = search(vectors[asked], ids[asked], [LONG[0]] * len(asked), k, ids, vectors, low, high)
-        floors = [int(np.clip(s[-1], *LONG)) if len(s) == k else LONG[0] for _, _, s in found]
+        floors = [int(s[-1]) if len(s) == k else LONG[0] for _, _, s in found]
         return pa.record_batch(
             [pa.array([shard], pa.int32()), pa.array([flushed], pa.int32()), pa.array([ids]),
              pa.array([vectors.tobytes()], pa.binary()), pa.array([asked.astype(np.int32)]),
@@ -141,7 +147,8 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
     Components count as floor(1024 * x).  Queries are the rows whose id is
     divisible by ``query_every``; candidates all rows with another id; the score
     is the inner product as a whole number (at the ends of a long if beyond),
-    equal scores rank by id.  Rows with a null id, and vectors that are null or
+    equal scores (as
+    cut to a long) rank by id.  Rows with a null id, and vectors that are null or
     hold a null or non-finite component, take no part; shorter vectors count as
     filled up with zeros.  Repeated rows are candidates each, and queries each.
 
@@ -185,7 +192,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, id_col: str =
                     found["query"] += [(home << 40) + (part << 15) + n] * len(best)
                     found["query_id"] += [int(own[n])] * len(best)
                     found["vec_id"] += best.tolist()
-                    found["score"] += [int(min(max(s, LONG[0]), LONG[1])) for s in scores.tolist()]
+                    found["score"] += [int(s) for s in scores.tolist()]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in found.items()})
 
     met = ranges.select("shard", "ids", "vectors", sets).groupBy("shard", "set").cogroup(
