@@ -169,7 +169,8 @@ def cohort_probes(m: DataFrame, design: DataFrame) -> DataFrame:
     """(node_id, probe_id): probes complete within each node's cohort."""
     sizes = design.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_samples"))
     return (m.join(design.select("node_id", "sample_id"), "sample_id")
-            .groupBy("node_id", "probe_id").agg(F.count("m_value").alias("n"))
+            .groupBy("node_id", "probe_id").agg(
+                F.countDistinct(F.when(F.col("m_value").isNotNull(), F.col("sample_id"))).alias("n"))
             .join(sizes, "node_id")
             .filter(F.col("n") == F.col("n_samples")).select("node_id", "probe_id"))
 

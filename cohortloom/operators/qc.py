@@ -37,16 +37,23 @@ def missing_per_sample(m: DataFrame, absent_is_missing: bool = False) -> DataFra
     """Missing values per sample.
 
     A matrix that was unpivoted carries its nulls as rows.  For a sparse long
-    table pass ``absent_is_missing`` to count absent (sample, probe) rows too.
+    table pass ``absent_is_missing`` to count absent (sample, probe) rows too;
+    a pair counts once, however often it is there, and as present if any of its
+    rows has a value.
     """
     if not absent_is_missing:
         return m.groupBy("sample_id").agg(
             F.count_if(F.col("m_value").isNull()).alias("n_missing"))
     n_probes = m.select(F.countDistinct("probe_id").alias("n"))
-    return m.groupBy("sample_id").agg(F.count("m_value").alias("n")).select(
+    return m.groupBy("sample_id").agg(_known("probe_id").alias("n")).select(
         "sample_id", (n_probes.scalar() - F.col("n")).alias("n_missing"))
 
 
+def _known(column: str) -> Column:
+    """How many distinct ids of ``column`` have a value; repeated pairs count once."""
+    return F.countDistinct(F.when(F.col("m_value").isNotNull(), F.col(column)))
+
+
 def drop_sparse_samples(m: DataFrame, max_missing: int = MAX_MISSING,
                         absent_is_missing: bool = False) -> DataFrame:
     """Drop samples with more than ``max_missing`` missing values.
@@ -62,10 +69,10 @@ def drop_sparse_samples(m: DataFrame, max_missing: int = MAX_MISSING,
 def complete_probes(m: DataFrame) -> DataFrame:
     """Probes with a value in every sample; an absent row counts as missing.
 
-    (sample, probe) is the key of ``m``, so one partial count per probe is enough.
+    Rows that repeat a (sample, probe) pair do not stand in for missing ones.
     """
     n_samples = m.select(F.countDistinct("sample_id").alias("n"))
-    return m.groupBy("probe_id").agg(F.count("m_value").alias("n")).filter(
+    return m.groupBy("probe_id").agg(_known("sample_id").alias("n")).filter(
         F.col("n") == n_samples.scalar()).select("probe_id")
 
 
@@ -74,9 +81,9 @@ def drop_incomplete_probes(m: DataFrame) -> DataFrame:
 
 
 def complete_samples(m: DataFrame) -> DataFrame:
-    """Samples with a value for every probe."""
+    """Samples with a value for every probe; repeated pairs count once."""
     n_probes = m.select(F.countDistinct("probe_id").alias("n"))
-    return m.groupBy("sample_id").agg(F.count("m_value").alias("n")).filter(
+    return m.groupBy("sample_id").agg(_known("probe_id").alias("n")).filter(
         F.col("n") == n_probes.scalar()).select("sample_id")
 
 

@@ -15,7 +15,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, OneVsRest,
+from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
-from . import dataset as ds, differential as dm, evaluate, impute, tree
+from . import dataset as ds, differential as dm, evaluate, impute, qc, tree
 
 # The search grids.
 SVM_GRID = {"C": [0.1, 1.0, 10.0]}
@@ -43,8 +43,15 @@ AUC_FOREST_GRID = {
     "min_samples_leaf": [1, 2, 4],
 }
 MODEL_GRIDS = {"svm": SVM_GRID, "random_forest": FOREST_GRID}
+# Names that parameter records give the models.
+RECORD_TYPES = {"RandomForestClassifier": "random_forest", "random_forest": "random_forest",
+                "SVC": "svm", "LinearSVC": "svm", "svm": "svm"}
+# Spark grows no deeper trees; a depth of none means this.
 DEEPEST = 30
+# Candidate splits of a continuous probe, whatever the number of samples.
 MAX_BINS = 256
+# Steps after which a linear machine that still moves counts as not converged.
+MAX_ITER = 1000
 PARTITION_BYTES = 32 << 20
 # Trials of one node, and nodes, that are kept going at once.
 WORKERS, NODE_WORKERS = 10, 4
@@ -130,7 +137,7 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
     """Fit one grid point on (features, label, weight) rows."""
     if model_type == "svm":
         svc = LinearSVC(featuresCol="scaled", regParam=1.0 / (params.get("C", 1.0) * n),
-                        standardization=False, maxIter=params.get("max_iter", 50))
+                        standardization=False, maxIter=params.get("max_iter", MAX_ITER))
         model = svc if n_labels == 2 else OneVsRest(
             classifier=svc, featuresCol="scaled", parallelism=n_labels)
         scaling = population_scaler(train, n)
@@ -145,14 +152,21 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
             # The nearest to "split nodes of at least s samples": s // 2 on each side.
             minInstancesPerNode=max(int(params.get("min_samples_leaf", 1)),
                                     int(params.get("min_samples_split", 2)) // 2),
-            # As many candidate splits as values, up to a bound on memory.
-            maxBins=max(32, min(n, MAX_BINS)))
+            maxBins=int(params.get("max_bins", MAX_BINS)))
         if params.get("class_weight") == "balanced":
             forest = forest.setWeightCol("weight")
         return PipelineModel([forest.fit(train)])
     raise ValueError(f"Unsupported model type: {model_type}")
 
 
+def converged(stages: PipelineModel, params: dict) -> bool:
+    """Whether every linear machine of the model came to rest before its last step."""
+    last = stages.stages[-1]
+    machines = getattr(last, "models", [last])
+    return all(m.summary().totalIterations < params.get("max_iter", MAX_ITER)
+               for m in machines if isinstance(m, LinearSVCModel) and m.hasSummary)
+
+
 def _labelled(rows: DataFrame, labels: list[str], features: list[str], n: int,
               weighted: bool = False) -> DataFrame:
     """Vectors with a label index and, if asked for, the weight n / (classes * n_class).
@@ -241,9 +255,12 @@ def plan_search(m: DataFrame, design: DataFrame, k: int = ds.FOLDS, prior: str =
                 number: int = dm.TOP_PROBES, seed: int = ds.SEED) -> SearchPlan:
     """Split, folds, chosen probes and reduced matrix of every node of ``design``.
 
-    However many nodes there are, the measurements are read twice: to choose the
-    probes and to keep what was chosen, in one folder per node.
+    Only probes with a value in every sample take part, so that no sample is lost
+    where probes become vectors.  However many nodes there are, the measurements
+    are read to find those probes, to choose among them, and to keep what was
+    chosen, in one folder per node.
     """
+    m = qc.keep_probes(m, cut(qc.complete_probes(m)))
     unit = ds.shuffle_unit(seed=seed)
     split = ds.split_random(design.select("node_id", "sample_id", "cancer_type"),
                             unit=unit, keys=("node_id",))
@@ -342,7 +359,8 @@ def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: s
                 found.model.save(spark, f"{path}/{name}")
             return found.model, (
                 node_id, name, "trained", found.n_train, found.n_test, len(found.model.features),
-                json.dumps(found.best), found.train_accuracy, found.test_accuracy, None)
+                json.dumps(found.best), found.train_accuracy, found.test_accuracy,
+                None if converged(found.model.stages, found.best) else "not converged")
         except Exception as error:  # noqa: BLE001
             return None, (node_id, name, "failed") + (None,) * 6 + (str(error),)
 
@@ -359,43 +377,66 @@ def training_summary(stats: DataFrame) -> DataFrame:
         "name", "status", "n_train", "n_features", "train_accuracy", "test_accuracy", "error")
 
 
+def training_size(m: DataFrame, design: DataFrame) -> DataFrame:
+    """(node_id, n_samples, n_probes) that the search on each node of ``design`` uses."""
+    whole = qc.complete_probes(m).agg(F.count(F.lit(1)).alias("n"))
+    return design.groupBy("node_id").agg(F.countDistinct("sample_id").alias("n_samples")).withColumn(
+        "n_probes", whole.scalar())
+
+
+def complete_features(m: DataFrame, samples: DataFrame, features: list[str]) -> list[str]:
+    """Those of the listed features that have a value in every listed sample, in their order."""
+    ids = samples.select("sample_id").distinct()
+    cells = m.join(ids, "sample_id", "left_semi").filter(F.col("probe_id").isin(features))
+    known = cells.groupBy("probe_id").agg(
+        F.countDistinct(F.when(F.col("m_value").isNotNull(), F.col("sample_id"))).alias("n"))
+    whole = {r[0] for r in known.filter(F.col("n") == ids.count()).collect()}
+    return [f for f in features if f in whole]
+
+
 def refit(m: DataFrame, nodes: DataFrame, samples: DataFrame, records: DataFrame,
           seed: int = ds.SEED) -> tuple[dict[str, NodeModel], DataFrame]:
-    """Refit the forest of every parameter record on all labelled samples.
+    """Refit the model of every parameter record on all labelled samples.
 
     ``records`` is one row per model: (model_name, model_type, parameters,
-    feature_names).  Labels are the children of the node of that name; features
-    the matrix does not have are left out.
+    feature_names).  Labels are the children of the node of that name.  Features
+    that some labelled sample has no value of are left out, so that every sample
+    with data is fitted on; ``n_samples`` counts the rows that were.
     """
     spark = m.sparkSession
     # All records' features are taken out of the measurements in one pass.
     listed = records.select(F.explode("feature_names").alias("probe_id")).distinct()
     m = cut(m.select("sample_id", "probe_id", "m_value").join(listed, "probe_id", "left_semi"))
-    have = {r[0] for r in m.select("probe_id").distinct().collect()}
     by_name = tree.find_by_name(nodes)
     below = tree.samples_below(nodes, samples)
 
     def fit(record) -> tuple[NodeModel | None, tuple]:
         name = record["model_name"]
         try:
-            if record["model_type"] not in ("RandomForestClassifier", "random_forest"):
+            model_type = RECORD_TYPES.get(record["model_type"])
+            if model_type is None:
                 raise ValueError(f"Unsupported model type: {record['model_type']}")
-            features = [p for p in record["feature_names"] if p in have]
             params = {k: _typed(v) for k, v in (record["parameters"] or {}).items()}
             node = by_name.filter(F.col("name") == name).select(F.col("node_id").alias("parent_id"))
             child = nodes.join(node, "parent_id", "left_semi").select(
                 "node_id", F.col("name").alias("cancer_type"))
-            design = child.join(below, "node_id").select("sample_id", "cancer_type")
+            design = child.join(below, "node_id").select("sample_id", "cancer_type").join(
+                m.select("sample_id").distinct(), "sample_id", "left_semi")
+            features = complete_features(m, design, record["feature_names"])
+            if not features:
+                raise ValueError("no feature has a value in every sample")
             rows = design.join(value_maps(m, features), "sample_id").persist()
             sizes = rows.groupBy("cancer_type").count().collect()
             labels, n = sorted(r["cancer_type"] for r in sizes), sum(r["count"] for r in sizes)
             train = _labelled(rows, labels, features, n,
                               params.get("class_weight") == "balanced").persist()
-            stages = _fit(train, "random_forest", params, len(labels), n, seed)
+            fitted = train.count()
+            stages = _fit(train, model_type, params, len(labels), n, seed)
             train.unpersist()
             rows.unpersist()
             return (NodeModel(name, features, labels, stages, params),
-                    (name, "fitted", n, len(features), None))
+                    (name, "fitted", fitted, len(features),
+                     None if converged(stages, params) else "not converged"))
         except Exception as error:  # noqa: BLE001
             return None, (name, "failed", None, None, str(error))
 
@@ -411,10 +452,12 @@ def _typed(text):
     """A parameter written as text; "None" and empty text are no value."""
     if text is None or text in ("", "None", "null"):
         return None
-    try:
-        return int(text)
-    except ValueError:
-        return text
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
 
 
 def importances(spark: SparkSession, models: dict[str, NodeModel],
@@ -486,9 +529,14 @@ class Embedding:
 
 
 def fit_embedding(m: DataFrame, design: DataFrame, weights: DataFrame, name: str) -> Embedding:
-    """Project the samples of ``design`` on the probes with positive importance."""
+    """Project the samples of ``design`` on the probes with positive importance.
+
+    Probes that one of the samples has no value of are left out.
+    """
     features = sorted(r[0] for r in weights.filter(
         (F.col("model") == name) & (F.col("importance") > 0)).select("probe_id").collect())
+    held = design.join(m.select("sample_id").distinct(), "sample_id", "left_semi")
+    features = complete_features(m, held, features)
     if len(features) < 3:
         raise ValueError(f"Too few features with importance > 0 for {name}")
     maps = value_maps(m.join(design.select("sample_id").distinct(), "sample_id", "left_semi"),

@@ -7,11 +7,15 @@ are only ever joined to it, never collected per node.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 
 SEPARATOR = "/"
+#: Taken off every position, so that negative ones sort as text, too.
+LEAST = Decimal(1 << 63)
 
 
 def _step(name: Column) -> Column:
@@ -25,7 +29,9 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
     ``edges`` holds (parent, child) and optionally ``position``, the order among
     siblings.  ``preorder`` sorts nodes depth-first: it is the list of sibling
     keys on the path, and arrays compare element by element.  A child that is
-    already on its own path is not followed again.
+    already on its own path is not followed again.  Spark stops the walk with an
+    error beyond its own limits of 100 levels or a million rows
+    (``spark.sql.cteRecursionLevelLimit``, ``spark.sql.cteRecursionRowLimit``).
 
     The hierarchy is small and referred to many times by what is built on it, so
     it is written to the checkpoint folder instead of being walked at each use.
@@ -34,8 +40,8 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
         edges = edges.withColumn("position", F.lit(0))
     steps = edges.select(
         "parent", "child",
-        F.concat(F.lpad(F.col("position").cast("string"), 10, "0"), F.lit(":"),
-                 F.col("child")).alias("sibling")).distinct()
+        F.concat(F.lpad((F.col("position").cast("decimal(20,0)") + F.lit(LEAST)).cast("string"), 20, "0"),
+                 F.lit(":"), F.col("child")).alias("sibling")).distinct()
     steps = cut(steps)
     paths = edges.sparkSession.sql("""
         WITH RECURSIVE walk(name, path, preorder) AS (

@@ -120,7 +120,7 @@ def stream_ingest(spark, d):
     raw = st.raw_arrays(spark, d, _stream(spark, d, "lineitem"))
     chosen = probemap.probe_map(st.part_manifest(spark, d))
     stream.ingest_arrays(raw, chosen, target, scratch_path(spark, "progress")).awaitTermination()
-    return probemap.collapsed_measure(spark.read.parquet(target), "MValue").withColumn(
+    return probemap.collapsed_measure(stream.current(spark, target), "MValue").withColumn(
         "MValue", F.round("MValue", 6))
 
 
@@ -134,13 +134,11 @@ def stream_new_samples(spark, d):
 
 
 def stream_dedupe(spark, d):
-    """One row per user: repeats within the watermark are dropped as they arrive."""
+    """One row per user: repeats are dropped as they arrive."""
     target = scratch_path(spark, "target")
-    rows = stream.drop_repeats(_stream(spark, d, "events"), "user_id", "ts", "3650 days")
-    rows.select("user_id").writeStream.format("parquet").option("path", target).option(
-        "checkpointLocation", scratch_path(spark, "progress")).trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id bigint").parquet(target)
+    stream.ingest_first(_stream(spark, d, "events").select("user_id"), target,
+                        scratch_path(spark, "progress"), "user_id").awaitTermination()
+    return spark.read.parquet(target).drop("batch_id")
 
 
 _STEM = """CASE WHEN c_custkey % 3 = 0 THEN 'P' || CAST(c_custkey AS VARCHAR) || '_7_T_M'

@@ -50,7 +50,7 @@ def deleted(spark, d):
 def preorder(spark, d):
     nodes, held = _tree(spark, d)
     return tree.preorder(nodes, held).select(
-        "node_id", F.array_join(F.slice("preorder", 2, 100), "/").alias("sort_key"))
+        "node_id", F.array_join(F.slice("preorder", F.lit(2), F.size("preorder")), "/").alias("sort_key"))
 
 
 def found(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 
@@ -139,6 +140,43 @@ def project_missing(spark, d):
     return whole
 
 
+def train_gaps(spark, d):
+    """What the search on each node uses of a matrix with gaps."""
+    m = st.vector_matrix(spark, d)
+    return tr.training_size(m, ds.node_design(m, *class_tree(spark, d)))
+
+
+class Threshold(NamedTuple):
+    """A model without training: the class whose turn it is by the probes' sum."""
+
+    features: list[str]
+    labels: list[str]
+
+    def transform(self, rows, values="v"):
+        cells = [F.try_element_at(F.col(values), F.lit(p)) for p in self.features]
+        total = cells[0]
+        for cell in cells[1:]:
+            total = total + cell
+        names = F.array(*[F.lit(c) for c in self.labels])
+        return rows.withColumn("_sum", total).filter(F.col("_sum").isNotNull()).select(
+            *rows.columns, F.when(F.col("_sum") > 0, names[0]).otherwise(names[1]).alias("prediction"),
+            F.lit(1.0).alias("probability"), F.lit(None).cast("array<double>").alias("scores"))
+
+
+#: A root and one model below it, on probes some samples lack.
+FIXED_MODELS = {"top": Threshold(["d0", "d3"], ["low", "leaf"]), "low": Threshold(["d6", "d9"], ["x", "y"])}
+
+
+def fixed_predictions(spark, d):
+    return inf.predict_tree(st.vector_matrix(spark, d), FIXED_MODELS, "top")
+
+
+def not_scored(spark, d):
+    m = st.vector_matrix(spark, d)
+    lost = inf.not_scored(m, fixed_predictions(spark, d), FIXED_MODELS, "top")
+    return lost.withColumn("missing", F.array_join("missing", ","))
+
+
 def class_centroids(spark, d):
     plot = st.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.get("embedding", F.lit(0)).cast("double").alias("x"),
@@ -165,6 +203,19 @@ def validation_report(spark, d):
     return ev.class_report(inf.validation_calls(m, found.model, found.held_out))
 
 
+_FIXED = f"""WITH m AS ({st.VECTOR_MATRIX}),
+  w AS (SELECT sample_id,
+          max(m_value) FILTER (probe_id = 'd0') + max(m_value) FILTER (probe_id = 'd3') AS top,
+          max(m_value) FILTER (probe_id = 'd6') + max(m_value) FILTER (probe_id = 'd9') AS low
+        FROM m GROUP BY 1),
+  pred AS (
+    SELECT sample_id, CAST(1 AS INTEGER) AS depth, 'top' AS model,
+      CASE WHEN top > 0 THEN 'low' ELSE 'leaf' END AS prediction, CAST(1 AS DOUBLE) AS probability
+    FROM w WHERE top IS NOT NULL
+    UNION ALL
+    SELECT sample_id, CAST(2 AS INTEGER), 'low', CASE WHEN low > 0 THEN 'x' ELSE 'y' END,
+      CAST(1 AS DOUBLE) FROM w WHERE top > 0 AND low IS NOT NULL)"""
+
 QUERIES = {
     "svm_cv": Query(svm_cv),
     "forest_cv": Query(forest_cv),
@@ -180,6 +231,22 @@ QUERIES = {
     "validation_report": Query(validation_report),
     "cohort_embedding": Query(cohort_embedding),
     "project_missing": Query(project_missing),
+    "train_gaps": Query(
+        train_gaps,
+        f"""WITH m AS ({st.VECTOR_MATRIX}), design AS ({st.CLASS_DESIGN})
+            SELECT node_id, count(DISTINCT sample_id) AS n_samples,
+              (SELECT count(*) FROM (SELECT probe_id FROM m GROUP BY 1
+                 HAVING count(DISTINCT sample_id) FILTER (m_value IS NOT NULL)
+                   = (SELECT count(DISTINCT sample_id) FROM m))) AS n_probes
+            FROM design GROUP BY 1"""),
+    "fixed_predictions": Query(fixed_predictions, f"{_FIXED} SELECT * FROM pred"),
+    "not_scored": Query(
+        not_scored,
+        f"""{_FIXED}
+            SELECT sample_id, model, string_agg(probe_id, ',' ORDER BY probe_id) AS missing
+            FROM (SELECT sample_id, 'top' AS model, unnest(['d0', 'd3']) AS probe_id FROM w
+                  UNION ALL SELECT sample_id, 'low', unnest(['d6', 'd9']) FROM w WHERE top > 0) x
+            JOIN m USING (sample_id, probe_id) WHERE m_value IS NULL GROUP BY 1, 2"""),
     "class_centroids": Query(
         class_centroids,
         """SELECT 'C' || CAST(label AS VARCHAR) AS cancer_type,

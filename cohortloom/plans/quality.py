@@ -43,6 +43,15 @@ def complete_probes(spark, d):
     return qc.drop_incomplete_probes(st.vector_matrix(spark, d))
 
 
+def complete_repeats(spark, d):
+    """Complete probes of a matrix in which most pairs repeat."""
+    sample, probe = F.col("l_suppkey") % 20, F.col("l_partkey") % 50
+    m = st.table(spark, d, "lineitem").select(
+        sample.alias("sample_id"), probe.alias("probe_id"),
+        F.when((sample + probe) % 31 != 0, F.col("l_quantity")).alias("m_value"))
+    return qc.complete_probes(m)
+
+
 def filtered_cohort(spark, d):
     return qc.filter_cohort(st.order_matrix(spark, d), st.part_meta(spark, d),
                             st.part_blacklist(spark, d), MAX_MISSING)
@@ -84,6 +93,9 @@ def _step(i: int, name: str, a: str, b: str) -> str:
       (SELECT count(DISTINCT probe_id) FROM {b}) AS probes_after"""
 
 
+_ORDER_FLAGS = """SELECT l_suppkey % 20 AS sample_id, l_partkey % 50 AS probe_id,
+  CASE WHEN (l_suppkey % 20 + l_partkey % 50) % 31 <> 0 THEN l_quantity END AS m_value
+  FROM lineitem"""
 _REPORT = f"""WITH {_STEPS} SELECT *, samples_before - samples_after AS samples_removed,
   probes_before - probes_after AS probes_removed FROM (""" + " UNION ALL ".join(
     _step(i, n, a, b) for i, n, a, b in [
@@ -109,8 +121,15 @@ QUERIES = {
     "qc_sample_gaps": Query(
         sample_gaps,
         f"""WITH m AS ({st.ORDER_MATRIX})
-            SELECT sample_id, (SELECT count(DISTINCT probe_id) FROM m) - count(m_value)
-              AS n_missing FROM m GROUP BY sample_id"""),
+            SELECT sample_id, (SELECT count(DISTINCT probe_id) FROM m)
+              - count(DISTINCT probe_id) FILTER (m_value IS NOT NULL) AS n_missing
+            FROM m GROUP BY sample_id"""),
+    "qc_complete_repeats": Query(
+        complete_repeats,
+        f"""WITH m AS ({_ORDER_FLAGS}),
+              pairs AS (SELECT DISTINCT sample_id, probe_id FROM m WHERE m_value IS NOT NULL)
+            SELECT probe_id FROM pairs GROUP BY 1
+            HAVING count(*) = (SELECT count(DISTINCT sample_id) FROM m)"""),
     "qc_complete_probes": Query(
         complete_probes,
         f"""WITH m AS ({st.VECTOR_MATRIX}) SELECT * FROM m WHERE probe_id NOT IN

@@ -32,7 +32,9 @@ def share(spark, d):
 
 
 def roc_points(spark, d):
-    points = ev.roc_points(st.class_scores(spark, d)).filter("threshold < 2")
+    """The start point's threshold, infinity, is shown as null."""
+    points = ev.roc_points(st.class_scores(spark, d))
+    points = points.withColumn("threshold", F.when(F.col("threshold") < float("inf"), F.col("threshold")))
     return _rounded(points, "threshold", "fpr", "tpr")
 
 
@@ -109,7 +111,8 @@ QUERIES = {
     "roc_points": Query(
         roc_points,
         f"""{_STEPS} SELECT class, round(score, 6) AS threshold, round(cn / tn, 6) AS fpr,
-            round(cp / tp, 6) AS tpr FROM c"""),
+            round(cp / tp, 6) AS tpr FROM c
+            UNION ALL SELECT DISTINCT class, NULL, 0.0, 0.0 FROM c"""),
     "roc_auc": Query(
         roc_auc,
         f"""{_STEPS}, l AS (

@@ -221,7 +221,7 @@ PLACE_NODES = f"""
     SELECT '{ROOT}', '{ROOT}', CAST(NULL AS VARCHAR), 1, CAST([] AS VARCHAR[])
     UNION ALL
     SELECT w.node_id || '/' || e.child, e.child, w.node_id, w.level + 1,
-           list_append(w.sort_key, printf('%010d', e.position) || ':' || e.child)
+           list_append(w.sort_key, lpad(CAST(CAST(e.position AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') || ':' || e.child)
     FROM walk w JOIN ({PLACE_EDGES}) e ON e.parent = w.name),
   ups AS (
     SELECT a.node_id AS ancestor_id, d.node_id AS descendant_id, d.level - a.level AS distance

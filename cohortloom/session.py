@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_roots: set[str] = set()
 
 
 def build_session(app_name: str = "cohortloom", **conf) -> SparkSession:
@@ -52,16 +54,43 @@ def ship(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a temporary
-    folder made and set.
+    Only where the cluster names none and all runs in this process (tests on one
+    machine) is a temporary folder made and set; elsewhere executors would write
+    to disks of their own, so that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and not local_master(context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortloom-"))
     return named or context.getCheckpointDir()
 
 
+def local_master(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def application_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's process ends."""
+    context = spark.sparkContext
+    root = f"{checkpoint_root(spark).rstrip('/')}/cohortloom-{context.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(discard, spark, root)
+    return root
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables; a session already ended is left alone."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone
+        pass
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -78,4 +107,4 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is written yet."""
-    return f"{checkpoint_root(spark).rstrip('/')}/cohortloom-{uuid.uuid4().hex}/{name}"
+    return f"{application_root(spark)}/{uuid.uuid4().hex}/{name}"

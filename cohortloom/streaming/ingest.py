@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import probemap
@@ -33,28 +33,59 @@ def append_once(batch: DataFrame, batch_id: int, target: str, key: str = "sample
 
 def ingest_arrays(raw: DataFrame, chosen: DataFrame, target: str, checkpoint: str,
                   prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Collapse each arriving batch of raw rows to loci and append it.
+    """Land each arriving batch of raw rows and collapse the samples it touches anew.
 
-    A sample arrives as one file and a file is never split over batches, so a
-    batch holds whole samples.  ``prepare`` turns a batch into raw rows first,
-    for example lines of text files.  ``availableNow`` takes what is there and
-    stops.
+    Raw rows lie beside the target, a folder per batch that a replay overwrites.
+    A sample whose rows come in several batches is collapsed from all that has
+    landed, so the answer does not hang on how the input is cut; :func:`current`
+    reads it.  ``prepare`` turns a batch into raw rows first, for example lines
+    of text files.  ``availableNow`` takes what is there and stops.
     """
+    landed = f"{target.rstrip('/')}_raw"
 
     def land(batch: DataFrame, batch_id: int) -> None:
         rows = batch if prepare is None else prepare(batch)
-        append_once(probemap.collapse(rows, chosen), batch_id, target)
+        rows.write.mode("overwrite").parquet(f"{landed}/batch_id={batch_id}")
+        schema = T.StructType([*rows.schema, T.StructField("batch_id", T.LongType())])
+        known = batch.sparkSession.read.schema(schema).parquet(landed).filter(
+            F.col("batch_id") <= batch_id)
+        touched = known.filter(F.col("batch_id") == batch_id).select("sample_id").distinct()
+        whole = known.drop("batch_id").join(touched, "sample_id", "left_semi")
+        probemap.collapse(whole, chosen).write.mode("overwrite").parquet(
+            f"{target}/batch_id={batch_id}")
 
     return raw.writeStream.foreachBatch(land).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, target: str, key: str = "sample_id") -> DataFrame:
+    """The newest rows of every sample that :func:`ingest_arrays` has written."""
+    rows = spark.read.parquet(target)
+    newest = rows.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [key, "batch_id"], "left_semi").drop("batch_id")
+
+
 def ingest_new_samples(rows: DataFrame, known: DataFrame, target: str, checkpoint: str,
                        key: str = "meth_sample_id") -> StreamingQuery:
-    """Append rows of samples that neither the matrix nor an earlier batch holds."""
+    """Append rows of samples that the matrix did not hold at the start.
+
+    Each batch is written to a folder of its own, which a replay overwrites; a
+    sample's rows may come in any number of batches.
+    """
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.join(known.select(key), key, "left_anti").write.mode("overwrite").parquet(
+            f"{target}/batch_id={batch_id}")
+
+    return rows.writeStream.foreachBatch(land).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_first(rows: DataFrame, target: str, checkpoint: str, key: str = "sample_id") -> StreamingQuery:
+    """Append one row per sample, the first time it arrives; no state is held in the stream."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        append_once(batch.join(known.select(key), key, "left_anti"), batch_id, target, key)
+        append_once(batch.dropDuplicates([key]), batch_id, target, key)
 
     return rows.writeStream.foreachBatch(land).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import probemap
@@ -33,16 +34,34 @@ def test_stream_equals_batch_and_is_idempotent(spark, frame, tmp_path, rows):
     put(folder, "s1", ["a1\tA\t1.0\t0.1\n", "a2\tA\t3.0\t0.3\n", "c\tC\t5\t0.5\n"])
     put(folder, "s2", ["a3\tA\t7.0\t0.7\n"])
     run(spark, folder, chosen, target, progress)
-    assert spark.read.parquet(target).count() == 3
+    assert stream.current(spark, target).count() == 3
     run(spark, folder, chosen, target, progress)
-    assert spark.read.parquet(target).count() == 3
+    assert stream.current(spark, target).count() == 3
     put(folder, "s3", ["a1\tA\t2.0\t0.2\n"])
     run(spark, folder, chosen, target, progress)
 
     lines = spark.read.text(str(folder)).select(
         "value", F.col("_metadata.file_path").alias("path"))
     batch = probemap.collapse(prepare(lines), chosen)
-    assert rows(spark.read.parquet(target).drop("batch_id")) == rows(batch)
+    assert rows(stream.current(spark, target)) == rows(batch)
+
+
+@pytest.mark.parametrize("files_a_batch", [1, 4])
+def test_answers_do_not_hang_on_batches(spark, frame, tmp_path, rows, files_a_batch):
+    """The same rows in four files, one or all of them a batch; samples span the files."""
+    raw = frame([(f"s{i % 3}", f"a{i % 5}", f"L{i % 2}", float(i % 4), 0.1) for i in range(40)], RAW)
+    raw.repartition(4).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(RAW).option(
+        "maxFilesPerTrigger", files_a_batch).parquet(str(tmp_path / "in"))
+    chosen = frame([("L0", "a1"), ("L1", "a2")], "EPICv1locmatch string, IlmnID string")
+    arrays, fresh, first = (str(tmp_path / n) for n in ("arrays", "fresh", "first"))
+    stream.ingest_arrays(read(), chosen, arrays, arrays + "_p").awaitTermination()
+    assert rows(stream.current(spark, arrays)) == rows(probemap.collapse(raw, chosen))
+    known = frame([("s0",)], "sample_id string")
+    stream.ingest_new_samples(read(), known, fresh, fresh + "_p", "sample_id").awaitTermination()
+    assert rows(spark.read.parquet(fresh).drop("batch_id")) == rows(raw.filter("sample_id <> 's0'"))
+    stream.ingest_first(read().select("sample_id"), first, first + "_p").awaitTermination()
+    assert rows(spark.read.parquet(first).drop("batch_id")) == [("s0",), ("s1",), ("s2",)]
 
 
 def test_replay_and_repeats(spark, frame, tmp_path):
