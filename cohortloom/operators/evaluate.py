@@ -81,13 +81,19 @@ def share_above(values: DataFrame, column: str, threshold: float,
     return values.groupBy(*keys).agg(share.alias("share"))
 
 
-def _sweep(scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """True and false positives at each distinct score, highest first."""
+def _steps(scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Positives and negatives at each distinct score.
+
+    Written once: borders, totals and running sums all read the steps.
+    """
     hit = F.col("actual") == F.col("class")
-    steps = scores.filter(F.col("score").isNotNull()).groupBy(*keys, "score").agg(
-        F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
-    # Borders, totals and running sums all read the steps; the scores are read once.
-    return running(cut(steps), list(keys), "score", ("pos", "neg"))
+    return cut(scores.filter(F.col("score").isNotNull()).groupBy(*keys, "score").agg(
+        F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")))
+
+
+def _sweep(steps: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """True and false positives at each distinct score, highest first."""
+    return running(steps, list(keys), "score", ("pos", "neg"))
 
 
 def roc_points(scores: DataFrame, keys: tuple[str, ...] = ("class",)) -> DataFrame:
@@ -96,11 +102,12 @@ def roc_points(scores: DataFrame, keys: tuple[str, ...] = ("class",)) -> DataFra
     ``scores`` holds (class, actual, score): each sample's score for each class,
     set against the indicator of that same class.
     """
-    steps = _sweep(scores, keys)
+    found = _steps(scores, keys)
+    steps = _sweep(found, keys)
     rate = lambda c: F.try_divide(F.col(f"cum_{c}"), F.col(f"total_{c}"))
     points = steps.select(*keys, F.col("score").alias("threshold"),
                           rate("neg").alias("fpr"), rate("pos").alias("tpr"))
-    start = points.select(*keys).distinct().select(
+    start = found.select(*keys).distinct().select(
         *keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
@@ -112,7 +119,7 @@ def roc_auc(scores: DataFrame, keys: tuple[str, ...] = ("class",)) -> DataFrame:
     A step adds its negatives times the mean of the positives before and after.
     """
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
-    return _sweep(scores, keys).groupBy(*keys).agg(
+    return _sweep(_steps(scores, keys), keys).groupBy(*keys).agg(
         F.try_divide(area, F.max("total_pos") * F.max("total_neg")).alias("auc"))
 
 

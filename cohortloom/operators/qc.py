@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from ..session import cut
+
 # Fixed values of the filter job.
 SEX_AND_MITO = ("chrX", "chrY", "chrM")
 SNP_ADJACENT = "Polymorphism"
@@ -141,18 +143,18 @@ def qc_report(m: DataFrame, probe_meta: DataFrame, blacklist: DataFrame,
     """Samples and probes before and after each step of :func:`filter_cohort`.
 
     The steps are not run one after the other.  Every probe gets the step that
-    removes it, every sample its missing count, and one aggregate over the
-    measurements leaves per-sample and per-probe maxima, from which all counts
-    follow.
+    removes it and every sample its missing count, both written once; from them
+    and one more aggregate per probe all counts follow.  The measurements are
+    read twice.
     """
     staged = (m.filter(F.col("probe_id").isNotNull())
-              .join(_probe_stage(probe_meta, blacklist), "probe_id", "left")
+              .join(cut(_probe_stage(probe_meta, blacklist)), "probe_id", "left")
               .withColumn("stage", F.coalesce("stage", F.lit(1)))
               .select("sample_id", "probe_id", "stage",
                       F.col("m_value").isNull().alias("gap")))
-    per_sample = staged.groupBy("sample_id").agg(
+    per_sample = cut(staged.groupBy("sample_id").agg(
         F.max("stage").alias("top"),
-        F.count_if(F.col("gap") & (F.col("stage") >= 3)).alias("n_missing"))
+        F.count_if(F.col("gap") & (F.col("stage") >= 3)).alias("n_missing")))
     good = F.col("n_missing") <= max_missing
     samples = per_sample.agg(
         F.count(F.lit(1)).alias("s0"),

@@ -482,7 +482,7 @@ def calibrate(scored: DataFrame, labels: list[str], method: str = "sigmoid") ->
     if method not in ("sigmoid", "isotonic"):
         raise ValueError(f"Unsupported calibration: {method}")
     binary = len(labels) == 2
-    out = scored
+    out = cut(scored)  # each class's fit reads the scores, none computes them again
     for i, label in enumerate(labels):
         if binary and i == 0:
             continue
