@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import free_name
+
 #: Tokens of an overlap that counts, and the share of them that must be equal.
 OVERLAP = 13
 SHARE = 0.8
@@ -132,8 +134,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents without a verified overlap, with their own columns."""
+    """The documents without a verified overlap, with their own columns.
+
+    Null and empty texts stay; a repeated row stays or goes as often as it is there.
+    """
+    same_id, same_hash = (free_name(docs.columns, c) for c in ("same_id", "same_hash"))
     found = overlaps(docs, benchmark, id_col, text_col, item_col, item_text) \
-        .select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+        .select(F.col(id_col).alias(same_id), F.col("text_hash").alias(same_hash)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(same_id))
+                     & (F.xxhash64(text_col) == F.col(same_hash)), "left_anti")

@@ -71,8 +71,8 @@ def test_odd_rows(spark, odd, no_docs):
     assert dc.contamination(no_docs, items).count() == 0
     assert not any(r.contaminated for r in dc.contamination(
         odd(), items.limit(0)).collect())
-    kept = dc.remove(odd("_id2"), items)
-    assert kept.columns == ["doc_id", "text", "_id2"]
+    kept = dc.remove(odd("same_id"), items)
+    assert kept.columns == ["doc_id", "text", "same_id"]
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(
         (i for i, *_ in ODD if i != 1), key=repr)
 
