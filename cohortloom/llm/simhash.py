@@ -89,87 +89,107 @@ class Golay:
         return (words[:, None] ^ self.errors[at]) >> 11, np.arange(6) < self.size[at][:, None]
 
 
-def keys_of(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint) rows such that any two within ``RADIUS`` share a key.
-
-    Of at most four errors, either every segment has at most two: then the
-    segments share a triple of codeword indices.  Or one has three or more and
-    the others one at most between them: then one of these is equal and the
-    other shares an index.
-    """
+def _nearby(fps: np.ndarray, code: Golay):
+    """The segments of the fingerprints and the codeword indices near each."""
     unsigned = fps.view(np.uint64)
     parts = [((unsigned >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
              for at, width in SEGMENTS]
-    found = [code.nearby(p) for p in parts]
-    keys, held = [], []
+    return parts, [code.nearby(p) for p in parts]
 
-    def add(key, mask):
-        keys.append(key[mask])
-        held.append(fps[mask])
 
-    for i, j, k in product(range(6), repeat=3):
-        (a, in_a), (b, in_b), (c, in_c) = ((f[0][:, n], f[1][:, n]) for f, n in zip(found, (i, j, k)))
-        add((a << 24) | (b << 12) | c, in_a & in_b & in_c)
-    for kind, (same, near) in enumerate(((s, n) for s in range(3) for n in range(3) if s != n), 1):
+def pair_keys(fps: np.ndarray, code: Golay):
+    """(keys, which fingerprints have them): a segment as it is and an index of another."""
+    parts, found = _nearby(fps, code)
+    kinds = [(same, near) for same in range(3) for near in range(3) if same != near]
+    for kind, (same, near) in enumerate(kinds, 1):
         for i in range(6):
-            add((kind << 40) | (parts[same] << 12) | found[near][0][:, i], found[near][1][:, i])
-    return np.concatenate(keys), np.concatenate(held)
+            yield (kind << 40) | (parts[same] << 12) | found[near][0][:, i], found[near][1][:, i]
+
+
+def triple_keys(fps: np.ndarray, code: Golay):
+    """(keys, which fingerprints have them): an index of each segment."""
+    _, found = _nearby(fps, code)
+    for at in product(range(6), repeat=3):
+        (a, in_a), (b, in_b), (c, in_c) = ((f[0][:, n], f[1][:, n]) for f, n in zip(found, at))
+        yield (a << 24) | (b << 12) | c, in_a & in_b & in_c
+
 
+def keys_of(fps: np.ndarray, code: Golay, kinds=(pair_keys, triple_keys)) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the place of each one's fingerprint: any two within ``RADIUS`` share a key.
 
-def keyed(fps: DataFrame) -> DataFrame:
-    """(key, fp) rows of distinct fingerprints, about 180 each."""
+    Of at most four errors, either every segment has at most two: then the
+    segments share a triple of codeword indices.  Or one has three or more and
+    the others one at most between them: then one of these is equal and the
+    other shares an index.
+    """
+    made = [(key[mask], np.flatnonzero(mask)) for kind in kinds for key, mask in kind(fps, code)]
+    return np.concatenate([k for k, _ in made]), np.concatenate([h for _, h in made])
+
+
+def keyed(roots: DataFrame, *kinds) -> DataFrame:
+    """(key, fp, root) rows of distinct fingerprints: about 30 pair keys and 150 triples each."""
     def run(batches):
         code = Golay()
         for batch in slices(batches, 2048):
-            keys, held = keys_of(batch.column("fp").to_numpy(), code)
-            yield pa.record_batch([pa.array(keys), pa.array(held)], names=["key", "fp"])
+            keys, held = keys_of(batch.column("fp").to_numpy(), code, kinds)
+            yield pa.record_batch([pa.array(keys), *(c.take(pa.array(held)) for c in batch.columns)],
+                                  names=["key", "fp", "root"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return roots.select("fp", "root").mapInArrow(run, "key long, fp long, root long")
 
 
 def _close(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) after the roots that ``links`` (a, b) connect have become one."""
+    whole = components(links)
+    return cut(roots.join(whole.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
+               .select("fp", F.coalesce("new", "root").alias("root")))
+
+
 def linked(fps: DataFrame) -> DataFrame:
-    """(node, root) of the distinct fingerprints ``fps`` (fp) that link to others.
+    """(fp, root) of distinct fingerprints ``fps`` (fp); links connect those of one root.
 
-    Never all pairs of a bucket: every member is first held against one hub, the
-    bucket's least fingerprint.  After components of these links, only buckets
-    that still hold several are looked at again, and there only the members
-    outside the bucket's largest component meet those of other components.
+    Never all pairs of a bucket.  First, the members of the buckets of pair keys
+    are held against the bucket's least fingerprint; this joins most of a large
+    group of near copies.  Then all keys are made, and of buckets that still hold
+    several roots only the members outside the largest one go on: each meets one
+    fingerprint of that root, and where it is not near, the others of the bucket.
     """
-    rows = keyed(fps).repartition("key")
-    shared = rows.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")) \
-        .where("hub < top").select("key", "hub")
-    members = cut(rows.join(shared, "key"))
-    stars = components(members.where((F.col("fp") != F.col("hub")) & _close("fp", "hub"))
-                       .select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-    stars = cut(stars)
-
-    placed = members.select("key", "fp").join(stars.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = cut(placed.join(sizes.where("roots > 1").select("key", "main"), "key"))
-    few = mixed.where("root <> main").select("key", F.col("fp").alias("fp_a"), F.col("root").alias("a"))
-    many = mixed.select("key", F.col("fp").alias("fp_b"), F.col("root").alias("b"))
-    across = cut(few.join(many, (few.key == many.key) & (F.col("a") != F.col("b"))
-                          & _close("fp_a", "fp_b")).select("a", "b").distinct())
-    if across.isEmpty():
-        return stars
-    whole = components(across)
-    ends = stars.union(across.select("a", "a")).union(across.select("b", "b")).groupBy("node") \
-        .agg(F.min("root").alias("old"))
-    return cut(ends.join(whole.select(F.col("node").alias("old"), "root"), "old", "left").select(
-        "node", F.coalesce("root", "old").alias("root")))
+    roots = cut(fps.select("fp", F.col("fp").alias("root")))
+    rows = keyed(roots, pair_keys).repartition("key")
+    hubs = rows.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub < top")
+    roots = _merged(roots, rows.join(hubs, "key").where((F.col("fp") != F.col("hub")) & _close("fp", "hub"))
+                    .select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+
+    # The largest root of each bucket that holds several, and the least fingerprint of it there.
+    rows = keyed(roots, pair_keys, triple_keys).repartition("key")
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("fp").alias("hub")) \
+        .groupBy("key").agg(F.max_by(F.struct("root", "hub"), F.struct("n", "root")).alias("m"),
+                            F.count("*").alias("kinds")).where("kinds > 1") \
+        .select("key", F.col("m.root").alias("main"), F.col("m.hub").alias("hub"))
+    few = cut(rows.join(main, "key").where("root <> main"))
+    merged = _merged(roots, few.where(_close("fp", "hub")).select(
+        F.col("root").alias("a"), F.col("main").alias("b")))
+
+    # Members that their bucket's largest root has still not taken in meet all others there.
+    now = merged.select(F.col("fp").alias("hub"), F.col("root").alias("main_now"))
+    left = cut(few.select("key", "fp", "hub", F.col("root").alias("old_a")).join(
+        merged.withColumnRenamed("root", "now"), "fp").join(now, "hub").where("now <> main_now")
+        .select("key", F.col("fp").alias("fp_a"), "old_a"))
+    others = keyed(roots, pair_keys, triple_keys).select(
+        "key", F.col("fp").alias("fp_b"), F.col("root").alias("old_b"))
+    near = left.join(others, (left.key == others.key) & (F.col("old_a") != F.col("old_b"))
+                     & _close("fp_a", "fp_b")).select("fp_a", "fp_b").distinct()
+    ends = [merged.select(F.col("fp").alias(f"fp_{x}"), F.col("root").alias(x)) for x in "ab"]
+    return _merged(merged, near.join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b"))
 
 
 def _rooted(marks: DataFrame) -> DataFrame:
     """(fp, root) of every fingerprint; root is the same for all that links connect."""
-    fps = marks.select("fp").distinct()
-    roots = linked(fps).withColumnRenamed("node", "fp")
-    return fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return linked(marks.select("fp").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

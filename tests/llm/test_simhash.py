@@ -73,14 +73,46 @@ def test_chain_of_links_over_buckets(spark):
             fp ^= 1 << (step * 4 + bit)
     far = (1 << 64) - 1
     rows = [(x - (1 << 64) if x >> 63 else x,) for x in [*chain, far]]
-    got = {r.node: r.root for r in simhash.linked(spark.createDataFrame(rows, "fp long")).collect()}
-    assert set(got) == set(chain) and len(set(got.values())) == 1
+    got = {r.fp: r.root for r in simhash.linked(spark.createDataFrame(rows, "fp long")).collect()}
+    assert len({got[x] for x in chain}) == 1 and len(set(got.values())) == 2
+
+
+def test_random_clusters_match_brute_force(spark):
+    """Dense groups, far ones, and members that only meet others outside the hub's reach."""
+    rnd, fps = np.random.default_rng(2), set()
+    for _ in range(12):
+        base = int(rnd.integers(0, 2**64, dtype=np.uint64))
+        for _ in range(40):
+            mark = base
+            for bit in rnd.choice(64, rnd.integers(0, 6), replace=False):
+                mark ^= 1 << int(bit)
+            fps.add(mark)
+    fps = sorted(fps)
+    group = {x: x for x in fps}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                group[find(a)] = find(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = {r.fp: r.root for r in simhash.linked(
+        spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()}
+    pairs = {(find(x), got[signed(x)]) for x in fps}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
 def test_odd_rows(odd):
     from fixtures_llm import ODD
 
     got = simhash.near_duplicates(odd("fingerprint")).collect()
+    kept = simhash.keep_one(odd("text_hash"))
+    assert kept.columns == ["doc_id", "text", "text_hash"]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 5, None]
     assert sorted((tuple(r) for r in got), key=repr) == plain_groups([r[:2] for r in ODD])
 
 
