@@ -16,7 +16,7 @@ from collections.abc import Callable, Hashable, Sequence
 #: Symbols up to which a piece is merged directly, without halving.
 LEAF = 48
 #: Entries of each of the two generations of a memo.
-MEMO = 400_000
+MEMO = 250_000
 
 _NONE = 1 << 60
 

@@ -38,7 +38,7 @@ def _marks(word: str) -> int:
     return zlib.crc32(word.lower().encode()) | zlib.crc32(shape(word).encode()) << 32
 
 
-_memo = Memo(_marks)
+_memo = Memo(_marks, limit=50_000)  # a worker keeps it through later stages, too
 
 
 def grams(text: str) -> np.ndarray:
