@@ -180,7 +180,7 @@ def linked(fps: DataFrame) -> DataFrame:
         merged.withColumnRenamed("root", "now"), "fp").join(now, "hub").where("now <> main_now")
         .select("key", F.col("fp").alias("fp_a"), "old_a"))
     others = keyed(roots, pair_keys, triple_keys).select(
-        "key", F.col("fp").alias("fp_b"), F.col("root").alias("old_b"))
+        "key", F.col("fp").alias("fp_b"), F.col("root").alias("old_b")).hint("merge")  # alike at every size
     near = left.join(others, (left.key == others.key) & (F.col("old_a") != F.col("old_b"))
                      & _close("fp_a", "fp_b")).select("fp_a", "fp_b").distinct()
     ends = [merged.select(F.col("fp").alias(f"fp_{x}"), F.col("root").alias(x)) for x in "ab"]
