@@ -20,9 +20,9 @@ from .common import slices, texts, typed
 from .quality import held_out
 
 #: Tokens that a task gathers before it sorts them into one batch of counts.
-FLUSH = 4_000_000
-#: Least number of shards of the arrays; beyond it, one for every two input splits.
-SHARDS = 16
+FLUSH = 2_000_000
+#: Least number of shards of the arrays; beyond it, one for every input split.
+SHARDS = 4
 #: Signs that no word can be, for the end of a text and the place before its start.
 END, START = (xxhash.xxh64_intdigest(s) for s in (b"\n", b"\t"))
 
@@ -169,7 +169,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     range of hashes, so its size does not hang on how often one word occurs.
     """
     spark = docs.sparkSession
-    shards = max(SHARDS, docs.rdd.getNumPartitions() // 2)
+    shards = max(SHARDS, docs.rdd.getNumPartitions())
     store = Store(shared_uri(scratch_path(spark, "ngrams")))
 
     def count(batches):
