@@ -1,0 +1,58 @@
+"""One document of each group stays: held against the Jaccard similarity of all pairs."""
+
+import numpy as np
+
+from cohortloom.llm import near_copies, simhash
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows):
+    """Least id of every group of (id, text) rows that similarities of 0.8 connect."""
+    sets, group = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (both := len(a & b)) and 5 * both >= 4 * (len(a) + len(b) - both):
+                group[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted(least.values())
+
+
+def test_near_copies_match_brute_force(spark):
+    """Groups, chains and pairs just short of the bound; most are more than four bits apart."""
+    rnd, rows = np.random.default_rng(4), []
+    for size in [2] * 12 + [6] * 4 + [40]:
+        text = [f"w{n}" for n in rnd.integers(0, 5000, 150)]
+        for _ in range(size):
+            words = list(text)
+            for at in rnd.choice(150, rnd.integers(0, 5), replace=False):
+                words[at] = f"x{rnd.integers(0, 10 ** 6)}"
+            rows.append((len(rows), " ".join(words)))
+            text = words if size == 6 else text
+    want = plain_kept(rows)
+    assert 10 < len(want) < len(rows) / 2
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_bound_is_exact():
+    a = {bytes([i]) for i in range(9)}
+    assert near_copies.near(a, {*list(a)[:8]}) and near_copies.near(set(range(4)), set(range(5)))
+    assert not near_copies.near(set(range(7)), set(range(9)))
