@@ -30,11 +30,15 @@ TIE = 1.0
 # Element names and words of class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label
-    mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr""".split())
-DROPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas",
+    mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot
+    mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics""".split())
+DROPPED = ("script", "style", "noscript", "template", "svg", "annotation-xml", "annotation", "iframe", "object", "canvas",
            "textarea", "select", "title")
 BAD_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
+#: Elements that hold the content: words of their attributes tell what else is on the page.
+WHOLE = GOOD_TAGS | {"html", "body"}
 BAD_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo
     promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer
     masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter
@@ -44,7 +48,7 @@ BAD_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor
 GOOD_WORDS = frozenset("article articlebody content entry main post story".split())
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(DROPPED) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<(?P<raw>" + "|".join(DROPPED) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/a-z][^>]*+>|[^<]+|<", re.I | re.S)
 _OPENED = re.compile(r"<[!?/a-z]", re.I)
@@ -74,9 +78,9 @@ def _hint(tag: str, rest: str, inside: bool) -> float:
             hint += INSIDE_BOILERPLATE
         elif name in ("class", "id", "role", "itemprop"):
             words = {w.lower() for w in _WORD.findall(value)} | {value.lower()}
-            if words & BAD_WORDS or "header" in words and not inside and tag != "body":
+            if tag not in WHOLE and (words & BAD_WORDS or "header" in words and not inside):
                 hint += INSIDE_BOILERPLATE
-            elif words & GOOD_WORDS and tag != "body":
+            elif words & GOOD_WORDS and tag not in ("html", "body"):
                 hint += INSIDE_ARTICLE / 2
     return hint
 

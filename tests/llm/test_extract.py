@@ -91,3 +91,25 @@ def test_fit_separates():
     y = (a[:, 1] < 0.5).astype(float)
     w = x.fit(a, y)
     assert (((a @ w) > 0) == (y > 0)).mean() > 0.95
+
+
+def test_words_of_the_whole_page_blank_nothing():
+    story = "<h1>A title</h1><p>First one, with words, and an end.</p><p>Second one, with more, and an end.</p>"
+    for page in ("<body class='no-sidebar'>%s</body>", "<body class='single comments-open search-results'>%s</body>",
+                 "<html class='cookie-banner'><body>%s</body></html>", "<main id='skip-menu'>%s</main>",
+                 "<article class='post comments-open has-related'>%s</article>"):
+        got = text(page % story)
+        assert "First one" in got and "Second one" in got, page
+    assert text("<body class='no-sidebar'><div class='sidebar'><p>Buy this, now.</p></div></body>") == ""
+
+
+def test_closed_drawings_and_formulas():
+    def texts(html):
+        return [b.text for b in x.blocks(html)]
+
+    assert texts('<p>one</p><svg class="i"/><p>two</p>') == ["one", "two"]
+    assert texts('<p>one</p><svg alt="a > b" /><p>two</p>') == ["one", "two"]
+    assert texts("<p>one</p><svg><text>no</text></svg><p>two</p>") == ["one", "two"]
+    assert texts("<p>As <math><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mi>y</mi>"
+                 "<annotation encoding='tex'>x^2</annotation></math> says.</p>") == ["As x2=y says."]
+    assert texts("<p>one<math/> two</p>") == ["one two"]
