@@ -84,9 +84,10 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def unpacked(data: bytes, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+def unpacked(data: bytes, dtype, columns: int = 1) -> np.ndarray:
+    width = np.dtype(dtype).itemsize * columns
+    found = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype)
+    return found if columns > 1 else found.ravel()
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +103,12 @@ def shard_of(tops: np.ndarray, shards: int) -> np.ndarray:
     return (tops.astype(np.uint64) * np.uint64(shards)) >> np.uint64(32)
 
 
+def pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each bigram key: by all its bits, so one word's pairs spread over all shards."""
+    mixed = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return shard_of((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32), shards)
+
+
 class Part(NamedTuple):
     """Counts of one kind for one shard, keys as differences."""
     kind: str
@@ -115,7 +122,12 @@ PARTS = "kind string, shard int, keys binary, counts binary"
 
 def parts(kind: str, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
     """The sorted keys and counts cut into rows, one per shard that has any."""
-    at = shard_of(keys >> np.uint64(32), shards)
+    if kind == "pair":
+        at = pair_shard(keys, shards)
+        order = np.argsort(at, kind="stable")
+        keys, counts, at = keys[order], counts[order], at[order]
+    else:
+        at = shard_of(keys >> np.uint64(32), shards)
     edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(keys)]
     rows = [Part(kind, int(at[a]), packed(np.diff(keys[a:b], prepend=np.uint64(0))),
                  packed(counts[a:b].astype(np.uint64))) for a, b in zip(edges, edges[1:]) if b > a]
@@ -124,10 +136,10 @@ def parts(kind: str, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Re
         columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=list(Part._fields))
 
 
-def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of all rows of one kind and shard."""
+def merged(table: pa.Table, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts, so many to a key, of all rows of one kind and shard."""
     keys = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in table["keys"].to_pylist()]
-    counts = [unpacked(c, np.uint64) for c in table["counts"].to_pylist()]
+    counts = [unpacked(c, np.uint64, columns) for c in table["counts"].to_pylist()]
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -166,7 +178,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the texts of ``docs``, all of them, and write the model's arrays.
 
     Tasks count what they hold before anything is shuffled; a shard then holds a
-    range of hashes, so its size does not hang on how often one word occurs.
+    range of hashes of words or of whole pairs, so its size does not hang on how
+    often one word occurs.  What pairs say of their forerunner and their last
+    word is added up per shard first, then in shards of these words.
     """
     spark = docs.sparkSession
     shards = max(SHARDS, docs.rdd.getNumPartitions())
@@ -204,31 +218,31 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         store.put(f"{kind}-{shard}-counts", counts.astype(np.uint32))
         if kind == "word":
             return sums(kind, shard, counts)
-        # The shard has all followers of its forerunners: what they leave to others is known here.
-        tops = (keys >> np.uint64(32)).astype(np.uint32)
+        # What this shard's followers of each forerunner leave to others; other shards have more of them.
+        tops = keys >> np.uint64(32) << np.uint64(32)
         first = np.flatnonzero(np.append(True, tops[1:] != tops[:-1]))
-        store.put(f"first-{shard}-keys", tops[first])
-        table = [np.add.reduceat(x, first) for x in (
-            counts, *((counts == n).astype(np.uint64) for n in (1, 2)), (counts > 2).astype(np.uint64))]
-        store.put(f"first-{shard}-counts", np.stack(table, axis=1).astype(np.uint32))
+        left = np.stack([np.add.reduceat(x, first) for x in (
+            counts, *((counts == n).astype(np.uint64) for n in (1, 2)), (counts > 2).astype(np.uint64))], axis=1)
         lasts, forerunners = np.unique(keys << np.uint64(32), return_counts=True)
-        return sums(kind, shard, counts, parts("last", lasts, forerunners, shards))
+        return sums(kind, shard, counts, pa.Table.from_batches([
+            parts("first", tops[first], left, shards), parts("last", lasts, forerunners, shards)]).combine_chunks())
 
-    def merge_last(key, table):
-        shard = key[1].as_py()
-        keys, counts = merged(table)
-        store.put(f"last-{shard}-keys", (keys >> np.uint64(32)).astype(np.uint32))
-        store.put(f"last-{shard}-counts", counts.astype(np.uint32))
-        return sums("last", shard, counts).select(["n", "total", "n1", "n2", "n3", "n4"])
+    def merge_ends(key, table):
+        kind, shard = key[0].as_py(), key[1].as_py()
+        keys, counts = merged(table, 4 if kind == "first" else 1)
+        store.put(f"{kind}-{shard}-keys", (keys >> np.uint64(32)).astype(np.uint32))
+        store.put(f"{kind}-{shard}-counts", counts.astype(np.uint32))
+        return sums(kind, shard, counts).select(["kind", "n", "total", "n1", "n2", "n3", "n4"])
 
     found = cut(docs.select(text_col).mapInArrow(count, PARTS).groupBy("kind", "shard")
                 .applyInArrow(merge, SUMS))
     numbers = [F.sum(c).alias(c) for c in ("n", "total", "n1", "n2", "n3", "n4")]
     of = {r.was: r for r in found.withColumn("was", F.when(F.col("kind") == "word", "word")
                                              .otherwise("pair")).groupBy("was").agg(*numbers).collect()}
-    last = found.where("kind = 'last'").select("kind", "shard", "keys", "counts") \
-        .groupBy("kind", "shard").applyInArrow(merge_last, SUMS.partition("binary, counts binary, ")[2]) \
-        .agg(*numbers).first()
+    last = cut(found.where("kind IN ('first', 'last')").select("kind", "shard", "keys", "counts")
+               .groupBy("kind", "shard").applyInArrow(
+                   merge_ends, "kind string, " + SUMS.partition("binary, counts binary, ")[2])) \
+        .where("kind = 'last'").agg(*numbers).first()
     if not of or of["word"].n is None:
         return Model(store, 0, 0, 0, discounts([0] * 4), discounts([0] * 4), 0, 1.0)
     word, pair = of["word"], of["pair"]
@@ -244,17 +258,24 @@ def looked_up(model: Model, kind: str, keys: np.ndarray, tops: np.ndarray, dtype
     out = np.zeros((len(keys), width), np.float64)
     if not model.shards or not len(keys):
         return out
-    at = shard_of(tops, model.shards)
+    if kind == "pair":
+        at = pair_shard(keys, model.shards)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+    else:
+        at, order = shard_of(tops, model.shards), None
     edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1), len(keys)]
     for a, b in zip(edges, edges[1:]):
+        rows = slice(a, b) if order is None else order[a:b]
+        wanted = keys[rows]
         try:
             known = model.store.get(f"{kind}-{int(at[a])}-keys", dtype)
         except FileNotFoundError:  # no training text has a key of this shard
             continue
         if len(known):
             values = model.store.get(f"{kind}-{int(at[a])}-counts", np.uint32).reshape(-1, width)
-            place = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-            out[a:b] = np.where((known[place] == keys[a:b])[:, None], values[place], 0)
+            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            out[rows] = np.where((known[place] == wanted)[:, None], values[place], 0)
     return out
 
 
@@ -268,14 +289,15 @@ def chances(model: Model, keys: np.ndarray) -> np.ndarray:
     tops, lows = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF))
     seen = looked_up(model, "pair", keys, tops, np.uint64)[:, 0]
     heads, back = np.unique(tops.astype(np.uint32), return_inverse=True)
-    stats = looked_up(model, "first", heads, heads, np.uint32, 4)[back]
+    stats = looked_up(model, "first", heads, heads, np.uint32, 4)
+    total = np.maximum(stats[:, 0], 1)
+    left = np.where(stats[:, 0] > 0, stats[:, 1:] @ model.bigram / total, 1.0)[back]
+    seen = (seen - taken(seen, model.bigram)) / total[back]
     ends, back = np.unique(lows.astype(np.uint32), return_inverse=True)
-    forerunners = looked_up(model, "last", ends, ends, np.uint32)[:, 0][back]
+    forerunners = looked_up(model, "last", ends, ends, np.uint32)[:, 0]
     lower = (forerunners - taken(forerunners, model.follow)) / max(model.follows, 1) \
         + model.spare / (model.kinds + 1)
-    total = np.maximum(stats[:, 0], 1)
-    left = np.where(stats[:, 0] > 0, stats[:, 1:] @ model.bigram / total, 1.0)
-    return np.log10((seen - taken(seen, model.bigram)) / total + left * lower)
+    return np.log10(seen + left * lower[back])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,3 +96,12 @@ def test_empty_table_and_no_training(spark, no_docs):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm.score_texts(spark.createDataFrame([(alone, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, 0.0)
+
+
+def test_one_word_fills_no_shard():
+    """The followers of a word that comes before all others spread over the shards."""
+    rnd = np.random.default_rng(8)
+    keys = np.unique((np.uint64(7) << np.uint64(32)) | rnd.integers(0, 1 << 32, 40_000, np.uint64))
+    rows = lm.parts("pair", keys, np.ones(len(keys), np.uint64), 16).to_pylist()
+    sizes = [len(r["keys"]) // 8 for r in rows]
+    assert len(rows) == 16 and sum(sizes) == len(keys) and max(sizes) < 1.2 * len(keys) / 16
