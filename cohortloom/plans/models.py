@@ -3,67 +3,60 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import dataset as ds, evaluate as ev, inference as inf, training as tr, tree
 from . import standins as st
 from .registry import Query
 from .samples import class_tree
 
-FOREST = {"n_estimators": [10], "max_depth": [5], "max_features": ["sqrt"]}
-TOP = 10
 
-
-def _design(spark, d, nodes, held, m):
-    return ds.node_design(m, nodes, held)
-
-
-def _search(spark, d, model_type, grid):
-    m = st.vector_matrix(spark, d, gaps=False)
-    design = _design(spark, d, *class_tree(spark, d), m).filter(
-        F.col("node_id") == st.CLASS_ROOT)
-    return tr.search(tr.plan_search(m, design, prior="eb", number=TOP), st.CLASS_ROOT, model_type, grid)
+def _searches(spark, d, model_type):
+    """The matrix, the plan and the search of every trainable node, on the operators' own defaults."""
+    m = st.vector_matrix(spark, d)
+    plan = tr.plan_search(m, ds.node_design(m, *class_tree(spark, d)))
+    ids = sorted(r[0] for r in plan.samples.select("node_id").distinct().collect())
+    return m, plan, {n: tr.search(plan, n, model_type) for n in ids}
 
 
-def _scores(spark, found):
-    rows = [(json.dumps({k: v for k, v in s.items() if k != "score"}), float(s["score"]),
-             found.n_train, found.n_test, found.test_accuracy) for s in found.scores]
+def _scores(spark, searches):
+    rows = [(node, json.dumps({k: v for k, v in s.items() if k != "score"}), float(s["score"]),
+             found.n_train, found.n_test, found.test_accuracy)
+            for node, found in searches.items() for s in found.scores]
     return spark.createDataFrame(
-        rows, "params string, score double, n_train long, n_test long, test_accuracy double")
+        rows, "node_id string, params string, score double, n_train long, n_test long, test_accuracy double")
 
 
 def svm_cv(spark, d):
-    return _scores(spark, _search(spark, d, "svm", {"C": [0.1, 1.0], "max_iter": [10]}))
+    return _scores(spark, _searches(spark, d, "svm")[2])
 
 
 def forest_cv(spark, d):
-    grid = {**FOREST, "criterion": ["gini", "entropy"], "class_weight": ["balanced"]}
-    return _scores(spark, _search(spark, d, "random_forest", grid))
+    return _scores(spark, _searches(spark, d, "random_forest")[2])
 
 
 def forest_auc_search(spark, d):
-    m = st.vector_matrix(spark, d, gaps=False)
+    m = st.vector_matrix(spark, d)
     design = st.table(spark, d, "embeddings").select(
         F.lit("B").alias("node_id"), F.col("vec_id").alias("sample_id"),
         F.when(F.col("label") < 5, "low").otherwise("high").alias("cancer_type"))
-    plan = tr.plan_search(m, design, k=3, prior="eb", number=20)
-    return _scores(spark, tr.search(
-        plan, "B", "random_forest",
-        {"n_estimators": [10], "max_depth": [5], "min_samples_leaf": [1, 4]}, "roc_auc", k=3))
+    found = tr.search(tr.plan_search(m, design), "B", "random_forest", tr.AUC_FOREST_GRID, "roc_auc")
+    return _scores(spark, {"B": found})
 
 
 def _whole_models(spark, d):
     """One forest per inner node from a parameter table, fitted on all samples."""
     nodes, held = class_tree(spark, d)
-    m = st.vector_matrix(spark, d, gaps=False)
+    m = st.vector_matrix(spark, d)
     probes = [f"d{i}" for i in range(64)] + ["not_on_the_array"]
     inner = [st.CLASS_ROOT] + sorted(
         r[0] for r in tree.at_level(nodes, 2).select("name").collect())
     records = spark.createDataFrame(
         [(n, "RandomForestClassifier",
-          {"n_estimators": "10", "max_depth": "6", "max_features": "sqrt"}, probes)
+          {"n_estimators": "100", "max_features": "sqrt"}, probes)
          for n in inner],
         "model_name string, model_type string, parameters map<string,string>, "
         "feature_names array<string>")
@@ -81,8 +74,7 @@ def importances(spark, d):
 
 def _trained(spark, d):
     nodes, held = class_tree(spark, d)
-    m = st.vector_matrix(spark, d, gaps=False)
-    return tr.train_tree(m, nodes, held, "random_forest", FOREST, number=TOP)
+    return tr.train_tree(st.vector_matrix(spark, d), nodes, held, "random_forest")
 
 
 def node_training_stats(spark, d):
@@ -94,18 +86,19 @@ def training_summary(spark, d):
 
 
 def calibrated(spark, d):
-    found = _search(spark, d, "random_forest", FOREST)
-    m = st.vector_matrix(spark, d, gaps=False)
-    labels = st.table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("sample_id"),
-        F.concat(F.lit("G"), (F.col("label") % 3).cast("string")).alias("cancer_type"))
-    scored = inf.validation_calls(m, found.model, labels).withColumnRenamed(
-        "actual", "cancer_type")
-    return tr.calibrate(scored, found.model.labels).select(
-        "sample_id", "cancer_type", F.explode(F.arrays_zip(
-            F.array(*[F.lit(c) for c in found.model.labels]).alias("class"),
-            F.col("calibrated").alias("p"))).alias("c")).select(
-        "sample_id", "cancer_type", "c.class", F.round("c.p", 6).alias("probability"))
+    m, plan, searches = _searches(spark, d, "random_forest")
+
+    def of(node, found):
+        labels = plan.samples.filter(F.col("node_id") == node).select("sample_id", "cancer_type")
+        scored = inf.validation_calls(m, found.model, labels).withColumnRenamed("actual", "cancer_type")
+        names = found.model.labels
+        return tr.calibrate(scored, names).select(
+            F.lit(node).alias("node_id"), "sample_id", "cancer_type", F.explode(F.arrays_zip(
+                F.array(*[F.lit(c) for c in names]).alias("class"),
+                F.col("calibrated").alias("p"))).alias("c")).select(
+            "node_id", "sample_id", "cancer_type", "c.class", F.round("c.p", 6).alias("probability"))
+
+    return reduce(DataFrame.unionByName, [of(*x) for x in searches.items()])
 
 
 def predict_tree(spark, d):
@@ -141,9 +134,13 @@ def project_missing(spark, d):
 
 
 def train_gaps(spark, d):
-    """What the search on each node uses of a matrix with gaps."""
+    """What the search on each node uses of a matrix with gaps, as its plan has it."""
     m = st.vector_matrix(spark, d)
-    return tr.training_size(m, ds.node_design(m, *class_tree(spark, d)))
+    plan = tr.plan_search(m, ds.node_design(m, *class_tree(spark, d)))
+    probes = plan.probes.filter("train_of = -1").groupBy("node_id").agg(
+        F.countDistinct("probe_id").alias("n_probes"))
+    return plan.samples.groupBy("node_id").agg(F.countDistinct("sample_id").alias("n_samples")).join(
+        probes, "node_id")
 
 
 class Threshold(NamedTuple):
@@ -197,10 +194,11 @@ def sample_report(spark, d):
 
 
 def validation_report(spark, d):
-    """Per-class report of the root model on its held-out samples."""
-    found = _search(spark, d, "random_forest", FOREST)
-    m = st.vector_matrix(spark, d, gaps=False)
-    return ev.class_report(inf.validation_calls(m, found.model, found.held_out))
+    """Per-class report of every node's model on its held-out samples."""
+    m, _, searches = _searches(spark, d, "random_forest")
+    return reduce(DataFrame.unionByName, [
+        ev.class_report(inf.validation_calls(m, found.model, found.held_out)).withColumn("node_id", F.lit(node))
+        for node, found in searches.items()])
 
 
 _FIXED = f"""WITH m AS ({st.VECTOR_MATRIX}),

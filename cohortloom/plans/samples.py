@@ -103,10 +103,11 @@ def diff_robust(spark, d):
 
 
 def diff_selected_matrix(spark, d):
-    m = st.vector_matrix(spark, d, gaps=False)
+    m = st.vector_matrix(spark, d)
+    m = qc.keep_probes(m, qc.complete_probes(m))  # as the search: no sample is lost
     design = ds.node_design(m, *class_tree(spark, d))
     root = ds.node_matrix(m, design.filter(F.col("node_id") == st.CLASS_ROOT))
-    model = dm.DifferentialSelector(number=TOP).fit(root)
+    model = dm.DifferentialSelector().fit(root)
     return model.transform(root).select("sample_id", "probe_id", "m_value")
 
 
