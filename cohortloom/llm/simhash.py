@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from . import near_copies
 from .common import free_name, map_slices, slices, texts, typed
 from .components import components
 
@@ -212,17 +211,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of every group of near copies, with its own columns: the one with the least id.
+    """One document of every group of near-duplicates, with its own columns: the one with the least id.
 
-    Texts link at a Jaccard similarity of ``near_copies.NEAR`` of their five-word
-    shingles, not by fingerprints.  Of several rows with the least id one with
+    Groups are those of ``near_duplicates``: fingerprints of ``SHINGLE`` words that
+    link at ``RADIUS`` bits or fewer.  Of several rows with the least id one with
     the least text hash stays, once; a null id comes after all others.
     """
     names = docs.columns
-    none, key, text = (free_name(names, c) for c in ("id_none", "id_key", "text_hash"))
+    none, key, text = (free_name([*names, "fp"], c) for c in ("id_none", "id_key", "text_hash"))
     docs = docs.withColumns({none: F.col(id_col).isNull(), text: F.xxhash64(text_col),
                              key: F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType))})
-    marks = near_copies.marked(docs, [none, key, text], text_col)
-    kept = near_copies.rooted(docs, marks, [none, key, text], text_col) \
-        .groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    marks = cut(fingerprints(docs, [none, key, text], text_col))
+    # Copies meet as one row: the least of each fingerprint.
+    least = marks.groupBy("fp").agg(F.min(F.struct(none, key, text)).alias("least"))
+    kept = least.join(_rooted(marks), "fp").groupBy("root").agg(F.min("least").alias("least")) \
+        .select("least.*")
     return docs.join(kept, [none, key, text], "left_semi").dropDuplicates([none, key, text]).select(*names)
