@@ -135,7 +135,9 @@ def keyed(roots: DataFrame, *kinds) -> DataFrame:
             yield pa.record_batch([pa.array(keys), *(c.take(pa.array(held)) for c in batch.columns)],
                                   names=["key", "fp", "root"])
 
-    return roots.select("fp", "root").mapInArrow(run, "key long, fp long, root long")
+    # A written table may lie in a few files; keys are made in as many tasks as a shuffle has.
+    tasks = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return roots.select("fp", "root").repartition(tasks, "fp").mapInArrow(run, "key long, fp long, root long")
 
 
 def _close(a: str, b: str):
