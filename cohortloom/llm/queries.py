@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import byte_bpe, decontaminate, extract, ngram_lm, pii, quality, simhash, token_counts, topk, url_filter
+from . import audit, byte_bpe, decontaminate, extract, ngram_lm, pii, quality, simhash, token_counts, topk, url_filter
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_MODEL = "byte_bpe_50k.json"
@@ -81,6 +81,10 @@ def op10_token_counts(spark, d):
                                      public_tokenizers.path(COUNT_MODEL), TOKEN_LIMIT)
 
 
+def op11_filter_audit(spark, d):
+    return audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 QUERIES = {
@@ -121,4 +125,43 @@ QUERIES = {
     "op8_decontaminate": Query(op8_decontaminate),
     "op9_quality": Query(op9_quality),
     "op10_token_counts": Query(op10_token_counts),
+    "op11_filter_audit": Query(
+        op11_filter_audit,
+        r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+              w AS (SELECT *, [x FOR x IN string_split_regex(t, '[ \t-\r]+') IF x <> ''] AS ws FROM d),
+              e AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+              l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic
+                    FROM labels GROUP BY doc_id),
+              m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                      CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+                      + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+                      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t)
+                             THEN 4 ELSE 0 END
+                      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                      + CASE WHEN least < w.doc_id THEN 16 ELSE 0 END AS mask
+                    FROM w JOIN e USING (t) LEFT JOIN l ON l.doc_id = w.doc_id),
+              f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+              o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order,
+                      [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+                    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+                      AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+              s AS (SELECT filter_order, k AS step, bits[k] AS bit,
+                      CAST(list_sum([0] || bits[1:k - 1]) AS INTEGER) AS before
+                    FROM o, range(1, 6) r(k)),
+              g AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+              r AS (SELECT part, filter_order, step, bit,
+                      sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                      sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+                      sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+                      sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                      sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND good THEN n ELSE 0 END)
+                        AS good_lost,
+                      sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 AND toxic THEN n ELSE 0 END)
+                        AS toxic_lost
+                    FROM g, s GROUP BY ALL)
+            SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+              CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+              CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+              CAST(toxic_lost AS BIGINT) AS toxic_lost,
+              CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""),
 }
