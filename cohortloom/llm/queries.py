@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import audit, byte_bpe, decontaminate, extract, ngram_lm, pii, quality, simhash, token_counts, topk, url_filter
+from . import audit, byte_bpe, decontaminate, extract, ngram_lm, pii, quality, sentence_piece, simhash, token_counts, topk, url_filter
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 COUNT_MODEL = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
@@ -85,6 +86,15 @@ def op11_filter_audit(spark, d):
     return audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op12_sentence_piece(spark, d):
+    path = public_tokenizers.path(PIECES)
+    rows = sentence_piece.decode(sentence_piece.encode(table(spark, d, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+                       .alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 QUERIES = {
@@ -164,4 +174,5 @@ QUERIES = {
               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
               CAST(toxic_lost AS BIGINT) AS toxic_lost,
               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""),
+    "op12_sentence_piece": Query(op12_sentence_piece),
 }
