@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from ..plans.standins import table
-from . import audit, byte_bpe, decontaminate, extract, ngram_lm, pii, quality, sentence_piece, simhash, token_counts, topk, url_filter
+from . import audit, byte_bpe, decontaminate, extract, ngram_lm, pii, quality, sentence_piece, simhash, token_counts, topk, url_filter, vector_codes
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -95,6 +95,38 @@ def op12_sentence_piece(spark, d):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_vector_codes(spark, d):
+    return vector_codes.compress(table(spark, d, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """The six rounds unrolled: distances of all parts to all entries, then sums."""
+    steps, near = [], """SELECT p.vec_id, p.part, arg_min(b.entry, struct_pack(d := list_sum(
+                [(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) FOR i IN range(1, len(p.x) + 1)]), e := b.entry)) AS entry,
+              min(list_sum([(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) FOR i IN range(1, len(p.x) + 1)])) AS d
+            FROM p JOIN {0} b USING (part) GROUP BY p.vec_id, p.part"""
+    for n in range(6):
+        steps.append(f"""n{n} AS MATERIALIZED ({near.format(f"b{n}")}),
+            s{n} AS (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v
+                     FROM n{n} JOIN p USING (vec_id, part), range(1, 9) r(i) GROUP BY ALL),
+            b{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b{n}.x) AS x FROM b{n} LEFT JOIN
+              (SELECT part, entry, list(v ORDER BY i) AS x FROM s{n} GROUP BY ALL) m USING (part, entry))""")
+    return f"""WITH v AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)
+                FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL
+                  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+            p AS MATERIALIZED (SELECT vec_id, CAST(part AS INTEGER) AS part, e[part * 8 + 1:part * 8 + 8] AS x
+                  FROM v, range(0, 8) r(part)),
+            o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v),
+            b0 AS MATERIALIZED (SELECT part, entry, x FROM p JOIN o USING (vec_id) WHERE entry < 16),
+            {", ".join(steps)},
+            f AS MATERIALIZED ({near.format("b6")}),
+            c AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code,
+                    CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY vec_id),
+            h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM b6)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+              h AS codebooks_sha256 FROM c JOIN v USING (vec_id), h"""
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 QUERIES = {
@@ -175,4 +207,5 @@ QUERIES = {
               CAST(toxic_lost AS BIGINT) AS toxic_lost,
               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""),
     "op12_sentence_piece": Query(op12_sentence_piece),
+    "op13_vector_codes": Query(op13_vector_codes, _codes_sql()),
 }
