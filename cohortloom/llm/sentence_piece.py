@@ -27,6 +27,8 @@ from .common import map_slices, texts, typed
 #: The letter that stands for a space; a fixed value of the format, as are the kinds of pieces.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+#: A rank that no merge has.
+_NEVER = 1 << 60
 #: Characters of a run of text up to which its ids are remembered.
 SHORT = 64
 
@@ -91,9 +93,17 @@ class PieceCoder:
         self.bytes = [spelled[b] for b in range(256)]
         letters = {c for _, p in found for c in p}
         # Single letters always stand; longer pieces only if merging their own text gives them.
-        stand = letters | {p for _, p in found if len(p) > 1 and self.merger.direct(p) == [p]}
+        self.halves = {p: h for _, p in found if len(p) > 1 and (h := self.last_merge(p))}
+        stand = letters | set(self.halves)
+        rank = self.merger.rank
+        self.rising = set(letters)  # pieces whose merges come in the order of their ranks
+        for p, h in sorted(self.halves.items(), key=lambda x: len(x[0])):
+            if self.rising.issuperset(h) and all(rank.get(x, -1) < rank[p] for x in h if len(x) > 1):
+                self.rising.add(p)
+        self.rights, self.lefts = ({c: ((c, _NEVER),) for c in letters} for _ in "rl")
+        self.fits = Memo(self.apart)
         ids = dict((p, i) for i, p in found)
-        self.ids = {p: array("i", [ids[p]] if p in ids else self.spell(p)) for p in stand}
+        self.ids = {p: array("i", [ids[p]] if p in ids else self.spell(p)).tobytes() for p in stand}
         self.longest = ahocorasick.Automaton()  # read backwards, so that a match ends where its piece starts
         for piece in stand:
             self.longest.add_word(piece[::-1], piece)
@@ -118,40 +128,83 @@ class PieceCoder:
         """Ids of the pieces that stand for the text's bytes."""
         return [self.bytes[b] for b in text.encode()]
 
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging the piece's own text joins last; None if it gives other pieces."""
+        parts, rank = list(piece), self.merger.rank
+        while len(parts) > 2:
+            ranks = [rank.get(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+            if (low := min(ranks)) == _NEVER:
+                return None
+            i = ranks.index(low)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return parts[0], parts[1]
+
+    def _border(self, piece: str, known: dict, side: int) -> tuple:
+        """What stands at one end of the piece while it is merged: each symbol, and
+        the rank of the merge that takes it in."""
+        found = known.get(piece)
+        if found is None:
+            inner = self._border(self.halves[piece][side], known, side)
+            found = known[piece] = (*inner[:-1], (inner[-1][0], self.merger.rank[piece]), (piece, _NEVER))
+        return found
+
+    def apart(self, pair: tuple[str, str]) -> bool:
+        """Whether the two pieces stay apart when their text is merged together.
+
+        Where ranks rise on the way to both, only the symbols at the border are merged
+        again, in the order of their ranks; of equal ones the left is first.
+        """
+        a, b = pair
+        if not a:  # nothing stands before the first piece
+            return True
+        rank = self.merger.rank
+        if not (a in self.rising and b in self.rising):
+            return self.merger.direct(a + b) == [a, b]
+        right, left, i, j = self._border(a, self.rights, 1), self._border(b, self.lefts, 0), 0, 0
+        while True:
+            (x, end_x), (y, end_y) = right[i], left[j]
+            across = rank.get(x + y, _NEVER)
+            if across < end_x and across <= end_y:
+                return False
+            if end_x == end_y == _NEVER:
+                return True
+            if end_x <= end_y:
+                i += 1
+            else:
+                j += 1
+
     def walk(self, text: str) -> list[str]:
         """Pieces of a run of known letters, by backtracking."""
-        size, fit, shorter = len(text), self.merger.fit, self.shorter
-        longest: list[str | None] = [None] * size
-        for end, piece in self.longest.iter(text[::-1]):
-            start = size - 1 - end
-            if longest[start] is None or len(piece) > len(longest[start]):
-                longest[start] = piece
-        failed = bytearray(size // 8 + 1)
+        apart, shorter = self.fits, self.shorter
+        # Read backwards; matches that end at one place come longest first, and the first is to stay.
+        longest = dict(reversed(list(self.longest.iter(text[::-1]))))
+        failed: bytearray | None = None  # bits by the number of letters that are left
         out: list[str] = []
-        at, piece = 0, longest[0]
-        while at < size:
-            last = out[-1] if out else None
+        left, last, piece = len(text), "", longest[len(text) - 1]
+        while left:
             while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or fit(last, piece)):
+                rest = left - len(piece)
+                if apart[last, piece] and not (failed and failed[rest >> 3] >> (rest & 7) & 1):
                     break
                 piece = shorter[piece]
             if piece is None:
-                failed[at >> 3] |= 1 << (at & 7)
-                at -= len(last)
+                failed = failed or bytearray(len(text) // 8 + 1)
+                failed[left >> 3] |= 1 << (left & 7)
+                left += len(last)
                 piece = shorter[out.pop()]
+                last = out[-1] if out else ""
             else:
                 out.append(piece)
-                at = end
-                piece = longest[at] if at < size else None
+                left, last, piece = rest, piece, longest.get(rest - 1)
         return out
 
     def _run(self, run: str) -> bytes:
         if run in self.ids:
-            return self.ids[run].tobytes()
+            return self.ids[run]
         if len(run) == 1:
             return array("i", self.spell(run)).tobytes()
-        return b"".join(self.ids[p] for p in self.walk(run))
+        ids = self.ids
+        return b"".join([ids[p] for p in self.walk(run)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers, without begin or end."""
