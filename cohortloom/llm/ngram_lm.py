@@ -20,13 +20,15 @@ from .common import slices, texts, typed
 from .quality import held_out
 
 #: Tokens that a task gathers before it sorts them into one batch of counts.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Least number of shards of the arrays; beyond it, one for every input split.
 SHARDS = 4
+#: Kinds of whole numbers that counts are stored as.
+COUNTS = (np.uint8, np.uint16, np.uint32, np.uint64)
 #: Signs that no word can be, for the end of a text and the place before its start.
 END, START = (xxhash.xxh64_intdigest(s) for s in (b"\n", b"\t"))
 
-_memo = Memo(xxhash.xxh64_intdigest)
+_memo = Memo(xxhash.xxh64_intdigest, limit=60_000)
 
 
 class Store(NamedTuple):
@@ -43,6 +45,17 @@ class Store(NamedTuple):
             out.write(np.ascontiguousarray(array))
         files.move(f"{path}/{draft}", f"{path}/{name}")
 
+    def put_counts(self, name: str, counts: np.ndarray) -> None:
+        """Write counts in the narrowest kind that holds them all."""
+        most = int(counts.max(initial=0))
+        kind = next(k for k in COUNTS if most <= np.iinfo(k).max)
+        self.put(name, counts.astype(kind))
+
+    def get_counts(self, name: str, number: int) -> np.ndarray:
+        """That many counts; the size of the file tells their kind."""
+        counts = self.get(name, np.uint8)
+        return counts.view(next(k for k in COUNTS if np.dtype(k).itemsize * number == len(counts)))
+
     def get(self, name: str, dtype) -> np.ndarray:
         """The array, mapped and not read; a store without paths is copied to an
         unnamed local file first."""
@@ -215,7 +228,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         kind, shard = key[0].as_py(), key[1].as_py()
         keys, counts = merged(table)
         store.put(f"{kind}-{shard}-keys", keys)
-        store.put(f"{kind}-{shard}-counts", counts.astype(np.uint32))
+        store.put_counts(f"{kind}-{shard}-counts", counts)
         if kind == "word":
             return sums(kind, shard, counts)
         # What this shard's followers of each forerunner leave to others; other shards have more of them.
@@ -231,7 +244,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         kind, shard = key[0].as_py(), key[1].as_py()
         keys, counts = merged(table, 4 if kind == "first" else 1)
         store.put(f"{kind}-{shard}-keys", (keys >> np.uint64(32)).astype(np.uint32))
-        store.put(f"{kind}-{shard}-counts", counts.astype(np.uint32))
+        store.put_counts(f"{kind}-{shard}-counts", counts)
         return sums(kind, shard, counts).select(["kind", "n", "total", "n1", "n2", "n3", "n4"])
 
     found = cut(docs.select(text_col).mapInArrow(count, PARTS).groupBy("kind", "shard")
@@ -273,7 +286,7 @@ def looked_up(model: Model, kind: str, keys: np.ndarray, tops: np.ndarray, dtype
         except FileNotFoundError:  # no training text has a key of this shard
             continue
         if len(known):
-            values = model.store.get(f"{kind}-{int(at[a])}-counts", np.uint32).reshape(-1, width)
+            values = model.store.get_counts(f"{kind}-{int(at[a])}-counts", len(known) * width).reshape(-1, width)
             place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
             out[rows] = np.where((known[place] == wanted)[:, None], values[place], 0)
     return out
