@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 
@@ -101,15 +101,14 @@ def filter_long(m: DataFrame, drop: DataFrame, keep: DataFrame) -> DataFrame:
 
 def write_filtered(m: DataFrame, drop: DataFrame, keep: DataFrame, path: str,
                    file_format: str = "parquet") -> int:
-    """Filter, write, and return the row count observed while writing."""
-    seen = Observation("kept")
-    out = filter_long(m, drop, keep).observe(seen, F.count(F.lit(1)).alias("n"))
-    writer = out.write.mode("overwrite")
+    """Filter, write, and return the number of rows that were written."""
+    writer = filter_long(m, drop, keep).write.mode("overwrite")
+    written = m.sparkSession.read.schema(m.schema)
     if file_format == "csv":
         writer.option("header", True).csv(path)
-    else:
-        writer.format(file_format).save(path)
-    return int(seen.get["n"])
+        return written.option("header", True).csv(path).count()
+    writer.format(file_format).save(path)
+    return written.format(file_format).load(path).count()
 
 
 def filter_cohort(m: DataFrame, probe_meta: DataFrame, blacklist: DataFrame,

@@ -11,6 +11,7 @@ import itertools
 import json
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -21,13 +22,13 @@ from pyspark.ml.feature import ElementwiseProduct, PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut
-from . import dataset as ds, differential as dm, evaluate, impute, qc, tree
+from ..session import cut, scratch_path
+from . import dataset as ds, differential as dm, evaluate, forest, impute, qc, svm, tree
 
 # The search grids.
-SVM_GRID = {"C": [0.1, 1.0, 10.0]}
+SVM_GRID = {"C": [0.1, 1.0, 10.0], "kernel": ["linear", "rbf"], "gamma": ["scale", "auto"]}
 FOREST_GRID = {
     "n_estimators": [100, 200, 300],
     "max_depth": [None, 10, 20],
@@ -75,7 +76,7 @@ class NodeModel:
     name: str
     features: list[str]
     labels: list[str]
-    stages: PipelineModel
+    stages: PipelineModel | svm.Machine | svm.Mapped
     params: dict = field(default_factory=dict)
 
     def transform(self, rows: DataFrame, values: str = "v") -> DataFrame:
@@ -96,17 +97,22 @@ class NodeModel:
             scores.alias("scores"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.stages.write().overwrite().save(f"{path}/stages")
+        if isinstance(self.stages, PipelineModel):
+            self.stages.write().overwrite().save(f"{path}/stages")
+        else:
+            self.stages.save(spark, f"{path}/stages")
         spark.createDataFrame(
-            [(self.name, self.features, self.labels, json.dumps(self.params))],
-            "name string, features array<string>, labels array<string>, params string",
+            [(self.name, self.features, self.labels, json.dumps(self.params), type(self.stages).__name__)],
+            "name string, features array<string>, labels array<string>, params string, kind string",
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load_model(spark: SparkSession, path: str) -> NodeModel:
     row = spark.read.parquet(f"{path}/model").first()
-    return NodeModel(row["name"], row["features"], row["labels"],
-                     PipelineModel.load(f"{path}/stages"), json.loads(row["params"]))
+    loaders = {"Machine": svm.load, "Mapped": svm.load_mapped}
+    stages = loaders[row["kind"]](spark, f"{path}/stages") if row["kind"] in loaders else \
+        PipelineModel.load(f"{path}/stages")
+    return NodeModel(row["name"], row["features"], row["labels"], stages, json.loads(row["params"]))
 
 
 def vector_of(values: str, features: list[str]):
@@ -133,18 +139,26 @@ def population_scaler(train: DataFrame, n: int) -> list:
 
 
 def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
-         seed: int) -> PipelineModel:
-    """Fit one grid point on (features, label, weight) rows."""
+         seed: int) -> tuple[PipelineModel | svm.Mapped, bool]:
+    """(the model, whether it came to rest) of one grid point on (sample_id, features, label, weight) rows."""
     if model_type == "svm":
-        svc = LinearSVC(featuresCol="scaled", regParam=1.0 / (params.get("C", 1.0) * n),
-                        standardization=False, maxIter=params.get("max_iter", MAX_ITER))
-        model = svc if n_labels == 2 else OneVsRest(
-            classifier=svc, featuresCol="scaled", parallelism=n_labels)
+        kernel, column, mapped = svm.settings_of(params), "scaled", None
         scaling = population_scaler(train, n)
         scaled = PipelineModel(scaling).transform(train)
-        return PipelineModel([*scaling, model.fit(scaled)])
+        if kernel["kernel"] != "linear":
+            column, mapped = "mapped", svm.landmarks(scaled, kernel)
+            scaled = mapped.transform(scaled).persist()
+        machine = LinearSVC(featuresCol=column, regParam=1.0 / (params.get("C", 1.0) * n),
+                            standardization=False, maxIter=params.get("max_iter", MAX_ITER))
+        fitted = (machine if n_labels == 2 else OneVsRest(
+            classifier=machine, featuresCol=column, parallelism=n_labels)).fit(scaled)
+        rested = _rested(fitted, params.get("max_iter", MAX_ITER))
+        if mapped is None:
+            return PipelineModel([*scaling, fitted]), rested
+        scaled.unpersist()
+        return svm.Mapped(PipelineModel(scaling), mapped, PipelineModel([fitted])), rested
     if model_type == "random_forest":
-        forest = RandomForestClassifier(
+        forest_ = RandomForestClassifier(
             featuresCol="features", seed=seed, numTrees=int(params.get("n_estimators", 100)),
             maxDepth=int(params.get("max_depth") or DEEPEST),
             impurity=params.get("criterion", "gini"),
@@ -154,17 +168,26 @@ def _fit(train: DataFrame, model_type: str, params: dict, n_labels: int, n: int,
                                     int(params.get("min_samples_split", 2)) // 2),
             maxBins=int(params.get("max_bins", MAX_BINS)))
         if params.get("class_weight") == "balanced":
-            forest = forest.setWeightCol("weight")
-        return PipelineModel([forest.fit(train)])
+            forest_ = forest_.setWeightCol("weight")
+        fitted = forest_.fit(train)
+        _rested(fitted, 0)
+        return PipelineModel([fitted]), True
     raise ValueError(f"Unsupported model type: {model_type}")
 
 
-def converged(stages: PipelineModel, params: dict) -> bool:
-    """Whether every linear machine of the model came to rest before its last step."""
-    last = stages.stages[-1]
-    machines = getattr(last, "models", [last])
-    return all(m.summary().totalIterations < params.get("max_iter", MAX_ITER)
-               for m in machines if isinstance(m, LinearSVCModel) and m.hasSummary)
+def _rested(model, steps: int) -> bool:
+    """Whether every linear machine came to rest before its last step.
+
+    What Spark ML keeps of the training, which holds the session and its
+    listeners, is let go: it would be sent with every task that scores.
+    """
+    rested = True
+    for one in getattr(model, "models", [model]):
+        if one.hasSummary:
+            rested &= not isinstance(one, LinearSVCModel) or one.summary().totalIterations < steps
+            one._java_obj.setSummary(one._java_obj.getClass().getClassLoader().loadClass("scala.None$")
+                                     .getField("MODULE$").get(None))
+    return rested
 
 
 def _labelled(rows: DataFrame, labels: list[str], features: list[str], n: int,
@@ -222,6 +245,45 @@ def _fold_probes(long: DataFrame, k: int, prior: str, number: int) -> DataFrame:
         "node_id", "train_of", "probe_id").distinct()
 
 
+def _vectors(rows: DataFrame, node_id: str, labels: list[str], features: list[str], without: int) -> DataFrame:
+    """Rows with a value map as (node_id, sample_id, cancer_type, label, classes, fold, train_of, x)."""
+    names = F.array(*[F.lit(c) for c in labels])
+    return rows.withColumn("x", vector_of("v", features)).filter(F.col("x").isNotNull()).select(
+        F.lit(node_id).alias("node_id"), "sample_id", "cancer_type",
+        (F.array_position(names, F.col("cancer_type")) - 1).cast("int").alias("label"),
+        F.lit(len(labels)).alias("classes"), "fold", F.lit(without).alias("train_of"),
+        vector_to_array("x").alias("x"))
+
+
+def mean_areas(calls: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:
+    """(keys, score): the one-vs-rest areas of ``votes``, averaged over the classes, for every
+    value of the keys; with two classes the usual area.  Equal votes count half."""
+    names = F.array(*[F.lit(c) for c in labels])
+    of = [*keys, "class"]
+    counted = calls.select(*keys, "cancer_type", F.explode(F.arrays_zip(names.alias("class"), F.col("votes").alias("v")))
+                           .alias("s")).select(*keys, "s.class", "s.v", (F.col("s.class") == F.col("cancer_type")).alias("own")) \
+        .groupBy(*of, "v").agg(F.count_if("own").alias("yes"), F.count_if(~F.col("own")).alias("no"))
+    below = F.coalesce(F.sum("no").over(Window.partitionBy(*of).orderBy("v").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    areas = counted.withColumn("pairs", F.col("yes") * (below + F.col("no") / 2)).groupBy(*of).agg(
+        F.try_divide(F.sum("pairs"), F.sum("yes") * F.sum("no")).alias("area"))
+    return areas.groupBy(*keys).agg(F.avg("area").alias("score"))
+
+
+def forest_scores(rows: DataFrame, labels: list[str], points: list[dict], scoring: str, k: int, seed: int) -> list[float]:
+    """Mean score over the folds of every point of a forest grid, from the forests that the points share."""
+    calls = cut(forest.votes(rows, forest.take_apart(points), k, seed))
+    keys = ["point", "fold"]
+    if scoring == "accuracy":
+        names = F.array(*[F.lit(c) for c in labels])
+        called = F.get(names, (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))
+        each = calls.groupBy(*keys).agg(F.avg((called == F.col("cancer_type")).cast("double")).alias("score"))
+    else:
+        each = mean_areas(calls, labels, keys)
+    found = dict(each.groupBy("point").agg(F.sum("score") / k).collect())
+    return [found.get(n) or 0.0 for n in range(len(points))]
+
+
 @dataclass
 class Search:
     """Outcome of a grid search on one node."""
@@ -234,6 +296,7 @@ class Search:
     test_accuracy: float
     n_train: int
     n_test: int
+    rested: bool = True  # whether the model's fit came to an end by itself
 
 
 @dataclass
@@ -299,6 +362,29 @@ def search(plan: SearchPlan, node_id: str, model_type: str = "svm", grid: dict |
     score_of = SCORERS[scoring]
 
     points = grid_points(grid)
+    most = max(len(some) for some in chosen.values())
+    if model_type == "svm" and scoring == "accuracy" and n_train * n_train * 8 <= svm.KERNEL_BYTES:
+        folds = reduce(DataFrame.unionByName, [
+            _vectors(train, node_id, labels, chosen[fold], fold) for fold in range(k)])
+        right = F.avg((F.col("label") == F.col("called")).cast("double"))
+        found = dict(svm.calls(folds, points, k).groupBy("point", "fold").agg(right.alias("score"))
+                     .groupBy("point").agg(F.sum("score") / k).collect())
+        totals = [found.get(n) or 0.0 for n in range(len(points))]
+        best_at = max(range(len(points)), key=lambda i: totals[i])
+        machine = svm.machine(_vectors(train, node_id, labels, chosen[-1], -1), points[best_at],
+                              scratch_path(train.sparkSession, "machine"))
+        return _found(node_id, name, chosen[-1], labels, machine, machine.rested, points, totals, best_at,
+                      train, test, n_train, n_test)
+    if model_type == "random_forest" and n_train * most * 8 <= forest.GROUP_BYTES:
+        folds = reduce(DataFrame.unionByName, [
+            _vectors(train, node_id, labels, chosen[fold], fold) for fold in range(k)])
+        totals = forest_scores(folds, labels, points, scoring, k, seed)
+        best_at = max(range(len(points)), key=lambda i: totals[i])
+        fitted = forest.model(_vectors(train, node_id, labels, chosen[-1], -1),
+                              _labelled(train, labels, chosen[-1], n_train), points[best_at], seed,
+                              scratch_path(train.sparkSession, "forest"))
+        return _found(node_id, name, chosen[-1], labels, PipelineModel([fitted]), True, points, totals, best_at,
+                      train, test, n_train, n_test)
     weighted = any(p.get("class_weight") == "balanced" for p in points)
     totals = [0.0] * len(points)
     for fold in range(k):
@@ -308,7 +394,7 @@ def search(plan: SearchPlan, node_id: str, model_type: str = "svm", grid: dict |
         check = train.filter(F.col("fold") == fold).persist()
 
         def trial(point: dict) -> float:
-            stages = _fit(fit_on, model_type, point, len(labels), n_fit, seed)
+            stages, _ = _fit(fit_on, model_type, point, len(labels), n_fit, seed)
             model = NodeModel(node_id, chosen[fold], labels, stages)
             return score_of(model.transform(check), labels)
 
@@ -320,13 +406,17 @@ def search(plan: SearchPlan, node_id: str, model_type: str = "svm", grid: dict |
         check.unpersist()
     best_at = max(range(len(points)), key=lambda i: totals[i])
     whole = _labelled(train, labels, chosen[-1], n_train, weighted).persist()
-    stages = _fit(whole, model_type, points[best_at], len(labels), n_train, seed)
+    stages, rested = _fit(whole, model_type, points[best_at], len(labels), n_train, seed)
     whole.unpersist()
-    best = NodeModel(name or node_id, chosen[-1], labels, stages, points[best_at])
+    return _found(node_id, name, chosen[-1], labels, stages, rested, points, totals, best_at, train, test, n_train, n_test)
+
+
+def _found(node_id, name, features, labels, stages, rested, points, totals, best_at, train, test, n_train, n_test) -> Search:
+    best = NodeModel(name or node_id, features, labels, stages, points[best_at])
     return Search(
         best, points[best_at], [{**p, "score": s} for p, s in zip(points, totals)],
         test.select("sample_id", "cancer_type"), accuracy(best.transform(train)),
-        accuracy(best.transform(test)), n_train, n_test)
+        accuracy(best.transform(test)), n_train, n_test, rested)
 
 
 STATS = """node_id string, name string, status string, n_train long, n_test long,
@@ -360,7 +450,7 @@ def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: s
             return found.model, (
                 node_id, name, "trained", found.n_train, found.n_test, len(found.model.features),
                 json.dumps(found.best), found.train_accuracy, found.test_accuracy,
-                None if converged(found.model.stages, found.best) else "not converged")
+                None if found.rested else "not converged")
         except Exception as error:  # noqa: BLE001
             return None, (node_id, name, "failed") + (None,) * 6 + (str(error),)
 
@@ -431,12 +521,12 @@ def refit(m: DataFrame, nodes: DataFrame, samples: DataFrame, records: DataFrame
             train = _labelled(rows, labels, features, n,
                               params.get("class_weight") == "balanced").persist()
             fitted = train.count()
-            stages = _fit(train, model_type, params, len(labels), n, seed)
+            stages, rested = _fit(train, model_type, params, len(labels), n, seed)
             train.unpersist()
             rows.unpersist()
             return (NodeModel(name, features, labels, stages, params),
                     (name, "fitted", fitted, len(features),
-                     None if converged(stages, params) else "not converged"))
+                     None if rested else "not converged"))
         except Exception as error:  # noqa: BLE001
             return None, (name, "failed", None, None, str(error))
 

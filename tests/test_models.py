@@ -44,7 +44,7 @@ def test_unknown_model_type(level):
 
 def test_grids():
     assert len(tr.grid_points(tr.FOREST_GRID)) == 324
-    assert len(tr.grid_points(tr.SVM_GRID)) == 3
+    assert len(tr.grid_points(tr.SVM_GRID)) == 12
 
 
 def test_plan_holds_out_a_fifth(planned):
