@@ -7,6 +7,7 @@ hundred probes of its samples, is turned into vectors and given to Spark ML.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import math
@@ -24,7 +25,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut, scratch_path
+from ..session import cut, scratch_path, written
 from . import dataset as ds, differential as dm, evaluate, forest, impute, qc, svm, tree
 
 # The search grids.
@@ -419,6 +420,68 @@ def _found(node_id, name, features, labels, stages, rested, points, totals, best
         accuracy(best.transform(test)), n_train, n_test, rested)
 
 
+# -- outcomes kept --------------------------------------------------------------
+
+OUTCOME = """node_id string, best string, scores string, train_accuracy double, test_accuracy double,
+    n_train long, n_test long, rested boolean"""
+
+
+def outcome_path(store: str, node_id: str, model_type: str, *settings) -> str:
+    """Where a search's outcome is kept; other settings are other outcomes."""
+    asked = json.dumps([node_id, model_type, *settings], sort_keys=True, default=str)
+    return f"{store}/{model_type}-{hashlib.sha256(asked.encode()).hexdigest()[:16]}"
+
+
+def save_outcome(found: Search, spark: SparkSession, node_id: str, path: str) -> None:
+    """Keep a search; its row is written last, so that an outcome is whole or not there."""
+    found.model.save(spark, f"{path}/fitted")
+    found.held_out.write.mode("overwrite").parquet(f"{path}/held_out")
+    spark.createDataFrame([(node_id, json.dumps(found.best), json.dumps(found.scores), found.train_accuracy,
+                            found.test_accuracy, found.n_train, found.n_test, found.rested)], OUTCOME) \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/outcome")
+
+
+def load_outcome(spark: SparkSession, path: str) -> Search | None:
+    """A search that was kept; none if it never came to its end."""
+    if not written(spark, f"{path}/outcome"):
+        return None
+    row = spark.read.parquet(f"{path}/outcome").first()
+    return Search(load_model(spark, f"{path}/fitted"), json.loads(row.best), json.loads(row.scores),
+                  spark.read.parquet(f"{path}/held_out"), row.train_accuracy, row.test_accuracy,
+                  row.n_train, row.n_test, row.rested)
+
+
+def search_nodes(plan: SearchPlan, model_type: str = "svm", grid: dict | None = None, scoring: str = "accuracy",
+                 k: int = ds.FOLDS, seed: int = ds.SEED, store: str | None = None,
+                 names: dict[str, str] | None = None) -> dict[str, Search | Exception]:
+    """The search of every node of the plan, or the error that ended it.
+
+    With ``store``, a folder for one data set and plan, outcomes are kept as
+    they come and those that are there already are read, so that a run that was
+    ended goes on, and whoever asks for the same search later fits nothing.
+    """
+    spark = plan.samples.sparkSession
+    grid = model_grid(model_type) if grid is None else grid
+    nodes = sorted(r[0] for r in plan.samples.select("node_id").distinct().collect())
+
+    def one(node_id: str) -> Search | Exception:
+        try:
+            path = store and outcome_path(store, node_id, model_type, grid, scoring, k, seed)
+            found = load_outcome(spark, path) if path else None
+            if found is None:
+                found = search(plan, node_id, model_type, grid, scoring, k, seed)
+                if path:
+                    save_outcome(found, spark, node_id, path)
+            found.model.name = (names or {}).get(node_id, node_id)
+            return found
+        except Exception as error:  # noqa: BLE001  one node's error does not stop the others
+            return error
+
+    with ThreadPool(NODE_WORKERS) as pool:
+        done = pool.map(inheritable_thread_target(spark)(one), nodes, chunksize=1)
+    return dict(zip(nodes, done))
+
+
 STATS = """node_id string, name string, status string, n_train long, n_test long,
     n_features long, best string, train_accuracy double, test_accuracy double, error string"""
 
@@ -426,40 +489,38 @@ STATS = """node_id string, name string, status string, n_train long, n_test long
 def train_tree(m: DataFrame, nodes: DataFrame, samples: DataFrame, model_type: str = "svm",
                grid: dict | None = None, path: str | None = None, prior: str = "robust",
                number: int = dm.TOP_PROBES, seed: int = ds.SEED,
-               design: DataFrame | None = None) -> tuple[dict[str, NodeModel], DataFrame]:
+               design: DataFrame | None = None, plan: SearchPlan | None = None,
+               store: str | None = None) -> tuple[dict[str, NodeModel], DataFrame]:
     """A model for every node whose data set is large enough, and a table about all nodes.
 
     A node that cannot be trained is "skipped"; one that fails keeps its error
-    and does not stop the others.
+    and does not stop the others.  ``store`` as for :func:`search_nodes`.
     """
     model_grid(model_type)
     spark = m.sparkSession
     if design is None:
         design = ds.node_design(m, nodes, samples)
-    plan = plan_search(m, design, prior=prior, number=number, seed=seed)
-    ready = {r[0] for r in plan.samples.select("node_id").distinct().collect()}
-
-    def train(node) -> tuple[NodeModel | None, tuple]:
-        node_id, name = node["node_id"], node["name"]
-        if node_id not in ready:
-            return None, (node_id, name, "skipped") + (None,) * 7
-        try:
-            found = search(plan, node_id, model_type, grid, seed=seed, name=name)
-            if path:
-                found.model.save(spark, f"{path}/{name}")
-            return found.model, (
-                node_id, name, "trained", found.n_train, found.n_test, len(found.model.features),
-                json.dumps(found.best), found.train_accuracy, found.test_accuracy,
-                None if found.rested else "not converged")
-        except Exception as error:  # noqa: BLE001
-            return None, (node_id, name, "failed") + (None,) * 6 + (str(error),)
-
+    if plan is None:
+        plan = plan_search(m, design, prior=prior, number=number, seed=seed)
     # The hierarchy is small: one row per node, in depth-first order.
     order = nodes.select("node_id", "name", "preorder").orderBy("preorder").collect()
-    with ThreadPool(NODE_WORKERS) as pool:
-        done = pool.map(inheritable_thread_target(spark)(train), order, chunksize=1)
-    models = {model.name: model for model, _ in done if model is not None}
-    return models, spark.createDataFrame([row for _, row in done], STATS)
+    names = {n["node_id"]: n["name"] for n in order}
+    searches = search_nodes(plan, model_type, grid, seed=seed, store=store, names=names)
+    models, rows = {}, []
+    for node_id, name in names.items():
+        found = searches.get(node_id)
+        if found is None:
+            rows.append((node_id, name, "skipped") + (None,) * 7)
+        elif isinstance(found, Exception):
+            rows.append((node_id, name, "failed") + (None,) * 6 + (str(found),))
+        else:
+            if path:
+                found.model.save(spark, f"{path}/{name}")
+            models[name] = found.model
+            rows.append((node_id, name, "trained", found.n_train, found.n_test, len(found.model.features),
+                         json.dumps(found.best), found.train_accuracy, found.test_accuracy,
+                         None if found.rested else "not converged"))
+    return models, spark.createDataFrame(rows, STATS)
 
 
 def training_summary(stats: DataFrame) -> DataFrame:

@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
+from threading import Lock
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import dataset as ds, evaluate as ev, inference as inf, training as tr, tree
 from . import standins as st
+from ..session import application_root
 from .registry import Query
 from .samples import class_tree
 
 
+_plans: dict[tuple[str, str], tuple] = {}
+_lock = Lock()
+
+
+def _planned(spark, d):
+    """The matrix, the hierarchy, and the plan of the searches, made once per application and data."""
+    key = (spark.sparkContext.applicationId, d)
+    with _lock:
+        if key not in _plans:
+            m, (nodes, held) = st.vector_matrix(spark, d), class_tree(spark, d)
+            _plans[key] = m, nodes, held, tr.plan_search(m, ds.node_design(m, nodes, held))
+        return _plans[key]
+
+
+def _store(spark, d):
+    """The folder of this application's search outcomes on that data."""
+    return f"{application_root(spark)}/searches/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+
+
 def _searches(spark, d, model_type):
     """The matrix, the plan and the search of every trainable node, on the operators' own defaults."""
-    m = st.vector_matrix(spark, d)
-    plan = tr.plan_search(m, ds.node_design(m, *class_tree(spark, d)))
-    ids = sorted(r[0] for r in plan.samples.select("node_id").distinct().collect())
-    return m, plan, {n: tr.search(plan, n, model_type) for n in ids}
+    m, _, _, plan = _planned(spark, d)
+    found = tr.search_nodes(plan, model_type, store=_store(spark, d))
+    for search in found.values():
+        if isinstance(search, Exception):
+            raise search
+    return m, plan, found
 
 
 def _scores(spark, searches):
@@ -73,8 +97,8 @@ def importances(spark, d):
 
 
 def _trained(spark, d):
-    nodes, held = class_tree(spark, d)
-    return tr.train_tree(st.vector_matrix(spark, d), nodes, held, "random_forest")
+    m, nodes, held, plan = _planned(spark, d)
+    return tr.train_tree(m, nodes, held, "random_forest", plan=plan, store=_store(spark, d))
 
 
 def node_training_stats(spark, d):
@@ -135,8 +159,7 @@ def project_missing(spark, d):
 
 def train_gaps(spark, d):
     """What the search on each node uses of a matrix with gaps, as its plan has it."""
-    m = st.vector_matrix(spark, d)
-    plan = tr.plan_search(m, ds.node_design(m, *class_tree(spark, d)))
+    plan = _planned(spark, d)[3]
     probes = plan.probes.filter("train_of = -1").groupBy("node_id").agg(
         F.countDistinct("probe_id").alias("n_probes"))
     return plan.samples.groupBy("node_id").agg(F.countDistinct("sample_id").alias("n_samples")).join(

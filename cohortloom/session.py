@@ -91,6 +91,12 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
