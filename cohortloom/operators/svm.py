@@ -38,7 +38,7 @@ def width_of(gamma, x: np.ndarray) -> float:
     if gamma not in ("scale", "auto"):
         return float(gamma)
     of = x.shape[1] * (x.var() if gamma == "scale" else 1.0)
-    return 1.0 / of if of > 0 else 1.0
+    return float(1.0 / of) if of > 0 else 1.0
 
 
 def kernel(a: np.ndarray, b: np.ndarray, settings: dict, width: float) -> np.ndarray:
@@ -265,6 +265,11 @@ class Landmarks:
 
         return rows.withColumn(out, array_to_vector(F.pandas_udf(run, "array<double>")(vector_to_array(column))))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = (self.vectors.tolist(), {k: str(v) for k, v in self.settings.items()}, self.width)
+        spark.createDataFrame([row], "vectors array<array<double>>, settings map<string,string>, width double") \
+            .coalesce(1).write.mode("overwrite").parquet(path)
+
 
 def landmarks(rows: DataFrame, settings: dict, number: int = LANDMARKS, column: str = "scaled") -> Landmarks:
     """So many of the samples, those whose ids have the least hashes, as landmarks.
@@ -276,11 +281,6 @@ def landmarks(rows: DataFrame, settings: dict, number: int = LANDMARKS, column:
     x = np.array([r.x for r in some], float)
     return Landmarks(x, settings, width_of(settings["gamma"], x))
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        row = (self.vectors.tolist(), {k: str(v) for k, v in self.settings.items()}, self.width)
-        spark.createDataFrame([row], "vectors array<array<double>>, settings map<string,string>, width double") \
-            .coalesce(1).write.mode("overwrite").parquet(path)
-
 
 def load_landmarks(spark: SparkSession, path: str) -> Landmarks:
     r = spark.read.parquet(path).first()
