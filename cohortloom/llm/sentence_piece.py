@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import Memo, Merger
+from .bpe import MEMO, Memo, Merger
 from .common import map_slices, texts, typed
 
 #: The letter that stands for a space; a fixed value of the format, as are the kinds of pieces.
@@ -80,6 +80,13 @@ class Model:
             raise ValueError(f"not a merge-type model with byte fallback and plain texts: {path}")
 
 
+class Runs(Memo):
+    """Ids of runs; long ones are not remembered, so that the memory is bounded."""
+
+    def __missing__(self, run):
+        return super().__missing__(run) if len(run) <= SHORT else self.make(run)
+
+
 class PieceCoder:
     """Encoder and decoder of one model file."""
 
@@ -110,7 +117,7 @@ class PieceCoder:
         self.longest.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in stand), None) for p in stand}
         self.runs = self._runs([p for _, p in found if len(p) > 1])
-        self.memo = Memo(self._run)
+        self.memo = Runs(self._run, limit=2 * MEMO)
         self._tables(model)
 
     @staticmethod
@@ -213,14 +220,14 @@ class PieceCoder:
         text = text.replace(" ", SPACE)
         if self.prefix:
             text = SPACE + text
-        memo, run = self.memo, self._run
-        return b"".join([memo[r] if len(r) <= SHORT else run(r) for r in self.runs.findall(text)])
+        return b"".join(map(self.memo.__getitem__, self.runs.findall(text)))
 
     def _tables(self, model: Model) -> None:
         """What each id decodes to, as bytes, and the ids that need more than that."""
         shown = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"",
                  UNKNOWN: lambda p: model.unknown.encode(), NORMAL: lambda p: p.replace(SPACE, " ").encode()}
         self.shown = dict(enumerate(shown[k](p) for p, k in zip(model.pieces, model.kinds)))
+        self.strings = pa.array(self.shown.values(), pa.large_binary())
         self.is_byte = [k == BYTE for k in model.kinds]
         self.hidden = {i for i, k in enumerate(model.kinds) if k == CONTROL}
         self.opens = {i for i, (p, k) in enumerate(zip(model.pieces, model.kinds))
@@ -240,6 +247,35 @@ class PieceCoder:
         first = next((i for i in ids if i not in self.hidden), None)
         return text[1:] if self.prefix and first in self.opens else text
 
+    def decode_all(self, lists: pa.Array) -> list[str | None]:
+        """The texts of many lists of ids.
+
+        Arrow puts the bytes of all ids end to end; where a list's are whole
+        characters and its ids hold nothing hidden but an end, they are its text.
+        """
+        flat = lists.flatten()
+        ids = flat.to_numpy(zero_copy_only=False)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.shown):
+            raise ValueError("an id is not in the model")
+        found = self.strings.take(flat)
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64)[found.offset:] if len(found) else np.zeros(1, np.int64)
+        view = memoryview(data) if data is not None else b""
+        ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
+        hidden = np.concatenate([[0], np.cumsum(np.isin(ids, list(self.hidden)))])
+        out: list[str | None] = []
+        for valid, a, b in zip(lists.is_valid().to_pylist(), ends.tolist(), ends[1:].tolist()):
+            text = None
+            if valid and (b == a or hidden[b - 1] == hidden[a]):
+                try:
+                    text = str(view[at[a]:at[b]], "utf-8")
+                    if b > a and self.prefix and int(ids[a]) in self.opens:
+                        text = text[1:]
+                except UnicodeDecodeError:
+                    pass
+            out.append(self.decode(ids[a:b].tolist()) if valid and text is None else text)
+        return out
+
 
 def characters(data: bytes) -> str:
     """Text of bytes; each byte that is part of no whole character is U+FFFD."""
@@ -298,11 +334,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     names = kept.columns
 
     def task():
-        decode_one = coder(path).decode
+        decode_all = coder(path).decode_all
 
         def step(batch):
-            lists = batch.column(ids_col).to_pylist()
-            decoded = pa.array([None if ids is None else decode_one(ids) for ids in lists], pa.string())
+            decoded = pa.array(decode_all(batch.column(ids_col)), pa.string())
             return pa.record_batch([*batch.columns, decoded], names=[*names, "decoded"])
         return step
 

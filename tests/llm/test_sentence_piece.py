@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -36,9 +37,15 @@ def test_random_texts_and_ids(coder, library):
         text = "".join(draw.choice(letters) for _ in range(draw.randrange(14)))
         assert ids_of(coder, text) == library.encode(text), text
     pool = [0, 1, 2, *range(3, 259), *[259] * 30, 260, 261, 29871, *range(300, 330)]
-    for _ in range(8000):
-        ids = [draw.choice(pool) for _ in range(draw.randrange(8))]
+    many = [[draw.choice(pool) for _ in range(draw.randrange(8))] for _ in range(8000)]
+    for ids in many:
         assert coder.decode(ids) == library.decode(ids), ids
+    lists = pa.array([None, *many, None, []], pa.list_(pa.int32()))
+    assert coder.decode_all(lists) == [None, *map(library.decode, many), None, ""]
+    assert coder.decode_all(lists.slice(5, 90)) == [library.decode(ids) for ids in many[4:94]]
+    assert coder.decode_all(lists.slice(0, 0)) == [] and coder.decode_all(lists.slice(0, 1)) == [None]
+    with pytest.raises(ValueError, match="not in the model"):
+        coder.decode_all(pa.array([[32000]], pa.list_(pa.int32())))
 
 
 def test_long_runs_without_spaces(coder, library):
