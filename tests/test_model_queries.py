@@ -8,17 +8,20 @@ from cohortloom.plans import models, samples
 SF = "/root/testdata/sf0.001"
 
 
-def test_search_is_whole(spark, monkeypatch):
+def test_search_is_whole(spark, monkeypatch, tmp_path):
     asked = []
 
     def search(plan, node_id, model_type="svm", grid=None, *rest):
         asked.append((node_id, model_type, grid))
-        return SimpleNamespace(scores=[{"score": 1.0}], n_train=1, n_test=1, test_accuracy=1.0)
+        return SimpleNamespace(scores=[{"score": 1.0}], n_train=1, n_test=1, test_accuracy=1.0,
+                               model=SimpleNamespace(name=""))
 
     monkeypatch.setattr(tr, "search", search)
+    monkeypatch.setattr(tr, "save_outcome", lambda *_: None)
+    monkeypatch.setattr(models, "_store", lambda *_: str(tmp_path))
     got = {r.node_id for r in models.forest_cv(spark, SF).collect()}
     assert got == {r.node_id for r in models.train_gaps(spark, SF).collect()} and len(got) > 1
-    assert all(x[1:] == ("random_forest", None) for x in asked)
+    assert all(x[1:] == ("random_forest", tr.FOREST_GRID) for x in asked)
 
 
 def test_selected_matrix_has_no_gaps(spark):
