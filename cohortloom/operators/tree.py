@@ -12,6 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
+from . import clinical
 
 SEPARATOR = "/"
 #: Taken off every position, so that negative ones sort as text, too.
@@ -93,6 +94,19 @@ def build_tree(edges: DataFrame, tree_samples: DataFrame, root: str) -> DataFram
     return cut(prune(build_nodes(edges, root), tree_samples))
 
 
+def disease_tree(edges: DataFrame, tree_samples: DataFrame, purities: DataFrame, root: str,
+                 floor: float = clinical.MIN_PURITY) -> tuple[DataFrame, DataFrame]:
+    """(nodes, samples): the whole build in one step.
+
+    Samples without a purity strictly above ``floor`` are left out, then the
+    hierarchy below ``root`` is built and cut to the arms that still hold one.
+    ``samples`` has a row per sample and node that it stands on.
+    """
+    pure = cut(clinical.pure_samples(tree_samples, purities, floor))
+    nodes = build_tree(edges, pure, root)
+    return nodes, node_samples(nodes, pure)
+
+
 def find_by_name(nodes: DataFrame, name: str | None = None) -> DataFrame:
     """First node of each name (or of one name) in depth-first preorder."""
     some = nodes if name is None else nodes.filter(F.col("name") == name)

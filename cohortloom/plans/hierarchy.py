@@ -73,9 +73,27 @@ def leaf_nodes(spark, d):
     return tree.leaves(*_tree(spark, d)).select("node_id")
 
 
+def whole_build(spark, d):
+    """Edges, samples and purities to the pruned tree, with the samples at or below each node."""
+    purities = st.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("biosample_id"),
+        ((F.col("c_acctbal").cast("double") + 1000) / 11000).alias("purity"))
+    nodes, held = tree.disease_tree(st.place_edges(spark, d), st.place_samples(spark, d), purities, st.ROOT)
+    counts = tree.samples_below(nodes, held).groupBy("node_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    return nodes.join(counts, "node_id", "left").select(
+        "node_id", "name", "parent_id", "level", F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
+
+
 _T = f"WITH RECURSIVE {st.PLACE_NODES}"
+_PURE = st.PLACE_NODES.replace(st.PLACE_SAMPLES, f"""SELECT * FROM ({st.PLACE_SAMPLES}) WHERE sample_id IN (
+    SELECT c_custkey FROM customer WHERE (CAST(c_acctbal AS DOUBLE) + 1000) / 11000 > 0.30)""")
 
 QUERIES = {
+    "disease_tree": Query(
+        whole_build,
+        f"""WITH RECURSIVE {_PURE} SELECT n.node_id, name, parent_id, level, count(sample_id) AS n_samples
+            FROM nodes n LEFT JOIN ups ON ancestor_id = n.node_id
+            LEFT JOIN held ON held.node_id = descendant_id GROUP BY 1, 2, 3, 4"""),
     "tree_nodes": Query(all_nodes, f"{_T} SELECT node_id, name, parent_id, level FROM walk"),
     "tree_pruned": Query(pruned, f"{_T} SELECT node_id, name, parent_id, level FROM nodes"),
     "tree_labels_l2": Query(

@@ -61,3 +61,18 @@ def test_root_without_samples_stays(frame):
     edges = frame([("r", "a", 1)], "parent string, child string, position int")
     held = frame([("zz", "s")], "disease_name string, sample_id string")
     assert ids(tree.build_tree(edges, held, "r")) == ["r"]
+
+
+def test_whole_build_leaves_impure_samples_out(frame):
+    edges = frame([("root", "b", 1), ("root", "a", 2), ("a", "x", 1), ("b", "x", 1)],
+                  "parent string, child string, position int")
+    held = frame([("x", "s1"), ("a", "s2"), ("a", "s3"), ("b", "s4"), ("a", "s5")],
+                 "disease_name string, sample_id string")
+    purities = frame([("s1", 0.9), ("s1", 0.1), ("s2", 0.31), ("s3", 0.30), ("s4", None), ("s9", 0.8)],
+                     "biosample_id string, purity double")
+    nodes, samples = tree.disease_tree(edges, held, purities, "root")
+    assert set(ids(nodes)) == {"root", "root/a", "root/a/x", "root/b", "root/b/x"}
+    assert sorted((r.node_id, r.sample_id) for r in samples.collect()) == [
+        ("root/a", "s2"), ("root/a/x", "s1"), ("root/b/x", "s1")]
+    none, _ = tree.disease_tree(edges, held, purities, "root", floor=0.95)
+    assert ids(none) == ["root"]
