@@ -24,6 +24,8 @@ from .common import map_slices, slices, texts, typed
 SAMPLE = 4_096
 #: Log odds that a container's markup adds to what lies inside.
 INSIDE_ARTICLE, INSIDE_BOILERPLATE = 4.0, -8.0
+#: The same of a word that may as well name a subject: text can outweigh it.
+MAYBE_BOILERPLATE = -3.0
 #: Tie of neighbouring blocks of one parent; each further step in the tree halves it.
 TIE = 1.0
 
@@ -45,6 +47,11 @@ BAD_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor
     subscribe subscription signup login share sharing social related recommended comment comments
     commentlist reply replies respond disqus discussion pagination pager search form copyright
     legal disclaimer toolbar skip hidden contentinfo complementary""".split())
+#: Bad words that subjects share, and words that name no subject beside a bad one.
+SUBJECT_WORDS = frozenset("legal social related form search discussion".split())
+PLAIN_WORDS = frozenset("""area bar block body bottom box button card cell col column container content count
+    end entry footer form group head header heading holder icon inner item items label left link links
+    list main meta panel right row section slot start text thread title top unit wrap wrapper""".split())
 GOOD_WORDS = frozenset("article articlebody content entry main post story".split())
 
 _PIECE = re.compile(
@@ -66,6 +73,18 @@ class Block(NamedTuple):
     sibling: int     # the block before under the same parent, or -1
 
 
+def _blame(name: str) -> float:
+    """Log odds of one class or id: bad words count in full where the name ends in one
+    or in a word that names no subject, as in site-footer and comment-list, and less
+    in names like form-of-government or where the word itself may be a subject."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    bad = BAD_WORDS.intersection([*words, name.lower()])
+    if not bad:
+        return 0.0
+    sure = words and (words[-1] in BAD_WORDS or words[-1] in PLAIN_WORDS)
+    return INSIDE_BOILERPLATE if sure and bad - SUBJECT_WORDS else MAYBE_BOILERPLATE
+
+
 def _hint(tag: str, rest: str, inside: bool) -> float:
     """What an element's name and attributes say of the text inside."""
     hint = INSIDE_ARTICLE if tag in GOOD_TAGS else INSIDE_BOILERPLATE if tag in BAD_TAGS else 0.0
@@ -79,7 +98,7 @@ def _hint(tag: str, rest: str, inside: bool) -> float:
         elif name in ("class", "id", "role", "itemprop"):
             words = {w.lower() for w in _WORD.findall(value)} | {value.lower()}
             if tag not in WHOLE and (words & BAD_WORDS or "header" in words and not inside):
-                hint += INSIDE_BOILERPLATE
+                hint += min(map(_blame, value.split()), default=0.0) if words & BAD_WORDS else INSIDE_BOILERPLATE
             elif words & GOOD_WORDS and tag not in ("html", "body"):
                 hint += INSIDE_ARTICLE / 2
     return hint
@@ -219,7 +238,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         for batch in slices(batches):
             for html in texts(batch, html_col):
                 found = blocks(html)
-                keep = [i for i, b in enumerate(found) if b.hint]
+                keep = [i for i, b in enumerate(found) if b.hint > 0 or b.hint < MAYBE_BOILERPLATE]
                 if keep:
                     x = _matrix(found)[keep]
                     y = np.array([found[i].hint > 0 for i in keep], float)

@@ -113,3 +113,25 @@ def test_closed_drawings_and_formulas():
     assert texts("<p>As <math><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mi>y</mi>"
                  "<annotation encoding='tex'>x^2</annotation></math> says.</p>") == ["As x2=y says."]
     assert texts("<p>one<math/> two</p>") == ["one two"]
+
+
+def test_names_of_subjects_blank_no_article(spark):
+    """Class words that are part of a subject's name leave the text to the text itself."""
+    long = ["The river rises in the northern hills and runs past the old town, where the first bridge "
+            f"was built in the year {1700 + n}, before it turns to the sea through wide and open fields." for n in range(3)]
+    body = "".join(f"<p>{p}</p>" for p in long)
+    pages = ["<div class='form-of-government'>%s</div>", "<div id='social-history'>%s</div>",
+             "<div class='search-article'>%s</div>", "<main><section class='legal'>%s</section></main>",
+             "<article><p>First of all.</p><section id='related-work'>%s</section></article>"]
+    bad = ["<div class='site-footer'>%s</div>", "<div class='comment-list'>%s</div>", "<div class='ad-slot'>%s</div>"]
+    rows = [(n, "u", f"<html><body>{p % body}</body></html>") for n, p in enumerate(pages)]
+    rows += [(100 + n, "u", f"<html><body><article>{body}</article>{p % '<p>Some other words that stand here.</p>'}</body></html>")
+             for n, p in enumerate(bad)]
+    # Real pages teach the classifier what text looks like.
+    taught = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").selectExpr("page_id + 1000 AS page_id", "url", "html")
+    got = {r.page_id: r.text for r in x.main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string").unionByName(taught)).collect()}
+    for n in range(len(pages)):
+        assert all(p in got[n] for p in long), pages[n]
+    for n in range(len(bad)):
+        assert got[100 + n] == "\n\n".join(long), bad[n]
