@@ -30,28 +30,34 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
     ``edges`` holds (parent, child) and optionally ``position``, the order among
     siblings.  ``preorder`` sorts nodes depth-first: it is the list of sibling
     keys on the path, and arrays compare element by element.  A child that is
-    already on its own path is not followed again.  Spark stops the walk with an
-    error beyond its own limits of 100 levels or a million rows
-    (``spark.sql.cteRecursionLevelLimit``, ``spark.sql.cteRecursionRowLimit``).
+    already on its own path is not followed again.
 
-    The hierarchy is small and referred to many times by what is built on it, so
-    it is written to the checkpoint folder instead of being walked at each use.
+    Round r knows all ways of 2^r steps between two names, puts them at the end of
+    the paths from the root that are known so far, and joins them to ways twice as
+    long: a hierarchy of n levels takes log n rounds.  Ways are no more than the
+    closure has pairs at their distance.  Each round is written to the checkpoint
+    folder, as the nodes are, which are referred to many times.
     """
     if "position" not in edges.columns:
         edges = edges.withColumn("position", F.lit(0))
-    steps = edges.select(
-        "parent", "child",
-        F.concat(F.lpad((F.col("position").cast("decimal(20,0)") + F.lit(LEAST)).cast("string"), 20, "0"),
-                 F.lit(":"), F.col("child")).alias("sibling")).distinct()
-    steps = cut(steps)
-    paths = edges.sparkSession.sql("""
-        WITH RECURSIVE walk(name, path, preorder) AS (
-            SELECT :root, array(:root), array('')
-            UNION ALL
-            SELECT e.child, array_append(w.path, e.child), array_append(w.preorder, e.sibling)
-            FROM walk w JOIN {steps} e ON e.parent = w.name
-            WHERE NOT array_contains(w.path, e.child))
-        SELECT * FROM walk""", args={"root": root}, steps=steps)
+    key = F.concat(F.lpad((F.col("position").cast("decimal(20,0)") + F.lit(LEAST)).cast("string"), 20, "0"),
+                   F.lit(":"), F.col("child"))
+    # A way back to the root, or to where it starts, ends no path.
+    ways = cut(edges.filter((F.col("child") != root) & (F.col("child") != F.col("parent"))).select(
+        F.col("parent").alias("start"), F.col("child").alias("end"),
+        F.array("child").alias("names"), F.array(key).alias("siblings")).distinct())
+    paths = edges.sparkSession.range(1).select(
+        F.lit(root).alias("name"), F.array(F.lit(root)).alias("path"),
+        F.array(F.lit("")).alias("preorder"))
+    while True:
+        longer = cut(paths.join(ways, F.col("name") == F.col("start")).filter(
+            ~F.arrays_overlap("path", "names")).select(
+            F.col("end").alias("name"), F.concat("path", "names").alias("path"),
+            F.concat("preorder", "siblings").alias("preorder")))
+        if longer.isEmpty():
+            break
+        paths = paths.unionByName(longer)
+        ways = cut(_twice(ways))
     steps_of = F.transform("path", _step)
     nodes = paths.select(
         F.array_join(steps_of, SEPARATOR).alias("node_id"), "name",
@@ -61,6 +67,16 @@ def build_nodes(edges: DataFrame, root: str) -> DataFrame:
     return cut(nodes)
 
 
+def _twice(ways: DataFrame) -> DataFrame:
+    """Ways without a repeated name, each joined to those that start where it ends."""
+    on = ways.select(F.col("start").alias("end"), F.col("end").alias("end2"),
+                     F.col("names").alias("names2"), F.col("siblings").alias("siblings2"))
+    return ways.join(on, "end").filter(
+        ~F.arrays_overlap("names", "names2") & ~F.array_contains("names2", F.col("start"))).select(
+        "start", F.col("end2").alias("end"), F.concat("names", "names2").alias("names"),
+        F.concat("siblings", "siblings2").alias("siblings"))
+
+
 def closure(nodes: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance), each node its own ancestor at 0."""
     steps = F.transform("path", _step)

@@ -76,3 +76,29 @@ def test_whole_build_leaves_impure_samples_out(frame):
         ("root/a", "s2"), ("root/a/x", "s1"), ("root/b/x", "s1")]
     none, _ = tree.disease_tree(edges, held, purities, "root", floor=0.95)
     assert ids(none) == ["root"]
+
+
+def test_long_chain(frame):
+    """5,000 levels take thirteen rounds."""
+    edges = frame([(f"n{i}", f"n{i + 1}") for i in range(4999)], "parent string, child string")
+    nodes = tree.build_nodes(edges, "n0").select("name", "level").collect()
+    assert len(nodes) == 5000 and all(int(r.name[1:]) + 1 == r.level for r in nodes)
+
+
+def test_every_simple_path_is_a_node(frame):
+    """Parents shared, circles, loops, repeats and parts out of reach, against a walk."""
+    import random
+
+    rng = random.Random(4)
+    edges = [(f"v{rng.randrange(9)}", f"v{rng.randrange(9)}", rng.randrange(3)) for _ in range(18)]
+    edges += [edges[0], ("v1", "v1", 0), (None, "v2", 0), ("v2", None, 0), ("lost", "v3", 1)]
+    out = {(p, c) for p, c, _ in edges}
+    want, todo = set(), [("v0",)]
+    while todo:
+        path = todo.pop()
+        want.add("/".join(path))
+        todo += [(*path, c) for p, c in out if p == path[-1] and c is not None and c not in path]
+    got = tree.build_nodes(frame(edges, "parent string, child string, position int"), "v0")
+    assert {r.node_id for r in got.select("node_id").collect()} == want
+    alone = tree.build_nodes(frame([], "parent string, child string"), "v0").collect()
+    assert [(r.node_id, r.parent_id, r.level) for r in alone] == [("v0", None, 1)]
