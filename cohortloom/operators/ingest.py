@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import base_name, id_from_file_name
+from ..session import cut
+
+#: Features that one row of the search for missing ones holds, on average.
+SLICE = 1024
 
 
 def name_files(files: DataFrame, suffixes, path: str = "path") -> DataFrame:
@@ -51,16 +57,23 @@ def serving_table(m: DataFrame, features: list[str], index: str = "sample_id") -
 def missing_features(new: DataFrame, features: DataFrame, key: str = "sample_id") -> DataFrame:
     """(sample, probe) for every known feature a new sample lacks.
 
-    Each sample keeps the set of features it has, cut to the known ones and so
-    no longer than their list, and the list minus that set is what it lacks.
+    The features are cut into hash slices of about ``SLICE``.  Per sample and slice
+    the set of features it has is gathered, and the slice minus that set is what it
+    lacks, so that no row holds more than one slice of the list.
     """
-    wanted = features.select("probe_id").distinct()
-    everything = wanted.agg(F.collect_set("probe_id").alias("all")).scalar()
-    has = new.join(wanted, "probe_id", "left_semi").groupBy(key).agg(
+    wanted = cut(features.select("probe_id").filter("probe_id is not null").distinct())
+    n = math.ceil(wanted.count() / SLICE)
+    if not n:
+        return new.select(key, "probe_id").limit(0)
+    part = F.pmod(F.xxhash64("probe_id"), F.lit(n)).cast("int").alias("slice")
+    slices = wanted.groupBy(part).agg(F.collect_list("probe_id").alias("all"))
+    has = new.join(wanted, "probe_id", "left_semi").groupBy(key, part).agg(
         F.collect_set("probe_id").alias("has"))
     empty = F.array().cast(f"array<{features.schema['probe_id'].dataType.simpleString()}>")
-    return new.select(key).distinct().join(has, key, "left").select(
-        key, F.explode(F.array_except(everything, F.coalesce("has", empty))).alias("probe_id"))
+    asked = new.select(key).distinct().select(
+        key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice"))
+    return asked.join(slices, "slice").join(has, [key, "slice"], "left").select(
+        key, F.explode(F.array_except("all", F.coalesce("has", empty))).alias("probe_id"))
 
 
 def missing_summary(missing: DataFrame, key: str = "sample_id") -> DataFrame:

@@ -69,6 +69,38 @@ def test_nightly_job_takes_each_file_once(spark, raw, manifest, tmp_path, rows):
     assert again.count() == 1 and spark.read.parquet(target).count() == 4
 
 
+def test_nightly_job_fills_both_outputs(spark, raw, manifest, tmp_path, rows):
+    """M and Beta values go apart, one file a turn; what only one output lacks is added there."""
+    one, m, beta = (str(tmp_path / n) for n in ("one", "m", "beta"))
+    nightly.extract_new(spark, raw, manifest, one, "f1")
+    taken = nightly.extract_new(spark, raw, manifest, m, "f1", beta_target=beta, batch=1)
+    assert taken.count() == 3
+    whole = spark.read.parquet(one)
+    for path, value in ((m, "m_value"), (beta, "beta_value")):
+        got = spark.read.parquet(path)
+        assert value in got.columns and len({"m_value", "beta_value"} & set(got.columns)) == 1
+        assert rows(got.select("meth_sample_id", "probe_id", value)) == rows(
+            whole.select("meth_sample_id", "probe_id", value))
+    fresh = str(tmp_path / "beta2")
+    again = nightly.extract_new(spark, raw, manifest, m, "f2", beta_target=fresh)
+    assert again.count() == 3
+    assert spark.read.parquet(fresh).count() == whole.count()
+    assert {r.freeze for r in spark.read.parquet(m).select("freeze").distinct().collect()} == {"f1"}
+
+
+def test_missing_features_by_slices(frame, rows, monkeypatch):
+    new = frame([(f"s{i}", f"p{j}") for i in range(6) for j in range(40) if (i * j) % 3], "sample_id string, probe_id string")
+    new = new.unionByName(frame([("t", "unknown"), ("t", None)], "sample_id string, probe_id string"))
+    features = frame([(f"p{j}",) for j in range(40)] * 2, "probe_id string")
+    want = rows(ingest.missing_features(new, features))
+    known = {(r.sample_id, r.probe_id) for r in new.collect()}
+    assert want == sorted([(s, f"p{j}") for s in {k[0] for k in known} for j in range(40)
+                           if (s, f"p{j}") not in known], key=repr)
+    monkeypatch.setattr(ingest, "SLICE", 7)
+    assert rows(ingest.missing_features(new, features)) == want
+    assert ingest.missing_features(new, features.limit(0)).count() == 0
+
+
 def test_features_are_collected(spark, frame, rows):
     cols = "sample_id string, meth_sample_id string, probe_id string, m_value double"
     matrix = frame([("s0", "m0", "A", 1.0), ("s0", "m0", "B", 2.0)], cols)
