@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .ranking import running
+from .ranking import quantiles, running
 
 
 def confusion(calls: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -149,8 +149,10 @@ def correct_calls(calls: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def correct_call_quartiles(calls: DataFrame) -> DataFrame:
-    """Five-number summary of the correct calls' probability per class."""
-    return calls.filter(F.col("actual") == F.col("predicted")).groupBy(
-        F.col("predicted").alias("class")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("probability", [0.0, 0.25, 0.5, 0.75, 1.0], 10000).alias("quartiles"))
+    """Five-number summary of the correct calls' probability per class, exact."""
+    right = calls.filter(F.col("actual") == F.col("predicted")).select(
+        F.col("predicted").alias("class"), "probability")
+    each = quantiles(right, ["class"], "probability", [0.0, 0.25, 0.5, 0.75, 1.0])
+    parts = F.sort_array(F.collect_list(F.struct("share", "value")))
+    return each.groupBy("class").agg(F.max("n").alias("n"), parts.alias("q")).select(
+        "class", "n", F.col("q.value").alias("quartiles"))

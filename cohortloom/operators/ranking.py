@@ -83,3 +83,27 @@ def running(df: DataFrame, keys: list[str], order: str, sums: tuple[str, ...] =
     added |= {f"top_{c}": F.greatest(f"_p{c}", f"_x{c}") for c in maxes}
     return within.join(offsets, [*keys, "_b"]).withColumns(added).drop(
         "_b", *[f"_{t}{c}" for t in "ow" for c in sums], *[f"_{t}{c}" for t in "px" for c in maxes])
+
+
+def quantiles(df: DataFrame, keys: list[str], order: str, shares: list[float]) -> DataFrame:
+    """(keys, share, value, n): exact quantiles of each key, null values left out.
+
+    A quantile between two ranks is taken linearly between their values.  Equal
+    values are counted first, then running counts say which ranks a value covers.
+    """
+    counts = df.filter(F.col(order).isNotNull()).groupBy(*keys, order).agg(
+        F.count(F.lit(1)).alias("n"))
+    # Counted from the greatest value down, so what is left over lies below.
+    ranks = running(counts, keys, order, ("n",)).select(
+        *keys, F.col(order).cast("double").alias("v"), F.col("total_n").alias("total"),
+        (F.col("total_n") - F.col("cum_n")).alias("first"),
+        (F.col("total_n") - F.col("cum_n") + F.col("n") - 1).alias("last"),
+        F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+    at = (F.col("total") - 1) * F.col("share")
+    covers = lambda rank: rank.between(F.col("first"), F.col("last"))
+    low, high = covers(F.floor(at)), covers(F.ceil(at))
+    found = ranks.filter(low | high).groupBy(*keys, "share", "total").agg(
+        F.max(F.when(low, F.col("v"))).alias("low"), F.max(F.when(high, F.col("v"))).alias("high"))
+    return found.select(*keys, "share", (
+        F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low"))).alias("value"),
+        F.col("total").alias("n"))

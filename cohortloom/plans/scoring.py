@@ -51,6 +51,13 @@ def histogram(spark, d):
     return ev.correct_calls(st.certainties(spark, d))
 
 
+def quartiles(spark, d):
+    """Five numbers of the correct calls of each class, on columns of their own."""
+    q = ev.correct_call_quartiles(st.certainties(spark, d))
+    return q.select("class", "n", *[F.round(F.get("quartiles", F.lit(i)), 9).alias(name)
+                                    for i, name in enumerate(("least", "q1", "median", "q3", "most"))])
+
+
 def mean_fill(spark, d):
     return _rounded(impute.impute_mean(st.vector_matrix(spark, d)), "m_value")
 
@@ -138,6 +145,13 @@ QUERIES = {
               count(*) AS n, min(p) AS lowest, max(p) AS highest FROM (
               SELECT *, ((sample_id * 7919) % 1000 + 1) / 1000.0::DOUBLE AS p FROM ({st.CALLS}))
             WHERE actual = predicted GROUP BY 1, 2"""),
+    "correct_call_quartiles": Query(
+        quartiles,
+        f"""SELECT predicted AS class, count(*) AS n, round(min(p), 9) AS least,
+              round(quantile_cont(p, 0.25), 9) AS q1, round(quantile_cont(p, 0.5), 9) AS median,
+              round(quantile_cont(p, 0.75), 9) AS q3, round(max(p), 9) AS most FROM (
+              SELECT *, ((sample_id * 7919) % 1000 + 1) / 1000.0::DOUBLE AS p FROM ({st.CALLS}))
+            WHERE actual = predicted GROUP BY 1"""),
     "impute_mean": Query(
         mean_fill,
         f"""WITH m AS ({st.VECTOR_MATRIX})

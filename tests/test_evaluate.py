@@ -76,3 +76,20 @@ def test_correct_calls(frame):
     got = {(r["class"], r.bin): r.n for r in ev.correct_calls(calls).collect()}
     assert got == {("a", 10): 2, ("b", 6): 1}
     assert ev.correct_call_quartiles(calls).filter("class = 'a'").first().n == 2
+
+
+def test_quartiles_are_exact(frame):
+    import numpy as np
+
+    from cohortloom.operators import ranking
+
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=301).round(1), "b": rng.random(50), "c": np.array([3.0]),
+              "d": np.repeat([1.0, 2.0], [500, 1])}
+    df = frame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("e", None)],
+               "k string, v double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.k, r.share): (r.value, r.n) for r in ranking.quantiles(df, ["k"], "v", shares).collect()}
+    assert len(got) == len(values) * len(shares)
+    for (k, share), (value, n) in got.items():
+        assert value == pytest.approx(np.quantile(values[k], share), abs=1e-12) and n == len(values[k])
