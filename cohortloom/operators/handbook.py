@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import clean_texts, shape, title_similarity
 
 LEAF_LEVEL = 4
+#: Longest part of a title that the search index holds.
+GRAM = 3
 
 
 def chapters(books: DataFrame) -> DataFrame:
@@ -52,25 +54,68 @@ def search(books: DataFrame, substring: str, book: str = "") -> DataFrame:
         "bookId", "bookTitle", "chapterId", "chapterTitle")
 
 
-def route(books: DataFrame, queries: list[str]) -> DataFrame:
+def _parts(text: Column, n: Column) -> Column:
+    """All parts of ``text`` of ``n`` characters, or the text itself if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+
+
+def title_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, columns of ``rows``): chapters whose title contains a query, in any case.
+
+    Titles are indexed by their parts of up to ``GRAM`` characters.  A query is looked
+    up by that one of its parts that the fewest titles hold, and what it meets there is
+    confirmed.  A query with a part that no title holds meets nothing; an empty one is
+    in every title, a null one in none.
+    """
+    every = [_parts(F.col("_title"), F.lit(n)) for n in range(1, GRAM + 1)]
+    postings = rows.filter(F.col("chapterTitle").isNotNull()).withColumn(
+        "_title", F.lower("chapterTitle")).withColumn(
+        "_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *every))))
+    longest = _parts(F.col("_text"), F.least(F.lit(GRAM), F.length("_text")))
+    parts = queries.select("query").filter("query is not null").distinct().withColumn(
+        "_text", F.lower("query")).withColumn("_gram", F.explode(longest))
+    held = postings.select("_gram").join(parts, "_gram", "left_semi").groupBy("_gram").agg(
+        F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(held, "_gram", "left").groupBy("query", "_text").agg(
+        F.min_by("_gram", F.struct(F.coalesce("n", F.lit(0)), "_gram")).alias("_gram"))
+    return postings.join(rarest, "_gram").filter(F.contains("_title", F.col("_text"))).select(
+        "query", *rows.columns)
+
+
+def route(books: DataFrame, queries: list[str] | DataFrame) -> DataFrame:
     """What a search for each text leads to: nothing, one chapter, or a list.
 
-    Every chapter picks the texts its title contains, so no join is needed; the
-    texts are disease names, as many as the tree has nodes.
+    ``queries`` is a table with a column ``query``, or a few texts.
     """
-    texts = F.array(*[F.lit(q) for q in dict.fromkeys(queries)])
-    hits = leaf_chapters(books).select(
-        "bookId", "chapterId", "chapterTitle",
-        F.explode(F.filter(texts, lambda q: F.contains(F.lower("chapterTitle"), F.lower(q))))
-        .alias("query"))
+    if not isinstance(queries, DataFrame):
+        queries = books.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    asked = queries.select("query").filter("query is not null").distinct()
+    hits = title_hits(leaf_chapters(books).select("bookId", "chapterId", "chapterTitle"), asked)
     counts = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    asked = books.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
     n = F.coalesce("n", F.lit(0))
     status = F.when(n == 0, "not found").when(n == 1, "chapter").otherwise("list")
     return asked.join(counts, "query", "left").select(
         "query", n.alias("n"), status.alias("status")).join(hits, "query", "left")
 
 
+def describe(books: DataFrame, queries: list[str] | DataFrame, clean: bool = False) -> DataFrame:
+    """``route``, with the document of the chapter where a search leads to just one.
+
+    ``content`` and ``attachments`` are null for the entries of lists, and for
+    chapters that have no document because their section is not of level 1.
+    """
+    found = route(books, queries)
+    only = found.filter(F.col("status") == "chapter").select("bookId", "chapterId").distinct()
+    rows = leaf_chapters(books).filter(F.col("sectionLevel") == 1).join(
+        only, ["bookId", "chapterId"], "left_semi")
+    first = rows.groupBy("bookId", "chapterId").agg(F.min_by(
+        F.struct(*rows.columns), F.struct("section_no", "chapter_no")).alias("r")).select("r.*")
+    texts = documents(first, clean).select(
+        "bookId", "chapterId", F.lit("chapter").alias("status"), "content", "attachments")
+    return found.join(texts, ["bookId", "chapterId", "status"], "left")
+
+
 def chapter_documents(books: DataFrame, clean: bool = False) -> DataFrame:
     """Every leaf chapter of the level-1 sections as one document.
 

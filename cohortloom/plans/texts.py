@@ -71,6 +71,26 @@ def search_route(spark, d):
     return hb.route(st.books(spark, d), TOPICS)
 
 
+def _words(spark, d):
+    """Every word of a chapter title, a text that somebody may search for."""
+    return hb.leaf_chapters(st.books(spark, d)).select(
+        F.explode(F.split("chapterTitle", " ")).alias("query")).distinct()
+
+
+def word_routes(spark, d):
+    """All words of all chapter titles, searched for at once."""
+    return hb.route(st.books(spark, d), _words(spark, d)).groupBy("query", "n", "status").agg(
+        F.min("chapterId").alias("first"), F.max("chapterId").alias("last"))
+
+
+def described(spark, d):
+    """The documents that titles lead to which are in one chapter only."""
+    titles = hb.leaf_chapters(st.books(spark, d)).select(F.col("chapterTitle").alias("query"))
+    found = hb.describe(st.books(spark, d), titles).filter("status = 'chapter'")
+    return found.select("query", "bookId", "chapterId", F.explode("content").alias("heading", "parts")) \
+        .select("query", "bookId", "chapterId", "heading", F.array_join("parts", "|").alias("text"))
+
+
 _TOPICS = "[" + ", ".join(f"'{t}'" for t in TOPICS) + "]"
 _DOCS = f"""
   SELECT "bookId", "chapterId", 'Definition' AS heading,
@@ -126,6 +146,21 @@ QUERIES = {
         f"""SELECT page_id AS "bookId", regexp_extract(html, '{st._TITLE}', 1) AS "bookTitle"
             FROM pages"""),
     "full_book": Query(full_book),
+    "search_words": Query(
+        word_routes,
+        f"""WITH l AS ({st.LEAVES}),
+              q AS (SELECT DISTINCT unnest(string_split("chapterTitle", ' ')) AS query FROM l)
+            SELECT query, count(*) AS n, CASE WHEN count(*) = 1 THEN 'chapter' ELSE 'list' END
+              AS status, min("chapterId") AS first, max("chapterId") AS last
+            FROM q JOIN l ON contains(lower("chapterTitle"), lower(query)) GROUP BY 1"""),
+    "search_documents": Query(
+        described,
+        f"""WITH l AS ({st.LEAVES}), q AS (SELECT DISTINCT "chapterTitle" AS query FROM l),
+              one AS (SELECT query, min("chapterId") AS id FROM q
+                      JOIN l ON contains(lower("chapterTitle"), lower(query))
+                      GROUP BY 1 HAVING count(*) = 1),
+              x AS (SELECT l.*, html FROM l JOIN pages ON page_id = "bookId")
+            SELECT query, d.* FROM one JOIN ({_DOCS}) d ON d."chapterId" = id"""),
     "search_route": Query(
         search_route,
         f"""WITH q AS (SELECT unnest({_TOPICS}) AS query),

@@ -68,6 +68,33 @@ def test_routes(books):
     assert sum(r["query"] == "glioma" for r in got) == 3
 
 
+def test_routes_of_a_table(books, frame):
+    """Short, empty, null, repeated and unknown texts, against plain search."""
+    titles = {94: "Ganglioglioma", 95: "Diffuse glioma", 97: "Glioma annex", 1: "Retinoblastoma"}
+    asked = ["", "g", "GL", "oma", "a", " ", "diffuse glioma x", "annex", "annex", None, "ü", "Zz"]
+    got = hb.route(books, frame([(q,) for q in asked], "query string")).collect()
+    for q in {q for q in asked if q is not None}:
+        want = {c for c, t in titles.items() if q.lower() in t.lower()}
+        mine = [r for r in got if r["query"] == q]
+        assert {r.chapterId for r in mine if r.chapterId is not None} == want
+        assert len(mine) == max(1, len(want)) and {r.n for r in mine} == {len(want)}
+    assert not any(r["query"] is None for r in got)
+    assert hb.route(books, frame([], "query string")).count() == 0
+    assert hb.route(books.limit(0), ["glioma"]).first().status == "not found"
+
+
+def test_one_hit_returns_its_chapter(books):
+    got = {r["query"]: r for r in hb.describe(books, ["ganglio", "annex", "zz"], clean=True).collect()}
+    assert got["ganglio"].status == "chapter"
+    assert got["ganglio"].content["Subtype(s)"] == ["Alpha", "Beta"]
+    assert [a.title for a in got["ganglio"].attachments] == ["a figure", "Tab 1", ""]
+    # Its section is of level 2, so there is no document.
+    assert got["annex"].status == "chapter" and got["annex"].content is None
+    assert got["zz"].status == "not found" and got["zz"].content is None
+    lists = hb.describe(books, ["glioma"]).collect()
+    assert len(lists) == 3 and all(r.content is None for r in lists)
+
+
 TEXTS = ["  a&nbsp;b\n\nc\r ", "x<sup>2</sup> \\u2013 y", "&lt;a href&gt; k &amp;amp; <a b>q</a>z",
          "&eacute;&#233;&#xe9; &notit; &copy 1", "", "<a\n>x</a>", "a   b"]
 
