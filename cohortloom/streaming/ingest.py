@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import probemap
 from ..sources.files import exists
 
+#: Folders by sample that a batch's raw rows are laid in.
+BUCKETS = 64
+_BUCKET, _BATCH = T.StructField("bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())
+
 
 def append_once(batch: DataFrame, batch_id: int, target: str, key: str = "sample_id") -> None:
     """Append a batch's samples that no other batch has written.
@@ -31,26 +35,70 @@ def append_once(batch: DataFrame, batch_id: int, target: str, key: str = "sample
         "overwrite").parquet(f"{ids}/batch_id={batch_id}")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("sample_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _ids(landed: str) -> str:
+    return f"{landed}_ids"
+
+
+def land_rows(rows: DataFrame, batch_id: int, landed: str) -> tuple[DataFrame, DataFrame]:
+    """Write a batch's raw rows, a folder per bucket of samples; a replay overwrites them.
+
+    Returns the rows as written, and their samples, which are kept beside them: a
+    row per batch and sample, in the same buckets.  Rows without a sample are left out.
+    """
+    spark, schema = rows.sparkSession, T.StructType([*rows.schema, _BUCKET])
+    folder, ids = f"{landed}/batch_id={batch_id}", f"{_ids(landed)}/batch_id={batch_id}"
+    rows.filter("sample_id is not null").withColumn("bucket", _bucket()).hint(
+        "rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    now = spark.read.schema(schema).parquet(folder)
+    now.select("sample_id", "bucket").distinct().write.mode("overwrite").partitionBy(
+        "bucket").parquet(ids)
+    return now.drop("bucket"), spark.read.schema(
+        T.StructType([rows.schema["sample_id"], _BUCKET])).parquet(ids)
+
+
+def landed_before(rows: DataFrame, touched: DataFrame, batch_id: int, landed: str) -> DataFrame | None:
+    """What earlier batches landed of the samples of this one; None if they hold none.
+
+    The samples kept per batch, read in the touched buckets only, name the (batch,
+    bucket) folders to open, and no other folder is listed or read.  Their names, as
+    many as folders are opened, are all that comes to the driver.
+    """
+    spark, key = rows.sparkSession, rows.schema["sample_id"]
+    buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]
+    held = spark.read.schema(T.StructType([key, _BATCH, _BUCKET])).parquet(_ids(landed)).filter(
+        (F.col("batch_id") < batch_id) & F.col("bucket").isin(buckets))
+    folders = [f"{landed}/batch_id={r['batch_id']}/bucket={r['bucket']}" for r in held.join(
+        touched, ["sample_id", "bucket"], "left_semi").select("batch_id", "bucket").distinct().collect()]
+    if not folders:
+        return None
+    past = spark.read.schema(T.StructType([*rows.schema, _BATCH, _BUCKET])).option(
+        "basePath", landed).parquet(*sorted(folders))
+    return past.join(touched, ["sample_id", "bucket"], "left_semi").select(*rows.columns)
+
+
 def ingest_arrays(raw: DataFrame, chosen: DataFrame, target: str, checkpoint: str,
                   prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Land each arriving batch of raw rows and collapse the samples it touches anew.
 
     Raw rows lie beside the target, a folder per batch that a replay overwrites.
     A sample whose rows come in several batches is collapsed from all that has
-    landed, so the answer does not hang on how the input is cut; :func:`current`
-    reads it.  ``prepare`` turns a batch into raw rows first, for example lines
-    of text files.  ``availableNow`` takes what is there and stops.
+    landed of it, so the answer does not hang on how the input is cut; what other
+    samples have landed is not read.  :func:`current` reads the answer.  ``prepare``
+    turns a batch into raw rows first, for example lines of text files.
+    ``availableNow`` takes what is there and stops.
     """
     landed = f"{target.rstrip('/')}_raw"
 
     def land(batch: DataFrame, batch_id: int) -> None:
         rows = batch if prepare is None else prepare(batch)
-        rows.write.mode("overwrite").parquet(f"{landed}/batch_id={batch_id}")
-        schema = T.StructType([*rows.schema, T.StructField("batch_id", T.LongType())])
-        known = batch.sparkSession.read.schema(schema).parquet(landed).filter(
-            F.col("batch_id") <= batch_id)
-        touched = known.filter(F.col("batch_id") == batch_id).select("sample_id").distinct()
-        whole = known.drop("batch_id").join(touched, "sample_id", "left_semi")
+        whole, touched = land_rows(rows, batch_id, landed)
+        past = landed_before(whole, touched, batch_id, landed)
+        if past is not None:
+            whole = whole.unionByName(past)
         probemap.collapse(whole, chosen).write.mode("overwrite").parquet(
             f"{target}/batch_id={batch_id}")
 

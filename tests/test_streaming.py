@@ -64,6 +64,25 @@ def test_answers_do_not_hang_on_batches(spark, frame, tmp_path, rows, files_a_ba
     assert rows(spark.read.parquet(first).drop("batch_id")) == [("s0",), ("s1",), ("s2",)]
 
 
+def test_a_batch_reads_only_what_its_samples_landed(frame, tmp_path, rows):
+    """However many batches came before, history is opened where its samples lie."""
+    landed = str(tmp_path / "raw")
+    part = lambda *ids: frame([(i, "a1", "A", float(n), 0.1) for n, i in enumerate(ids)], RAW)
+    for n in range(6):
+        batch, touched = stream.land_rows(part(*[f"b{n}s{i}" for i in range(5)], None), n, landed)
+        assert batch.count() == 5 and touched.count() == 5
+        assert stream.landed_before(batch, touched, n, landed) is None
+    again = part("b1s2", "b4s0", "new", "b1s2")
+    for _ in range(2):  # a replay reads the same
+        batch, touched = stream.land_rows(again, 6, landed)
+        past = stream.landed_before(batch, touched, 6, landed)
+        assert rows(past) == [("b1s2", "a1", "A", 2.0, 0.1), ("b4s0", "a1", "A", 0.0, 0.1)]
+        opened = {tuple(f.split("/")[-3:-1]) for f in past.inputFiles()}
+        assert {o[0] for o in opened if o[0] != "batch_id=6"} == {"batch_id=1", "batch_id=4"}
+    none, nobody = stream.land_rows(part(), 7, landed)
+    assert none.count() == 0 and stream.landed_before(none, nobody, 7, landed) is None
+
+
 def test_replay_and_repeats(spark, frame, tmp_path):
     target = str(tmp_path / "out")
     first = frame([("s1", 1.0), ("s2", 2.0)], "sample_id string, v double")
