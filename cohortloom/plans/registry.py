@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 SUBJECTS = ("quality", "probes", "lookups", "hierarchy", "samples", "scoring",
-            "models", "texts", "arrivals")
+            "models", "neighbours", "texts", "arrivals")
 
 
 class Query(NamedTuple):

@@ -16,7 +16,8 @@ def test_matches_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", ["diff_moderated", "diff_selected_matrix", "book_search",
                                   "chapter_docs_clean", "full_book", "predict_final",
-                                  "node_training_stats", "project_missing", "svm_cv"])
+                                  "node_training_stats", "project_missing", "svm_cv",
+                                  "neighbourhood_projection"])
 def test_gives_rows(spark, name):
     assert ALL[name].run(spark, SF_DIR).count() > 0
 
