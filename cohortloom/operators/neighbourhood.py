@@ -27,6 +27,8 @@ from .ranking import running
 SEED = 42
 # Neighbours of a sample, itself not among them.
 NEAR = 15
+# Neighbours kept while the graph is made, as multiples of those asked for.
+WIDE = 2
 # Directions the graph starts from, samples compared whole along each.
 DIRECTIONS, BLOCK = 3, 512
 # Rounds of descent; one that shortens the graph by less than this share is the last.
@@ -59,7 +61,7 @@ def near_graph(rows: DataFrame, k: int = NEAR, rounds: int = ROUNDS, seed: int =
 
     ``rows`` are ``points``.  Approximate; a lone sample has no row.
     """
-    spark, kind = rows.sparkSession, rows.schema["sample_id"].dataType.simpleString()
+    spark, kind, wide = rows.sparkSession, rows.schema["sample_id"].dataType.simpleString(), WIDE * k
     first = rows.select(F.size("vec").alias("n")).first()
     schema = f"sample_id {kind}, near_id {kind}, d double"
     found = spark.createDataFrame([], schema)
@@ -69,15 +71,15 @@ def near_graph(rows: DataFrame, k: int = NEAR, rounds: int = ROUNDS, seed: int =
         along = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(w)) for w in way]),
                                        lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         placed = blocks(rows, along, BLOCK)
-        found = found.unionByName(placed.groupBy("_block").applyInArrow(_compare(k), schema))
-    graph = cut(_nearest(found, k))
+        found = found.unionByName(placed.groupBy("_block").applyInArrow(_compare(wide), schema))
+    graph = cut(_nearest(found, wide))
     total = _length(graph)
     for _ in range(rounds):
-        graph = cut(_nearest(_descend(rows, graph, k, schema).unionByName(_links(graph)), k))
+        graph = cut(_nearest(_descend(rows, graph, wide, schema).unionByName(_links(graph)), wide))
         before, total = total, _length(graph)
         if before - total <= LEAST_GAIN * before:
             break
-    return graph
+    return graph.select("sample_id", F.slice("near", 1, k).alias("near"))
 
 
 def blocks(rows: DataFrame, along: Column, size: int) -> DataFrame:
