@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import deque
+from collections.abc import Callable
 from html import unescape
 from typing import NamedTuple
 
@@ -18,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from .common import map_slices, slices, texts, typed
 
-#: Pages that the block classifier is fitted on, the first by hash of their id.
-SAMPLE = 4_096
+#: Largest move of a weight that ends the block classifier's fit.
+STILL = 1e-8
 #: Log odds that a container's markup adds to what lies inside.
 INSIDE_ARTICLE, INSIDE_BOILERPLATE = 4.0, -8.0
 #: The same of a word that may as well name a subject: text can outweigh it.
@@ -195,6 +197,7 @@ def features(b: Block, place: float) -> list[float]:
 
 #: Weights that pages without telling markup are judged by if there is nothing to learn from.
 UNTAUGHT = np.array([-2.0, -4.0, 2.0, 1.0, 0.5, 0.5, -0.5, 1.0, -3.0, 0.0, 0.0])
+UPPER = np.triu_indices(len(UNTAUGHT))
 
 
 def _matrix(found: list[Block]) -> np.ndarray:
@@ -202,63 +205,88 @@ def _matrix(found: list[Block]) -> np.ndarray:
     return np.array([features(b, i / last) for i, b in enumerate(found)])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
+def _moments(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, slope and the curvature's upper half at ``w``, one after the other; they add up."""
+    z = x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    curve = (x * (p * (1 - p))[:, None]).T @ x
+    return np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (p - y), curve[UPPER]])
+
+
+def newton(moments: Callable[[np.ndarray], np.ndarray], rounds: int = 50) -> np.ndarray:
     """Logistic regression by Newton steps, drawn towards ``UNTAUGHT``.
 
-    A step is halved until it lowers the loss; no step that does ends the fit.
+    ``moments`` gives the sums of ``_moments`` over all rows.  A step is halved until it
+    lowers the loss; the fit ends with a step that moves no weight by more than ``STILL``.
     """
-    def loss(w):
-        z = x @ w
-        return (np.logaddexp(0, z) - y * z).sum() + ((w - UNTAUGHT) ** 2).sum() / 2
+    n = len(UNTAUGHT)
+
+    def at(w):
+        sums = moments(w)
+        curve = np.zeros((n, n))
+        curve[UPPER] = sums[n + 1:]
+        curve = curve + np.triu(curve, 1).T + np.eye(n)
+        drawn = w - UNTAUGHT
+        return sums[0] + (drawn ** 2).sum() / 2, np.linalg.solve(curve, sums[1:n + 1] + drawn)
 
     w = UNTAUGHT.copy()
+    loss, step = at(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + (w - UNTAUGHT)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), slope)
-        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
-            step /= 2
-        if np.abs(step).max() <= 1e-9:
+        if np.abs(step).max() <= STILL:
             break
-        w = w - step
+        lower, further = at(w - step)
+        if lower > loss * (1 + 1e-12):
+            step = step / 2
+            continue
+        w, loss, step = w - step, lower, further
     return w
 
 
-def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Weights of the block classifier, from blocks whose containers' markup is plain.
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weights of rows that are at hand."""
+    return newton(lambda w: _moments(x, y, w))
+
+
+def _told(html: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks whose containers' markup is plain."""
+    found = blocks(html)
+    keep = [i for i, b in enumerate(found) if b.hint > 0 or b.hint < MAYBE_BOILERPLATE]
+    if not keep:
+        return np.zeros((0, len(UNTAUGHT)), np.float32), np.zeros(0, np.float32)
+    return (_matrix(found)[keep].astype(np.float32),
+            np.array([found[i].hint > 0 for i in keep], np.float32))
 
-    ``SAMPLE`` pages, the first by the hash of their id, bound what is gathered:
-    sums of each distinct feature row with its label.
-    """
-    chosen = pages.select(F.xxhash64(F.col(id_col)).alias("order"), html_col) \
-        .where(F.col(html_col).isNotNull())
-    limit = chosen.select("order").distinct().orderBy("order").limit(SAMPLE)
 
+def learn(pages: DataFrame, html_col: str = "html") -> np.ndarray:
+    """Weights of the block classifier, from blocks of all pages whose containers' markup is plain.
+
+    The blocks' features are written once; each Newton step is one job that adds up loss,
+    slope and curvature over all of them, of which 78 numbers come to the driver.  The
+    order of the sums shows in the last digits only, and weights are rounded above those.
+    """
     def run(batches):
         for batch in slices(batches):
-            for html in texts(batch, html_col):
-                found = blocks(html)
-                keep = [i for i, b in enumerate(found) if b.hint > 0 or b.hint < MAYBE_BOILERPLATE]
-                if keep:
-                    x = _matrix(found)[keep]
-                    y = np.array([found[i].hint > 0 for i in keep], float)
-                    yield pa.record_batch([pa.array([x.astype(np.float32).tobytes()], pa.binary()),
-                                           pa.array([y.astype(np.float32).tobytes()], pa.binary())],
-                                          names=["x", "y"])
-
-    def solve(batches):
-        rows = [(r["x"], r["y"]) for b in batches for r in b.to_pylist()]
-        if rows:
-            x = np.concatenate([np.frombuffer(a, np.float32).reshape(-1, len(UNTAUGHT)) for a, _ in rows])
-            y = np.concatenate([np.frombuffer(b, np.float32) for _, b in rows])
-            order = np.lexsort((y, *x.T))  # whatever the order of the rows, the same sums
-            w = fit(x[order].astype(float), y[order].astype(float))
-            yield pa.record_batch([pa.array([w.tolist()])], names=["w"])
-
-    made = chosen.join(F.broadcast(limit), "order").groupBy("order").agg(F.min(html_col).alias(html_col)) \
-        .select(html_col).mapInArrow(run, "x binary, y binary")
-    fitted = made.repartition(1).mapInArrow(solve, "w array<double>").collect()
-    return np.array(fitted[0].w) if fitted else UNTAUGHT
+            told = [_told(html) for html in texts(batch, html_col)]
+            yield pa.record_batch([pa.array([np.concatenate([t[i] for t in told]).tobytes()], pa.binary())
+                                   for i in (0, 1)], names=["x", "y"])
+
+    rows = cut(pages.select(html_col).mapInArrow(run, "x binary, y binary"))
+    width = 1 + len(UNTAUGHT) + len(UPPER[0])
+
+    def moments(w):
+        def add(batches):
+            sums = np.zeros(width)
+            for batch in batches:
+                for a, b in zip(batch["x"], batch["y"]):
+                    x = np.frombuffer(a.as_py(), np.float32).reshape(-1, len(w)).astype(float)
+                    sums += _moments(x, np.frombuffer(b.as_py(), np.float32).astype(float), w)
+            yield pa.record_batch([pa.array([sums.tolist()])], names=["sums"])
+
+        total = rows.mapInArrow(add, "sums array<double>").select(
+            *[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).first()
+        return np.array([v or 0.0 for v in total])
+
+    return newton(moments).round(6)
 
 
 class Network:
@@ -345,7 +373,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     read.  The classifier is learned first; each page is then cut by itself.
     """
     pages = pages.select(id_col, url_col, html_col)
-    weights = learn(pages, id_col, html_col)
+    weights = learn(pages, html_col)
 
     def step(batch):
         found = ["\n\n".join(b.text for b in content(blocks(h), weights)) for h in texts(batch, html_col)]

@@ -135,3 +135,15 @@ def test_names_of_subjects_blank_no_article(spark):
         assert all(p in got[n] for p in long), pages[n]
     for n in range(len(bad)):
         assert got[100 + n] == "\n\n".join(long), bad[n]
+
+
+def test_learns_from_all_pages(spark):
+    """The sums over all pages, in any number of parts, give what one fit over all their blocks gives."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    told = [x._told(r.html or "") for r in pages.select("html").collect()]
+    want = x.fit(*(np.concatenate([t[i] for t in told]).astype(float) for i in (0, 1)))
+    assert not np.allclose(want, x.UNTAUGHT, atol=0.1)
+    for parts in (1, 7):
+        assert np.allclose(x.learn(pages.repartition(parts)), want, atol=1e-5)
+    assert (x.learn(pages.limit(0)) == x.UNTAUGHT).all()
+    assert (x.learn(spark.createDataFrame([(None,), ("",), ("<p>untold</p>",)], "html string")) == x.UNTAUGHT).all()
