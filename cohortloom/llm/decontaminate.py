@@ -12,6 +12,11 @@ SHARE = 0.8
 #: Token positions that a seed looks at; those between may differ.  Wherever two
 #: of ``OVERLAP`` tokens in a row differ, one of the seeds still fits among them.
 MASKS = ((0, 3, 6, 7, 8, 9), (0, 1, 3, 4, 6, 10))
+#: Shorter items are compared whole; those of fewer tokens than ``WHOLE`` must be there unchanged.
+WHOLE = 7
+#: Masks of such items by the lengths they serve: up to 9 tokens one may differ, up to 12 two.
+SHORT_MASKS = {range(7, 10): ((0, 1, 2, 3), (0, 1, 4, 5)),
+               range(10, 13): ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))}
 #: Seed rows of a benchmark (about 50 bytes each) up to which they are sent to every executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,16 +74,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("item_tokens")) \
         .where(F.size("item_tokens") > 0).groupBy("item_tokens").agg(F.min("item").alias("item")) \
         .withColumn("item", F.struct("item", F.xxhash64("item_tokens").alias("hash")))
-    # Items shorter than an overlap must be there whole: one seed for each such length.
+    # Every mask serves items of certain lengths; only masks that have such items are used.
     short = sorted(r[0] for r in items.where(F.size("item_tokens") < OVERLAP)
                    .select(F.size("item_tokens")).distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    serves = [(mask, None) for mask in MASKS] + [
+        (tuple(range(n)), [n]) for n in short if n < WHOLE] + [
+        (mask, [n for n in short if n in lengths])
+        for lengths, some in SHORT_MASKS.items() if not set(lengths).isdisjoint(short) for mask in some]
+    masks = [mask for mask, _ in serves]
+    served = F.lit(False)
+    for n, (_, lengths) in enumerate(serves):
+        fits = F.col("length") >= OVERLAP if lengths is None else F.col("length").isin(lengths)
+        served = served | ((F.col("mask") == n) & fits)
     listed = _seeds(items, masks, "item_tokens", ["item"]).select(
         "mask", "seed", F.col("pos").alias("item_pos"), "item", F.size("item_tokens").alias("length"),
         _before(masks, "pos", "item_tokens").alias("item_before")) \
-        .where(" OR ".join([f"mask < {len(MASKS)}", *(
-            f"mask = {n} AND length = {len(m)}" for n, m in enumerate(masks) if n >= len(MASKS))])) \
-        .drop("mask")
+        .where(served).drop("mask")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_hash"),
                        tokens(F.col(text_col)).alias("doc_tokens"))
     text = ["_id", "text_hash"]
@@ -103,7 +114,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     share = _best(F.col("beside"), F.col("item_tokens"), F.col("start"))
     return hits.join(items, "item").groupBy(*text, "length", F.col("item.item").alias("item"), "item.hash") \
         .agg(F.max(share).alias("share")) \
-        .where(F.col("share") >= F.when(F.col("length") < OVERLAP, 1.0).otherwise(SHARE)) \
+        .where(F.col("share") >= F.when(F.col("length") < WHOLE, 1.0).otherwise(SHARE)) \
         .select(F.col("_id").alias(id_col), "text_hash", "item", "share")
 
 
@@ -113,8 +124,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, contaminated, n_items, first_item, best_share) for every document.
 
     A document is contaminated if 13 of its tokens in a row agree in at least 80
-    of 100 with as many of an item (all tokens, for shorter items, which must be
-    there unchanged).  Items with the same tokens count as one, under the least
+    of 100 with as many of an item.  Shorter items are compared whole: from seven
+    tokens on at least 80 of 100 must agree in their places (places beyond the
+    text's ends do not), fewer tokens must be there unchanged.  Items with the same tokens count as one, under the least
     id.  Null and empty texts and items overlap with nothing; a repeated row
     gets the same verdict; other columns are not read.  The benchmark's seeds
     are broadcast only after they are counted; beyond the bound Spark chooses

@@ -85,3 +85,47 @@ def test_whole_tables(spark, documents):
     exact = {r.doc_id for r in documents.collect() if any(
         tuple(w[k:k + 13]) in runs for w in [words(r.text)] for k in range(len(w) - 12))}
     assert exact and exact <= got
+
+
+def test_short_masks_fit_wherever_the_tolerated_tokens_differ():
+    for lengths, masks in dc.SHORT_MASKS.items():
+        for n in lengths:
+            for wrong in combinations(range(n), n - math.ceil(dc.SHARE * n)):
+                assert any(not set(wrong) & {at + m for m in mask}
+                           for mask in masks for at in range(n - mask[-1])), (n, wrong)
+
+
+def whole_share(doc, item):
+    """Best share of the item's tokens that agree, at any placement, over the text's ends too."""
+    n = len(item)
+    return max((sum(0 <= at + i < len(doc) and doc[at + i] == t for i, t in enumerate(item)) / n
+                for at in range(1 - n, len(doc))), default=0.0)
+
+
+def test_short_items_tolerate_substitutions(spark):
+    rnd = random.Random(5)
+    pool = [f"w{i}" for i in range(40)]
+    items = [(n, " ".join(rnd.choices(pool, k=n))) for n in range(1, 13)]
+    docs, key = [], 0
+    for n, passage in items:
+        for wrong in range(min(n, 4)):
+            for _ in range(3):
+                cut = passage.split()
+                for at in rnd.sample(range(n), wrong):
+                    cut[at] = f"x{key}"
+                # At the text's start, its end, or alone, so that the ends cut nothing off, or one token off.
+                head, tail = rnd.randint(0, 5), rnd.randint(0, 5)
+                words_of = [f"y{key}"] * head + cut[rnd.randint(0, 1) if n > 6 else 0:] + [f"z{key}"] * tail
+                docs.append((key, " ".join(words_of)))
+                key += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for broadcast_rows in (dc.BROADCAST_ROWS, 0):
+        got = {(r.doc_id, r.item): r.share for r in dc.overlaps(
+            df, spark.createDataFrame(items, ITEMS), broadcast_rows=broadcast_rows).collect()}
+        want = {}
+        for i, t in docs:
+            for n, item in items:
+                best = whole_share(words(t), words(item))
+                if best == 1 or n >= dc.WHOLE and best >= dc.SHARE:
+                    want[i, n] = best
+        assert got == pytest.approx(want) and any(0 < v < 1 for v in want.values())
