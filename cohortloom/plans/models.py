@@ -197,6 +197,57 @@ def not_scored(spark, d):
     return lost.withColumn("missing", F.array_join("missing", ","))
 
 
+def fixed_final(spark, d):
+    """The deepest call of every document's number, whether or not a sample has it."""
+    asked = st.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"))
+    return inf.final_predictions(fixed_predictions(spark, d), asked, FIXED_MODELS, "top")
+
+
+def _places(spark, d):
+    return st.table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), *[
+        F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")])
+
+
+def fixed_report(spark, d):
+    """Calls with the sample's place, which only the root's embedding has, and its recorded class."""
+    located = st.class_samples(spark, d).withColumnRenamed("disease_name", "name")
+    return inf.sample_report(fixed_predictions(spark, d),
+                             _places(spark, d).withColumn("model", F.lit("top")), located)
+
+
+def requested_samples(spark, d):
+    """Which of the asked numbers have measurements."""
+    asked = st.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"))
+    known, unknown = inf.requested(st.vector_matrix(spark, d), asked)
+    return known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+
+
+def requested_patients(spark, d):
+    """The same for all samples (orders) of the patients (customers) of one segment."""
+    sample = st.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("patient_id"))
+    patients = st.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("patient_id"))
+    known, unknown = inf.requested_patients(st.vector_matrix(spark, d), sample, patients)
+    return known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+
+
+def binary_calls(spark, d):
+    scored = _places(spark, d).select("sample_id", ((F.col("x") + 1) / 2).alias("probability"))
+    return inf.binary_call(scored)
+
+
+def plot_with_new(spark, d):
+    """Recorded samples with their class, and the others, placed with what was called for them."""
+    places = _places(spark, d)
+    cohort = st.table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"))
+    labels = st.class_samples(spark, d).select("sample_id", F.col("disease_name").alias("cancer_type"))
+    new = places.join(cohort, "sample_id", "left_anti")
+    called = inf.final_predictions(fixed_predictions(spark, d), new, FIXED_MODELS, "top")
+    return tr.plot_table(places.join(cohort, "sample_id", "left_semi"), labels, new.join(
+        called.withColumnRenamed("prediction", "cancer_type"), "sample_id"))
+
+
 def class_centroids(spark, d):
     plot = st.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.get("embedding", F.lit(0)).cast("double").alias("x"),
@@ -237,6 +288,10 @@ _FIXED = f"""WITH m AS ({st.VECTOR_MATRIX}),
     SELECT sample_id, CAST(2 AS INTEGER), 'low', CASE WHEN low > 0 THEN 'x' ELSE 'y' END,
       CAST(1 AS DOUBLE) FROM w WHERE top > 0 AND low IS NOT NULL)"""
 
+_PLACES = ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS {c}" for i, c in enumerate("xyz", 1))
+_FINAL = f"""{_FIXED},
+  final AS (SELECT sample_id, arg_max(prediction, depth) AS prediction FROM pred GROUP BY 1)"""
+
 QUERIES = {
     "svm_cv": Query(svm_cv),
     "forest_cv": Query(forest_cv),
@@ -261,6 +316,38 @@ QUERIES = {
                    = (SELECT count(DISTINCT sample_id) FROM m))) AS n_probes
             FROM design GROUP BY 1"""),
     "fixed_predictions": Query(fixed_predictions, f"{_FIXED} SELECT * FROM pred"),
+    "fixed_final": Query(
+        fixed_final,
+        f"""{_FINAL} SELECT doc_id AS sample_id, prediction
+            FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN final ON sample_id = doc_id"""),
+    "fixed_report": Query(
+        fixed_report,
+        f"""{_FIXED},
+              e AS (SELECT vec_id, 'C' || CAST(label AS VARCHAR) AS recorded_diagnosis, {_PLACES}
+                    FROM embeddings)
+            SELECT pred.*, CASE WHEN model = 'top' THEN x END AS x, CASE WHEN model = 'top' THEN y END AS y,
+              CASE WHEN model = 'top' THEN z END AS z, recorded_diagnosis
+            FROM pred LEFT JOIN e ON vec_id = sample_id"""),
+    "requested_samples": Query(
+        requested_samples,
+        """SELECT DISTINCT doc_id AS sample_id, doc_id IN (SELECT vec_id FROM embeddings) AS known
+           FROM documents"""),
+    "requested_patients": Query(
+        requested_patients,
+        """SELECT DISTINCT o_orderkey AS sample_id, o_orderkey IN (SELECT vec_id FROM embeddings) AS known
+           FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"""),
+    "binary_calls": Query(
+        binary_calls,
+        """SELECT sample_id, probability, CAST(probability >= 0.5 AS INTEGER) AS call
+           FROM (SELECT vec_id AS sample_id, (CAST(embedding[1] AS DOUBLE) + 1) / 2 AS probability
+                 FROM embeddings)"""),
+    "plot_with_new": Query(
+        plot_with_new,
+        f"""{_FINAL}, e AS (SELECT vec_id AS sample_id, {_PLACES}, label,
+                vec_id IN (SELECT s_suppkey FROM supplier) AS old FROM embeddings)
+            SELECT e.sample_id, x, y, z, CASE WHEN old THEN 'C' || CAST(label AS VARCHAR)
+              ELSE prediction END AS cancer_type
+            FROM e LEFT JOIN final ON final.sample_id = e.sample_id"""),
     "not_scored": Query(
         not_scored,
         f"""{_FIXED}

@@ -51,6 +51,10 @@ def collapse_first(spark, d):
     return pm.first_per_locus(raw.withColumn("at", order), "at")
 
 
+def pass_through(spark, d):
+    return pm.pass_through(st.raw_arrays(spark, d))
+
+
 def collapse_sql(measure: str, digits: int) -> str:
     """The row-by-row rule: replace mapped loci, keep distinct, drop split loci."""
     return f"""WITH raw AS ({st.RAW_ARRAYS}), map AS ({st.PROBE_MAP}),
@@ -91,6 +95,10 @@ QUERIES = {
               AND "EPICv1locmatch" NOT IN (SELECT "EPICv1locmatch" FROM ({st.PROBE_MAP}))"""),
     "collapse_probes": Query(collapse_m, collapse_sql("MValue", 6)),
     "collapse_probes_beta": Query(collapse_beta, collapse_sql("Beta", 6)),
+    "pass_through": Query(
+        pass_through,
+        f"""SELECT sample_id AS meth_sample_id, "Name" AS probe_id, "MValue" AS m_value,
+              "Beta" AS beta_value FROM ({st.RAW_ARRAYS})"""),
     "collapse_first": Query(
         collapse_first,
         f"""SELECT sample_id, "EPICv1_Loci" AS probe_id, "MValue" AS m_value FROM (

@@ -67,6 +67,13 @@ def full_book(spark, d):
         .select("bookId", "series", "chapterId", "heading", F.posexplode("parts").alias("no", "part"))
 
 
+def chapter_by_id(spark, d):
+    """One chapter by its book's id and its own."""
+    one = hb.get_chapter(st.books(spark, d), book_id=7, chapter_id=71, clean=True)
+    return one.select("bookId", "chapterId", F.explode("content").alias("heading", "parts")).select(
+        "bookId", "chapterId", "heading", F.posexplode("parts").alias("no", "part"))
+
+
 def search_route(spark, d):
     return hb.route(st.books(spark, d), TOPICS)
 
@@ -113,6 +120,19 @@ def _clean_sql(t: str) -> str:
     return f"regexp_replace(regexp_replace({t}, ' +', ' ', 'g'), '<a[^\\n]*?a>', '', 'g')"
 
 
+_BARE = "regexp_replace(t, '</?[emp]+ ?>', '', 'g')"
+_SHAPED = f"""
+  SELECT "bookId", "chapterId", heading, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS no,
+         unnest(parts) AS part
+  FROM (SELECT "bookId", "chapterId", heading, CASE heading
+          WHEN 'Definition' THEN [{_BARE}]
+          WHEN 'Subtype(s)' THEN CASE WHEN contains({_BARE}, 'None') THEN []
+            ELSE string_split({_BARE}, '; ') END
+          ELSE list_transform(regexp_extract_all(t, '{st._PARA}', 1),
+                 lambda p: regexp_replace(p, '</?em ?>', '', 'g')) END AS parts
+        FROM (SELECT "bookId", "chapterId", heading, {_clean_sql("text")} AS t FROM ({_DOCS})))"""
+_PAGES = f"""x AS (SELECT l.*, html FROM ({st.LEAVES}) l JOIN pages ON page_id = "bookId")"""
+
 QUERIES = {
     "chapter_list": Query(chapter_list, st.LEAVES),
     "chapter_search": Query(
@@ -140,12 +160,20 @@ QUERIES = {
             SELECT l."bookId", l."chapterId", regexp_replace(l."bookTitle", '<[^\\n]*?>', '', 'g'),
               'Table', regexp_extract(html, '{st._PARA}', 1)
             FROM ({st.LEAVES}) l JOIN pages ON page_id = l."bookId" """),
-    "chapter_docs_clean": Query(chapter_docs_clean),
+    "chapter_docs_clean": Query(chapter_docs_clean, f"WITH {_PAGES} {_SHAPED}"),
+    "chapter_by_id": Query(
+        chapter_by_id, f"""WITH {_PAGES} SELECT * FROM ({_SHAPED}) WHERE "chapterId" = 71"""),
     "book_list": Query(
         book_list,
         f"""SELECT page_id AS "bookId", regexp_extract(html, '{st._TITLE}', 1) AS "bookTitle"
             FROM pages"""),
-    "full_book": Query(full_book),
+    "full_book": Query(
+        full_book,
+        f"""WITH {_PAGES}, book AS (
+              SELECT page_id, regexp_extract(html, 'lang="([a-z]+)"', 1) AS series FROM pages
+              WHERE contains(lower(regexp_extract(html, '{st._TITLE}', 1)), 'the')
+              ORDER BY page_id LIMIT 1)
+            SELECT s.*, series FROM ({_SHAPED}) s JOIN book ON page_id = "bookId" """),
     "search_words": Query(
         word_routes,
         f"""WITH l AS ({st.LEAVES}),
