@@ -75,6 +75,18 @@ def test_more_trees_go_on_from_fewer():
     assert np.allclose(vote(range(9)).sum(axis=2), 9)
 
 
+@pytest.mark.parametrize("weight", [None, "balanced"])
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_trees_grown_at_once_are_those_grown_one_by_one(criterion, weight, monkeypatch):
+    settings = {**fo.GROWN, "criterion": criterion, "max_features": "sqrt", "class_weight": weight}
+    x, y = data(4)
+    together = list(fo.grown(x, y, 3, settings, range(2, 9), 5))
+    monkeypatch.setattr(fo, "AT_ONCE", 1)
+    alone = list(fo.grown(x, y, 3, settings, range(2, 9), 5))
+    assert len(together) == 7 and len({len(t.depth) for t in together}) > 1
+    assert all(np.array_equal(a, b) for one, other in zip(together, alone) for a, b in zip(one, other))
+
+
 def test_one_class_one_row_and_no_rows():
     x, y = data(3)
     assert (fo.forest_votes(x, y * 0, x, 2, fo.GROWN, range(3), [(5, 2)], 1)[0, :, 0] == 3).all()
