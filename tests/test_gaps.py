@@ -54,6 +54,21 @@ def test_refit_counts_what_it_fits(gappy, frame):
         ("fitted", 60, 4), ("fitted", 60, 4), ("failed", None, None)]
 
 
+def test_a_large_refit_grows_its_trees_in_tasks(gappy, frame, monkeypatch):
+    m, nodes, held = gappy
+    records = frame([("top", "RandomForestClassifier", {"n_estimators": "9", "max_features": "sqrt"},
+                      [f"p{i}" for i in range(7)])],
+                    "model_name string, model_type string, parameters map<string,string>, "
+                    "feature_names array<string>")
+    monkeypatch.setattr(tr, "SPARK_ML_BYTES", 0, raising=False)
+    monkeypatch.setattr(tr, "_fit", lambda *_: 1 / 0)  # Spark ML's histograms are for small data
+    models, status = tr.refit(m, nodes, held, records)
+    assert [(r.status, r.n_samples, r.n_features, r.error) for r in status.collect()] == [("fitted", 60, 4, None)]
+    model = models["top"].stages.stages[-1]
+    assert model.getNumTrees == 9 and all(t.depth >= 1 for t in model.trees)
+    assert abs(model.featureImportances.toArray().sum() - 1) < 1e-9
+
+
 def test_every_sample_is_scored_or_listed(gappy):
     m = gappy[0]
     models = {"top": Rule(["p0", "p5"], ["low", "z"]), "low": Rule(["p4"], ["x", "y"])}
