@@ -21,8 +21,8 @@ from .quality import held_out
 
 #: Tokens that a task gathers before it sorts them into one batch of counts.
 FLUSH = 1_000_000
-#: Least number of shards of the arrays; beyond it, one for every input split.
-SHARDS = 4
+#: Least number of shards of the arrays; beyond it, so many for every input split.
+SHARDS, SPLIT_SHARDS = 4, 2
 #: Kinds of whole numbers that counts are stored as.
 COUNTS = (np.uint8, np.uint16, np.uint32, np.uint64)
 #: Signs that no word can be, for the end of a text and the place before its start.
@@ -151,9 +151,14 @@ def parts(kind: str, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.Re
 
 def merged(table: pa.Table, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts, so many to a key, of all rows of one kind and shard."""
-    keys = [np.cumsum(unpacked(k, np.uint64), dtype=np.uint64) for k in table["keys"].to_pylist()]
-    counts = [unpacked(c, np.uint64, columns) for c in table["counts"].to_pylist()]
-    return summed(np.concatenate(keys), np.concatenate(counts))
+    of = np.cumsum([0, *(len(k.as_buffer()) // 8 for k in table["keys"])])
+    keys = np.empty(of[-1], np.uint64)
+    counts = np.empty((len(keys), columns) if columns > 1 else len(keys), np.uint64)
+    # Row by row out of Arrow's own memory: only the whole arrays are held beside it.
+    for a, b, k, c in zip(of, of[1:], table["keys"], table["counts"]):
+        np.cumsum(unpacked(k.as_buffer(), np.uint64), dtype=np.uint64, out=keys[a:b])
+        counts[a:b] = unpacked(c.as_buffer(), np.uint64, columns)
+    return summed(keys, counts)
 
 
 def steps_of(counts: np.ndarray) -> list[int]:
@@ -196,7 +201,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     word is added up per shard first, then in shards of these words.
     """
     spark = docs.sparkSession
-    shards = max(SHARDS, docs.rdd.getNumPartitions())
+    shards = max(SHARDS, SPLIT_SHARDS * docs.rdd.getNumPartitions())
     store = Store(shared_uri(scratch_path(spark, "ngrams")))
 
     def count(batches):

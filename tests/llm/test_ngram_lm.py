@@ -2,10 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -105,3 +107,14 @@ def test_one_word_fills_no_shard():
     rows = lm.parts("pair", keys, np.ones(len(keys), np.uint64), 16).to_pylist()
     sizes = [len(r["keys"]) // 8 for r in rows]
     assert len(rows) == 16 and sum(sizes) == len(keys) and max(sizes) < 1.2 * len(keys) / 16
+
+
+def test_merging_holds_a_shard_few_times_over():
+    keys = np.arange(200_000, dtype=np.uint64) * np.uint64(7919)
+    rows = pa.Table.from_batches([lm.parts("pair", keys, np.ones(len(keys), np.uint64), 1) for _ in range(4)])
+    tracemalloc.start()
+    found, counts = lm.merged(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == keys).all() and (counts == 4).all()
+    assert peak < 50 * 4 * len(keys)  # 46 bytes a key; 54 while every row was copied before any was merged
