@@ -93,6 +93,11 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def drop(self) -> None:
+        """Both generations go."""
+        self.clear()
+        self.old = {}
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Memo, Merger, chunks, load_ranks
-from .common import map_slices, texts, typed
+from .common import keeps, map_slices, texts, typed
 
 
 class ByteBpe:
@@ -69,6 +69,9 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+keeps(__name__, coder.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Token ids of every whole text: (id, ids array<int>).

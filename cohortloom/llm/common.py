@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +13,32 @@ from pyspark.sql import DataFrame
 SLICE = 256
 
 
+#: By module, how a worker lets go of what it keeps from one of that module's tasks to the next.
+_keeps: dict[str, Callable[[], None]] = {}
+#: The module that this worker served last.
+_served: str | None = None
+
+
+def keeps(module: str, drop: Callable[[], None]) -> None:
+    """Tasks of ``module`` keep tables in their worker; ``drop`` empties them."""
+    _keeps[module] = drop
+
+
+def serve(module: str) -> None:
+    """A task of ``module`` starts: a worker that served another one gives its memory back.
+
+    Workers outlive stages, so the tables of every stage would add up in each of them.
+    """
+    global _served
+    if _served not in (None, module):
+        _keeps.get(_served, lambda: None)()
+        gc.collect()  # coders and their memos refer to each other
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+    _served = module
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of few rows, so that long texts stay bounded."""
     for batch in batches:
@@ -31,7 +59,10 @@ def typed(df: DataFrame, name: str) -> str:
 def map_slices(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
                schema: str) -> DataFrame:
     """Run ``task()`` once per partition and its result on every slice of rows."""
+    module = task.__module__
+
     def run(batches):
+        serve(module)
         step = task()
         for part in slices(batches):
             yield step(part)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_slices, slices, texts, typed
+from .common import map_slices, serve, slices, texts, typed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of tokens: 0 is none, then the kinds.
@@ -216,6 +216,7 @@ def estimate(cells: np.ndarray) -> Field:
 def learn(docs: DataFrame, text_col: str = "text") -> Field:
     """The field of all documents, counted in Spark; only the fixed cells reach the driver."""
     def run(batches):
+        serve(__name__)
         for batch in slices(batches):
             cells: Counter = Counter()
             for text in texts(batch, text_col):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import Memo
-from .common import free_name, map_slices, slices, texts, typed
+from .common import free_name, keeps, map_slices, serve, slices, texts, typed
 
 #: Weights of the model; its size is this, whatever the corpus.
 BUCKETS = 1 << 18
@@ -38,7 +38,8 @@ def _marks(word: str) -> int:
     return zlib.crc32(word.lower().encode()) | zlib.crc32(shape(word).encode()) << 32
 
 
-_memo = Memo(_marks, limit=50_000)  # a worker keeps it through later stages, too
+_memo = Memo(_marks, limit=50_000)
+keeps(__name__, _memo.drop)
 
 
 def grams(text: str) -> np.ndarray:
@@ -80,11 +81,20 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct buckets, how often each occurs, and the number of words, one at least."""
+    at, counts = np.unique(grams(text), return_counts=True)
+    return at.astype(np.int32), counts.astype(np.int32), max(len(text.split()), 1)
+
+
+def _shares(at: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their shares; the last bucket is the constant."""
+    return np.append(at, BUCKETS), np.append(counts / words, 1.0)
+
+
 def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares; the last bucket is the constant."""
-    found = grams(text)
-    at, counts = np.unique(found, return_counts=True)
-    return np.append(at, BUCKETS), np.append(counts / max(len(text.split()), 1), 1.0)
+    return _shares(*_counted(text))
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -110,24 +120,29 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         .agg(F.min("text").alias("text"))
 
     def prepare(batch):
-        found = [_features(t) for t in texts(batch, "text")]
+        found = [_counted(t) for t in texts(batch, "text")]
+        whole = pa.list_(pa.int32())  # one Arrow batch carries the sample: half the bytes of places and shares
         return pa.record_batch([batch.column("id"), batch.column("order"),
                                 pa.array([int(y > 0) for y in batch.column("label").to_pylist()]),
-                                pa.array([a for a, _ in found]), pa.array([x for _, x in found])],
-                               names=["id", "order", "label", "at", "x"])
+                                pa.array([a for a, _, _ in found], whole),
+                                pa.array([n for _, n, _ in found], whole),
+                                pa.array([w for _, _, w in found], pa.int32())],
+                               names=["id", "order", "label", "at", "counts", "words"])
 
     def fit(batches):
+        serve(__name__)
         model, seen = Ftrl(), 0
         for batch in slices(batches):
-            for label, at, x in zip(*(batch.column(c) for c in ("label", "at", "x"))):
-                model.learn(at.values.to_numpy(), x.values.to_numpy(), label.as_py())
+            for label, at, counts, words in zip(*(batch.column(c) for c in ("label", "at", "counts", "words"))):
+                model.learn(*_shares(at.values.to_numpy(), counts.values.to_numpy(), words.as_py()), label.as_py())
                 seen += 1
         if seen:
             weights = model.weights(slice(None)).astype(np.float32)
             yield pa.record_batch([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
     made = map_slices(rows, lambda: prepare,
-                      f"{typed(rows, 'id')}, order long, label long, at array<long>, x array<double>")
+                      f"{typed(rows, 'id')}, order long, label long, at array<int>, "
+                      "counts array<int>, words int")
     fitted = made.repartition(1).sortWithinPartitions("order", "id") \
         .mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(fitted[0].weights, np.float32) if fitted else None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import MEMO, Memo, Merger
-from .common import map_slices, texts, typed
+from .common import keeps, map_slices, texts, typed
 
 #: The letter that stands for a space; a fixed value of the format, as are the kinds of pieces.
 SPACE = "▁"
@@ -300,6 +300,9 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
+keeps(__name__, coder.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text, an end id last: (id, ids array<int>).
 

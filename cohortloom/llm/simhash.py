@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import free_name, map_slices, slices, texts, typed
+from .common import free_name, map_slices, serve, slices, texts, typed
 from .components import components
 
 SHINGLE = 4
@@ -129,6 +129,7 @@ def keys_of(fps: np.ndarray, code: Golay, kinds=(pair_keys, triple_keys)) -> tup
 def keyed(roots: DataFrame, *kinds) -> DataFrame:
     """(key, fp, root) rows of distinct fingerprints: about 30 pair keys and 150 triples each."""
     def run(batches):
+        serve(__name__)
         code = Golay()
         for batch in slices(batches, 2048):
             keys, held = keys_of(batch.column("fp").to_numpy(), code, kinds)

@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Memo, Merger, byte_letters, chunks, load_merges
-from .common import map_slices, texts, typed
+from .common import keeps, map_slices, texts, typed
 
 #: The split that the byte-level pre-tokenizer makes; a fixed value of the format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +62,9 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+keeps(__name__, counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Size of every whole text: (id, n_bytes, n_tokens, over_limit).
