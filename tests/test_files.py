@@ -161,3 +161,13 @@ def test_sample_files(spark, frame, tmp_path):
     back = spark.read.option("header", True).csv(path)
     assert {(r.meth_sample_id, r.probeName, r.m_value) for r in back.collect()} == {
         ("m1", "A", "1.0"), ("m2", "A", "2.0")}
+
+
+def test_append_reads_written_ids(frame, rows):
+    """The matrix's own joins are not done again beside the search for new samples."""
+    cells = "meth_sample_id long, probe_id string, m_value double"
+    all_cells = frame([(1, "a", 1.0), (2, "a", 2.0), (2, "b", 3.0), (None, "a", 4.0), (2, "a", 2.0)], cells)
+    matrix = all_cells.join(frame([(1,)], "meth_sample_id long"), "meth_sample_id", "left_semi")
+    got = ingest.append_samples(matrix, all_cells, frame([("a",)], "probe_id string"))
+    assert rows(got) == sorted([(1, "a", 1.0), (2, "a", 2.0), (2, "a", 2.0), (None, "a", 4.0)], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
