@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_texts, shape, title_similarity
+from ..session import cut
 
 LEAF_LEVEL = 4
 #: Longest part of a title that the search index holds.
@@ -86,12 +87,16 @@ def title_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
 def route(books: DataFrame, queries: list[str] | DataFrame) -> DataFrame:
     """What a search for each text leads to: nothing, one chapter, or a list.
 
-    ``queries`` is a table with a column ``query``, or a few texts.
+    ``queries`` is a table with a column ``query``, or a few texts.  Queries, titles
+    and hits are read several times and so written once: books are long rows.
     """
     if not isinstance(queries, DataFrame):
         queries = books.sparkSession.createDataFrame([(q,) for q in queries], "query string")
-    asked = queries.select("query").filter("query is not null").distinct()
-    hits = title_hits(leaf_chapters(books).select("bookId", "chapterId", "chapterTitle"), asked)
+    asked = cut(queries.select("query").filter("query is not null").distinct())
+    titles = cut(leaf_chapters(books).select("bookId", "chapterId", "chapterTitle"))
+    # Written titles lie in a few small files; they are taken apart in as many tasks as a shuffle has.
+    tasks = int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = cut(title_hits(titles.repartition(tasks), asked))
     counts = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     status = F.when(n == 0, "not found").when(n == 1, "chapter").otherwise("list")

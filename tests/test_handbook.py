@@ -125,3 +125,9 @@ def test_similarity(spark):
     got = {r.t: r.s for r in df.withColumn("s", tx.title_similarity(F.col("t"), target)).collect()}
     for t in titles:
         assert got[t] == round(200 * common(t, target) / (len(t) + len(target)))
+
+
+def test_routes_read_written_hits(books):
+    """Books are long rows: titles, queries and hits are not made again for each use."""
+    plan = hb.route(books, ["retino", "glioma"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Relation" in plan
