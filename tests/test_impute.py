@@ -136,3 +136,22 @@ def test_nothing_to_fill(frame):
     lone = frame([("a", "p", None), ("a", "q", 1.0)], M)
     assert [tuple(r) for r in impute.impute_knn(lone).filter("imputed").collect()] == [
         ("a", "p", None, True)]
+
+
+def test_blocks_are_met_in_squares(frame, monkeypatch):
+    """A donor goes once to each group of target blocks, and any size of group gives the same values."""
+    sent, meet = [], impute._meet
+
+    def spied(left, right, *more):
+        sent.append(right.count())
+        return meet(left, right, *more)
+
+    monkeypatch.setattr(impute, "_meet", spied)
+    matrix = drawn()
+    want = brute(matrix, 3)
+    for size in (16, 2):
+        monkeypatch.setattr(impute, "GROUP", size)
+        for r in impute.impute_knn(long(frame, matrix), k=3, block=7).filter("imputed").collect():
+            assert r.m_value == pytest.approx(want[int(r.sample_id[1:]), int(r.probe_id[1:])], abs=1e-9)
+    home, far, _, smaller = sent
+    assert home <= 40 and far <= 40 < smaller
