@@ -76,11 +76,12 @@ def title_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
     longest = _parts(F.col("_text"), F.least(F.lit(GRAM), F.length("_text")))
     parts = queries.select("query").filter("query is not null").distinct().withColumn(
         "_text", F.lower("query")).withColumn("_gram", F.explode(longest))
-    held = postings.select("_gram").join(parts, "_gram", "left_semi").groupBy("_gram").agg(
+    held = postings.select("_gram").join(parts.hint("merge"), "_gram", "left_semi").groupBy("_gram").agg(
         F.count(F.lit(1)).alias("n"))
     rarest = parts.join(held, "_gram", "left").groupBy("query", "_text").agg(
         F.min_by("_gram", F.struct(F.coalesce("n", F.lit(0)), "_gram")).alias("_gram"))
-    return postings.join(rarest, "_gram").filter(F.contains("_title", F.col("_text"))).select(
+    # A written table's size says nothing of its parts, so neither side may be taken for small.
+    return postings.join(rarest.hint("merge"), "_gram").filter(F.contains("_title", F.col("_text"))).select(
         "query", *rows.columns)
 
 
