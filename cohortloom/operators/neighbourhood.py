@@ -44,6 +44,8 @@ REACH = 4
 POOL, PUSHES = 2048, 16
 # Samples from which a walk may start, and starts of one walk.
 LANDMARKS, STARTS = 1024, 8
+# Bytes of what the walks of one block may meet in a round, however little they share.
+WALK_BYTES = 256 << 20
 # Curve of nearness for a least distance of 0.1 and a spread of 1.
 CURVE_A, CURVE_B = 1.577, 0.895
 # Pushes per pull, greatest pull of one coordinate.
@@ -302,16 +304,19 @@ def nearest_known(new: DataFrame, rows: DataFrame, tied: DataFrame, k: int = NEA
     """(sample_id, near) of ``new`` points among ``rows``: a walk along the ties.
 
     It starts at the nearest of ``LANDMARKS`` samples (by hash; at most that many come
-    to the driver) and ends when no walk comes nearer.
+    to the driver) and ends when no walk comes nearer.  Samples of near landmarks walk
+    in one block, which gets every sample it meets once.  A round goes on from what the
+    one before found: whatever lay farther than the k nearest stays so.
     """
     kind = rows.schema["sample_id"].dataType.simpleString()
     known = rows.orderBy(F.xxhash64("sample_id"), "sample_id").limit(LANDMARKS).collect()
     own_kind = new.schema["sample_id"].dataType.simpleString()
-    schema = f"sample_id {own_kind}, near_id {kind}, d double"
     if not known:
-        return _nearest(new.sparkSession.createDataFrame([], schema), k)
+        return _nearest(new.sparkSession.createDataFrame([], f"sample_id {own_kind}, near_id {kind}, d double"), k)
     marks = np.array([r.vec for r in known])
-    names = pa.array([r.sample_id for r in known])
+    order = _alike(marks, np.arange(len(marks)))
+    marks, names = marks[order], pa.array([known[i].sample_id for i in order])
+    listed = f"near array<struct<d double, id {kind}, fresh boolean>>"
 
     def start(batches):
         for batch in batches:
@@ -321,28 +326,93 @@ def nearest_known(new: DataFrame, rows: DataFrame, tied: DataFrame, k: int = NEA
                 d += (a[:, None] - b[None, :]) ** 2
             near = np.argsort(d, axis=1, kind="stable")[:, :STARTS]
             row = np.repeat(np.arange(len(x)), near.shape[1])
-            yield pa.record_batch({"sample_id": batch["sample_id"].take(pa.array(row)),
-                                   "near_id": names.take(pa.array(near.ravel())), "d": d[row, near.ravel()]})
-
-    walk = cut(_nearest(new.select("sample_id", "vec").mapInArrow(start, schema), k))
+            yield pa.record_batch({
+                "sample_id": batch["sample_id"], "vec": batch["vec"], "_mark": near[:, 0].astype(float),
+                "near": _lists(row, len(x), d[row, near.ravel()], names.take(pa.array(near.ravel())),
+                               np.ones(len(row), bool))})
+
+    begun = cut(new.select("sample_id", "vec").mapInArrow(
+        start, f"sample_id {own_kind}, vec array<double>, _mark double, {listed}"))
+    size = max(WALK_BYTES // (8 * (marks.shape[1] + 2) * REACH * NEAR * k), 1)
+    walk = blocks(begun, F.col("_mark"), size).drop("_mark")
     total, reached = None, 0
-    steps = tied.select(F.col("sample_id").alias("near_id"), F.col("near_id").alias("next"))
-    ends = rows.select(F.col("sample_id").alias("near_id"), F.col("vec").alias("_end"))
-    far = F.aggregate(F.zip_with("vec", "_end", lambda a, b: (a - b) * (a - b)),
-                      F.lit(0.0), lambda s, x: s + x)
+    steps = cut(tied.groupBy(F.col("sample_id").alias("near_id")).agg(F.collect_list("near_id").alias("next")))
+    ends = rows.select(F.col("sample_id").alias("near_id"), F.col("vec"))
     for _ in range(rounds):
-        links = _links(walk)
-        seen = links.select("sample_id", "near_id")
-        further = links.join(steps, "near_id").select("sample_id", F.col("next").alias("near_id")).distinct().join(
-            seen, ["sample_id", "near_id"], "left_anti")
-        met = further.join(new.select("sample_id", "vec"), "sample_id").join(ends, "near_id").select(
-            "sample_id", "near_id", far.alias("d"))
-        walk = cut(_nearest(links.unionByName(met), k))
+        asked = walk.select("_block", F.explode(F.filter("near", lambda n: n["fresh"])).alias("n")).select(
+            "_block", F.col("n.id").alias("near_id")).distinct()
+        further = cut(asked.join(steps, "near_id"))
+        met = further.select("_block", F.explode("next").alias("near_id")).distinct().join(ends, "near_id")
+        walk = cut(walk.unionByName(further, True).unionByName(met, True).groupBy("_block").applyInArrow(
+            _walk(k), f"_block long, sample_id {own_kind}, vec array<double>, {listed}"))
         before = (total, reached)
         total, reached = _length(walk), walk.agg(F.sum(F.size("near"))).first()[0]
         if before == (total, reached):
             break
-    return walk
+    return walk.select("sample_id", F.array_sort(F.transform(
+        "near", lambda n: F.struct(n["d"].alias("d"), n["id"].alias("id")))).alias("near"))
+
+
+def _alike(x: np.ndarray, own: np.ndarray) -> list[int]:
+    """The rows ``own`` of x in an order that keeps near ones together: halved along the widest direction."""
+    if len(own) < 3:
+        return own.tolist()
+    away = x[own] - x[own].mean(axis=0)
+    along = own[np.argsort(away @ np.linalg.eigh(away.T @ away)[1][:, -1], kind="stable")]
+    return _alike(x, along[:len(own) // 2]) + _alike(x, along[len(own) // 2:])
+
+
+def _lists(row: np.ndarray, n: int, d, ids, fresh) -> pa.Array:
+    """The entries of n lists, sorted by ``row``, as an Arrow column."""
+    ends = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+        [pa.array(d), ids, pa.array(fresh)], ["d", "id", "fresh"]))
+
+
+def _walk(k: int):
+    """One round of a block: rows with a sample_id walk, rows with ``next`` are the ties of what they
+    found last, the others are what lies at their ends."""
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.is_valid(table["sample_id"])).combine_chunks()
+        lists = table.filter(pc.is_valid(table["next"])).combine_chunks()
+        ends = table.filter(pc.and_(pc.is_null(table["sample_id"]), pc.is_null(table["next"]))).combine_chunks()
+        near, following = own["near"].combine_chunks(), lists["next"].combine_chunks()
+        flat = near.flatten()
+        head = np.repeat(np.arange(len(own)), pc.list_value_length(near).to_numpy())
+        place = lambda ids, among: pc.fill_null(pc.index_in(ids, among.combine_chunks()), -1).to_numpy()
+        # Samples with the ties of what is new to them: each tie once, and none that is on their list.
+        at = place(flat.field("id"), lists["near_id"])
+        open_ = flat.field("fresh").to_numpy(zero_copy_only=False) & (at >= 0)
+        sizes = pc.list_value_length(following).to_numpy()
+        first, row, at = np.cumsum(sizes) - sizes, head[open_], at[open_]
+        many = sizes[at]
+        tie = np.arange(many.sum()) + np.repeat(first[at] - (np.cumsum(many) - many), many)
+        end = place(following.flatten(), ends["near_id"])[tie]
+        row, width = np.repeat(row, many), max(len(ends), 1)
+        seen = place(flat.field("id"), ends["near_id"])
+        pairs = np.setdiff1d((row * width + end)[end >= 0], (head * width + seen)[seen >= 0])
+        row, end = pairs // width, pairs % width
+        d, worst = np.zeros(len(pairs)), np.full(len(own), np.inf)
+        for a, b in zip(*(np.ascontiguousarray(_matrix(t["vec"]).T) if len(t) else () for t in (own, ends))):
+            d += (a[row] - b[end]) ** 2
+        so_far = flat.field("d").to_numpy()
+        full = np.bincount(head, minlength=len(own)) >= k
+        farthest = np.full(len(own), -np.inf)
+        np.maximum.at(farthest, head, so_far)
+        worst[full] = farthest[full]
+        some = ~(d > worst[row])
+        all_ = pa.table({
+            "row": np.append(head, row[some]), "d": np.append(so_far, d[some]),
+            "id": pa.concat_arrays([flat.field("id"), ends["near_id"].combine_chunks().take(pa.array(end[some]))]),
+            "fresh": np.append(np.zeros(len(head), bool), np.ones(some.sum(), bool))}).sort_by(
+            [("row", "ascending"), ("d", "ascending"), ("id", "ascending")])
+        row = all_["row"].to_numpy()
+        size = np.bincount(row, minlength=len(own))
+        kept = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) < k
+        all_ = all_.filter(pa.array(kept)).combine_chunks()
+        return pa.table({"_block": own["_block"], "sample_id": own["sample_id"], "vec": own["vec"], "near": _lists(
+            row[kept], len(own), all_["d"].to_numpy(), all_["id"].combine_chunks(), all_["fresh"].to_numpy())})
+    return run
 
 
 def place(near: DataFrame, placed: DataFrame) -> DataFrame:

@@ -107,3 +107,38 @@ def test_odd_rows(spark, rows, n):
     placed = nb.layout(ready, tied, sweeps=1).collect()
     assert len(placed) == n and all(np.isfinite([r.x, r.y, r.z]).all() for r in placed)
     assert nb.place(nb.nearest_known(ready, ready, tied), nb.layout(ready, tied, sweeps=1)).count() == (n > 0) * n
+
+
+@pytest.mark.parametrize("size", [1, nb.WALK_BYTES])
+def test_walk_follows_every_link_once(fitted, spark, monkeypatch, size):
+    """The plain walk's result, whatever walks together; alone, a sample asks for each link's ties once."""
+    _, x, rows, _, tied, _ = fitted
+    ways = {}
+    for r in tied.collect():
+        ways.setdefault(r.sample_id, set()).add(r.near_id)
+    guests = np.random.default_rng(3).standard_normal((12, DIMS)) * 2
+    want, followed = {}, 0
+    for g, d in enumerate(squares(guests, x)):
+        listed, met = sorted((e, i) for i, e in enumerate(d))[:nb.STARTS], set()
+        while {i for _, i in listed} - met:
+            fresh = {i for _, i in listed} - met
+            met |= fresh
+            around = {i for _, i in listed}.union(*(ways[i] for i in fresh))
+            listed = sorted((d[i], i) for i in around)[:nb.NEAR]
+        want[f"n{g}"], followed = listed, followed + len(met)
+    new = nb.points(spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(guests)],
+                                          "sample_id string, vec array<double>"))
+    asked, write = [], nb.cut
+
+    def counted(df):
+        out = write(df)
+        asked.append(out.count() if {"_block", "next"} <= set(out.columns) else 0)
+        return out
+
+    monkeypatch.setattr(nb, "cut", counted)
+    monkeypatch.setattr(nb, "WALK_BYTES", size)
+    got = {r.sample_id: r.near for r in nb.nearest_known(new, rows, tied, rounds=30).collect()}
+    assert got.keys() == want.keys()
+    for s, near in want.items():
+        assert [n.d for n in got[s]] == pytest.approx([d for d, _ in near])
+    assert 0 < sum(asked) <= followed
