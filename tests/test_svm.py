@@ -110,3 +110,48 @@ def test_machine_is_stored(spark, tmp_path):
     machine.save(spark, str(tmp_path))
     again = svm.load(spark, str(tmp_path))
     assert np.allclose(again.decisions(x), machine.decisions(x)) and again.rested
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+@pytest.mark.parametrize("kernel", ["linear", "rbf"])
+def test_mapped_machines_are_the_optimum(monkeypatch, classes, kernel):
+    """A machine per class against the rest on the coordinates of the landmarks, as the pairwise solver finds it."""
+    monkeypatch.setattr(svm, "LANDMARKS", 60)
+    draw = np.random.default_rng(8)
+    y, order = draw.integers(0, classes, 150), draw.permutation(150)
+    x = draw.normal(size=(150, 8)) + 1.5 * np.eye(8)[y]
+    settings = svm.settings_of({"kernel": kernel})
+    ours = svm.fit_mapped(x, y, classes, settings, order)
+    z = (x - x.mean(0)) / x.std(0)
+    z = z if kernel == "linear" else svm.Landmarks.of(z[order[:60]], settings).map(z)
+    found = [svm.solve(z @ z.T, np.where(y == c, 1.0, -1.0), 1.0) for c in ([1] if classes == 2 else range(classes))]
+    want = np.stack([z @ (z.T @ a) + bias for a, bias, _ in found], axis=1)
+    got = ours.decisions(x)
+    assert ours.rested and got.shape == want.shape and np.abs(got - want).max() < 0.02
+    called = (got[:, 0] > 0).astype(int) if classes == 2 else got.argmax(axis=1)
+    assert (ours.predict(x) == called).all() and (called == y).mean() > 0.6
+
+
+def test_class_without_samples_is_never_called():
+    x, y = level()
+    machine = svm.fit_mapped(x, y, 3, svm.settings_of({"kernel": "linear"}), np.arange(100))
+    assert machine.decisions(x)[:, 2].tolist() == [-1.0] * 100 and set(machine.predict(x)) == {0, 1}
+    alone = svm.fit_mapped(x, y * 0, 3, svm.settings_of({"kernel": "rbf"}), np.arange(100))
+    assert alone.predict(x).tolist() == [0] * 100
+
+
+def test_beyond_the_kernel_a_search_is_solved_in_tasks(spark, monkeypatch, tmp_path):
+    """No step of any machine is a Spark job; the mapped machine is stored and scores as before."""
+    monkeypatch.setattr(svm, "KERNEL_BYTES", 0)
+    monkeypatch.setattr(tr, "_fit", lambda *_: pytest.fail("fitted by Spark ML"))
+    x, y = level()
+    m = spark.createDataFrame([(i, f"p{j:02d}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)],
+                              "sample_id int, probe_id string, m_value double")
+    design = spark.createDataFrame([("n", i, "ab"[c]) for i, c in enumerate(y)],
+                                   "node_id string, sample_id int, cancer_type string")
+    found = tr.search(tr.plan_search(m, design, prior="none", number=5), "n", "svm", {"C": [1.0], "kernel": ["linear", "rbf"]})
+    assert found.model.stages.pairs == [(1, 0)] and min(s["score"] for s in found.scores) > 0.7
+    assert found.rested and found.test_accuracy > 0.6
+    found.model.save(spark, str(tmp_path / "m"))
+    again = tr.load_model(spark, str(tmp_path / "m")).stages
+    assert np.allclose(again.decisions(x[:, :5]), found.model.stages.decisions(x[:, :5]))
