@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+import numpy as np
+
 from cohortloom.operators import training as tr
 from cohortloom.plans import models, samples
 
@@ -27,3 +29,23 @@ def test_search_is_whole(spark, monkeypatch, tmp_path):
 def test_selected_matrix_has_no_gaps(spark):
     got = samples.diff_selected_matrix(spark, SF)
     assert got.filter("m_value IS NULL").count() == 0 and got.select("probe_id").distinct().count() > 10
+
+
+def test_samples_with_gaps_are_filled_and_projected(spark, tmp_path, monkeypatch):
+    """The embedding has probes with gaps; their samples come after the complete ones, and none is lost."""
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(60, 64)) + np.eye(64)[np.arange(60) % 6] * 3
+    spark.createDataFrame([(i, v.tolist(), i % 6) for i, v in enumerate(values)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, project = {}, tr.project_missing
+
+    def watched(fitted, placed, m, wanted):
+        seen.update(placed=placed.count(), features=set(fitted.features))
+        return project(fitted, placed, m, wanted)
+
+    monkeypatch.setattr(tr, "project_missing", watched)
+    got = models.project_missing(spark, str(tmp_path))
+    gaps = {i for i in range(60) for p in range(0, 64, 3) if (i * 7 + p) % 97 == 0}
+    assert gaps and seen["placed"] == 60 - len(gaps)
+    assert any(int(f[1:]) % 3 == 0 for f in seen["features"])
+    assert sorted(r.sample_id for r in got.collect()) == list(range(60))
