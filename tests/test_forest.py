@@ -1,5 +1,7 @@
 """Shared forests against trees grown one by one, to their own limits."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,47 @@ def test_outcomes_are_kept_and_a_run_goes_on(spark, tmp_path, monkeypatch):
     calls = [{r.sample_id: (r.prediction, r.probability) for r in s["x"].model.transform(maps).collect()}
              for s in (first, second)]
     assert calls[0] == calls[1] and len(calls[0]) == 30
+
+
+@pytest.mark.parametrize("number,least", [("sqrt", 2), (None, 1)])
+def test_classes_that_fill_several_words(number, least):
+    draw = np.random.default_rng(2)
+    x, y = np.round(draw.normal(size=(120, 5)), 1), draw.integers(0, 9, 120)
+    w = draw.integers(1, 200, 120).astype(float)  # 9 classes of more than 13 bits
+    settings = {**fo.GROWN, "max_features": number, "min_samples_leaf": least}
+    tree = fo.grow(x, y, w, 9, settings, fo.tree_key(1, 1))
+    want = plain(x, y, w, 9, settings, np.array([fo.tree_key(1, 1)], np.uint64), 0, fo.DEEPEST, 2)
+    got = tree.weights[fo.leaves(tree, x)]
+    assert np.allclose(got / got.sum(axis=1, keepdims=True), [shares(want, r) for r in x])
+
+
+def test_rows_are_sorted_for_the_probes_a_node_looks_at(monkeypatch):
+    """Of 40 probes a node looks at six: not a seventh of the rows is weighed, or carried on in order, for all."""
+    x = np.random.default_rng(3).normal(size=(400, 40))
+    y = np.random.default_rng(4).integers(0, 2, 400)
+    weighed, weigh = [], fo.weigh
+    monkeypatch.setattr(fo, "weigh", lambda level, probes, nodes, *a: weighed.append(level.sizes[nodes].sum()) or
+                        weigh(level, probes, nodes, *a))
+    tree = fo.grow(x, y, np.ones(400), 2, {**fo.GROWN, "max_features": "sqrt"}, 5)
+    inner = tree.samples[tree.left != np.arange(len(tree.depth))].sum()
+    assert 0 < sum(weighed) <= 6 * inner
+
+
+def test_large_numbers_of_ranks_are_sorted_by_place():
+    draw = np.random.default_rng(5)
+    own, rank, rows = draw.integers(0, 4, 50), draw.integers(0, 9, 50).astype(np.uint32), np.arange(50)
+    for a, b in zip(fo.by_rank(own, rank, rows, 3, 4, 6), fo.by_rank(own, rank, rows, 3, 40, 40)):
+        assert np.array_equal(a, b)
+
+
+def test_forest_stays_in_storage(spark, rows, tmp_path):
+    """What the driver holds does not grow with the trees; a stored forest votes as before."""
+    some = rows.filter("train_of = 0").withColumn("v", F.map_from_arrays(F.array(*[F.lit(f"p{i}") for i in range(6)]), F.col("x")))
+    names = [f"p{i}" for i in range(6)]
+    ready = tr._labelled(some, ["c0", "c1", "c2"], names, 90)
+    model = tr.NodeModel("n", names, ["c0", "c1", "c2"], fo.model(some, ready, {"n_estimators": 6}, 3, str(tmp_path / "f"), 2))
+    assert len(pickle.dumps(model.stages.__dict__)) < 2000 and len(list((tmp_path / "f" / "trees").iterdir())) == 6
+    model.save(spark, str(tmp_path / "m"))
+    again = tr.load_model(spark, str(tmp_path / "m"))
+    calls = [{r.sample_id: (r.prediction, r.probability, r.scores) for r in m.transform(some).collect()} for m in (model, again)]
+    assert calls[0] == calls[1] and len(calls[0]) == 90 and again.stages.featureImportances == model.stages.featureImportances
