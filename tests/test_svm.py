@@ -155,3 +155,33 @@ def test_beyond_the_kernel_a_search_is_solved_in_tasks(spark, monkeypatch, tmp_p
     found.model.save(spark, str(tmp_path / "m"))
     again = tr.load_model(spark, str(tmp_path / "m")).stages
     assert np.allclose(again.decisions(x[:, :5]), found.model.stages.decisions(x[:, :5]))
+
+
+@pytest.mark.parametrize("c", [0.1, 1.0, 10.0])
+def test_no_size_asks_for_another_machine(monkeypatch, c):
+    """A kernel matrix that is not held gives the same machine, of pairs of classes, not one by landmarks."""
+    assert svm.KERNEL_BYTES is None
+    draw = np.random.default_rng(9)
+    y = draw.integers(0, 3, 240)
+    x = draw.normal(size=(240, 6)) + np.eye(6)[y]
+    settings = {"C": c, "kernel": "rbf", "gamma": "scale"}
+    whole = svm.fit(x, y, 3, settings)
+    monkeypatch.setattr(svm, "HELD_BYTES", 4096)
+    monkeypatch.setattr(svm, "WORKING", 24)
+    monkeypatch.setattr(svm, "solve", lambda *_: pytest.fail("the whole kernel matrix"))
+    parts = svm.fit(x, y, 3, settings)
+    assert parts.rested and parts.pairs == whole.pairs == [(0, 1), (0, 2), (1, 2)]
+    assert np.abs(parts.decisions(x) - whole.decisions(x)).max() < 10 * svm.TOLERANCE
+
+
+def test_large_search_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(svm, "HELD_BYTES", 4096)
+    monkeypatch.setattr(svm, "fit_mapped", lambda *_: pytest.fail("landmarks"))
+    monkeypatch.setattr(tr, "_fit", lambda *_: pytest.fail("fitted by Spark ML"))
+    x, y = level()
+    m = spark.createDataFrame([(i, f"p{j:02d}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)],
+                              "sample_id int, probe_id string, m_value double")
+    design = spark.createDataFrame([("n", i, "ab"[c]) for i, c in enumerate(y)],
+                                   "node_id string, sample_id int, cancer_type string")
+    found = tr.search(tr.plan_search(m, design, prior="none", number=5), "n", "svm", {"C": [1.0], "kernel": ["rbf"]})
+    assert found.model.stages.pairs == [(0, 1)] and found.rested
